@@ -43,27 +43,28 @@ def rolling_mean(
     back = size // 2
     forth = size - 1 - back
     chunk = max(chunk, 2 * size)
-    home = F.floor(F.col(idx) / chunk)
-    spread = df.withColumn(
-        "_part",
-        F.explode(
-            F.array_distinct(
-                F.array(F.floor((F.col(idx) - forth) / chunk), home, F.floor((F.col(idx) + back) / chunk))
-            )
-        ),
-    )
-    w = Window.partitionBy(*by, "_part").orderBy(idx)
-    running = spread.withColumn(
-        "_sum", F.sum(column).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ).withColumn("_pos", F.row_number().over(w))
-    window_sum = F.lead("_sum", forth).over(w) if forth else F.col("_sum")
-    before = F.when(F.col("_pos") == back + 1, F.lit(0.0)).otherwise(F.lag("_sum", back + 1).over(w))
-    rolled = running.withColumn("_mean", (window_sum - before) / size).where(F.col("_part") == home)
-    edged = scan(
-        rolled, by, [idx], chunk, last={"_left": F.col("_mean")}, ahead={"_right": F.col("_mean")}
+    part = lambda shift: F.floor((F.col(idx) + shift) / chunk)
+    home = part(0)
+    # Two lengths of overlap: one for the means of the chunk's own rows, one so that the last full
+    # mean of the series is at hand where its edge falls into another chunk.
+    reach = F.array_distinct(F.array(part(-2 * size), home, part(2 * size)))
+    spread = df.withColumn("_part", F.explode(reach))
+    up = Window.partitionBy(*by, "_part").orderBy(idx)
+    down = Window.partitionBy(*by, "_part").orderBy(F.desc(idx))
+    to_here = (Window.unboundedPreceding, Window.currentRow)
+    running = spread.withColumns({"_sum": F.sum(column).over(up.rowsBetween(*to_here)), "_pos": F.row_number().over(up)})
+    window_sum = F.lead("_sum", forth).over(up) if forth else F.col("_sum")
+    before = F.when(F.col("_pos") == back + 1, F.lit(0.0)).otherwise(F.lag("_sum", back + 1).over(up))
+    rolled = running.withColumn("_mean", (window_sum - before) / size)
+    edged = rolled.withColumns(
+        {
+            "_left": F.last("_mean", ignorenulls=True).over(up.rowsBetween(*to_here)),
+            "_right": F.last("_mean", ignorenulls=True).over(down.rowsBetween(*to_here)),
+        }
     )
     value = F.coalesce("_mean", "_right", "_left")
-    return edged.withColumn(out, value).drop("_part", "_sum", "_pos", "_mean", "_left", "_right")
+    kept = edged.where(F.col("_part") == home).withColumn(out, value)
+    return kept.drop("_part", "_sum", "_pos", "_mean", "_left", "_right")
 
 
 def detrend(
@@ -119,7 +120,7 @@ def segment_ok(
             & (F.coalesce(F.stddev_pop(y), F.lit(0.0)) >= min_std)
         ).alias("_ok")
     )
-    return attach(df, health, by, salts=16).withColumn(column, F.when("_ok", F.col(column))).drop("_ok").select(
+    return attach(df, health, by, salts=16).withColumn(column, F.when(F.col("_ok"), F.col(column))).drop("_ok").select(
         *df.columns
     )
 
@@ -186,11 +187,12 @@ def peaks(
     y = F.col(column)
     top = (y > F.col("_before")) & ((y > F.col("_after")) if strict else (y >= F.col("_after")))
     if mode == "distance":
-        candidates = rows.where(top).drop("_before", "_after")
+        candidates = materialize(rows.where(top).drop("_before", "_after"))
         kept = tallest_first(candidates, by, "idx", column, min_dist, chunk=chunk)
     else:
-        candidates = rows.where(top & (F.col("z") > k)).drop("_before", "_after")
-        kept = refractory(candidates, by, "idx", min_dist, chunk=chunk)
+        # Candidates are read twice (chain summaries, final choice) and are few: keep them.
+        candidates = materialize(rows.where(top & (F.col("z") > k)).drop("_before", "_after"))
+        kept = materialize(refractory(candidates, by, "idx", min_dist, chunk=chunk))
     return kept
 
 
@@ -385,6 +387,7 @@ def hrv_time(
     ``ddof`` applies to SDNN; SDSD always uses 1.  Shares are in percent or as fractions.
     """
     by = list(by)
+    intervals = materialize(intervals.select(*by, "ibi", "ibi_diff"))
     x, d = finite("ibi"), finite("ibi_diff")
     factor = 100.0 if as_percent else 1.0
     sdnn = F.stddev_pop(x) if ddof == 0 else F.stddev_samp(x)
@@ -545,16 +548,11 @@ def derive_tracks(
     from physio_spark.operators.align import interp_join
 
     by = list(by)
-    rows = materialize(
-        scan(
-            blocked, by, [t, *tie], width, index="idx", whole={"_rows": ("sum", F.lit(1))}
-        ).withColumn(column, finite(column))
-    )
+    rows = scan(blocked, by, [t, *tie], width, index="idx", whole={"_rows": ("sum", F.lit(1))})
+    rows = rows.withColumn(column, finite(column))
     long_enough = F.col("_rows") >= round(fs * min_seconds)
-    filled = fill_linear(rows, [column], by, ["idx"], width=chunk)
-    tracks = materialize(
-        detrend(filled, column, fs, by, ["idx"], baseline_s=baseline_s, smooth_s=smooth_s, chunk=chunk)
-    )
+    filled = materialize(fill_linear(rows, [column], by, ["idx"], width=chunk))
+    tracks = detrend(filled, column, fs, by, ["idx"], baseline_s=baseline_s, smooth_s=smooth_s, chunk=chunk)
     tracks = envelope(tracks, column, max(int(fs * smooth_s), 3), by, chunk=chunk)
     beats = peaks(
         filled.drop("idx"), column, by, t, k, max(int(min_beat_s * fs), 1), width=width, tie=tie, chunk=chunk

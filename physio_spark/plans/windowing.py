@@ -264,8 +264,8 @@ CURVE = 12
                     FROM s WINDOW v AS (PARTITION BY subject, video ORDER BY t)),
               g AS (SELECT subject, video, n, point, point * (n - 1) / {CURVE - 1}.0::DOUBLE AS pos
                     FROM (SELECT DISTINCT subject, video, n, unnest(range(0, {CURVE})) AS point FROM i)),
-              j AS (SELECT g.*, a.value AS lo, b.value AS hi, pos - (point * (n - 1)) // {CURVE - 1} AS share FROM g
-                    JOIN i a ON a.subject = g.subject AND a.video = g.video AND a.i = (point * (n - 1)) // {CURVE - 1}
+              j AS (SELECT g.*, a.value AS lo, b.value AS hi, pos - (point * (g.n - 1)) // {CURVE - 1} AS share FROM g
+                    JOIN i a ON a.subject = g.subject AND a.video = g.video AND a.i = (point * (g.n - 1)) // {CURVE - 1}
                     LEFT JOIN i b ON b.subject = g.subject AND b.video = g.video AND b.i = a.i + 1)""",
         "SELECT subject, video, point, CASE WHEN hi IS NULL THEN lo ELSE lo + share * (hi - lo) END AS value FROM j",
         ["value"],

@@ -76,3 +76,10 @@ def running_vote_stream(predictions: DataFrame, by: Sequence[str] = ("subject",
         outputMode="update",
         timeoutConf=GroupStateTimeout.NoTimeout,
     )
+
+
+def final_vote(predictions: DataFrame, by: Sequence[str] = ("subject", "video")) -> DataFrame:
+    """Vote share after the last window: plain counters, in batch or as an update-mode stream."""
+    hit = (F.col("pred_label") == F.col("true_label")).cast("bigint")
+    counted = predictions.groupBy(*by).agg(F.sum(F.coalesce(hit, F.lit(0))).alias("votes"), F.count(F.lit(1)).alias("n_seen"))
+    return counted.withColumn("share", F.col("votes") / F.col("n_seen"))
