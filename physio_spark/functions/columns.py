@@ -17,14 +17,14 @@ def col(c: ColumnLike) -> Column:
 
 
 def is_finite(c: ColumnLike) -> Column:
-    """True for an ordinary number; false for null, NaN and the infinities."""
-    c = col(c).cast("double")
-    return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(math.inf))
+    """True for an ordinary number; false for null, NaN and the infinities (NaN sorts above them)."""
+    return F.coalesce(F.abs(col(c).cast("double")) < F.lit(math.inf), F.lit(False))
 
 
 def finite(c: ColumnLike) -> Column:
     """Map NaN and the infinities to null, so that aggregates skip them."""
-    return F.when(is_finite(c), col(c).cast("double"))
+    value = col(c).cast("double")
+    return F.when(F.abs(value) < F.lit(math.inf), value)
 
 
 def to_numeric(c: ColumnLike) -> Column:

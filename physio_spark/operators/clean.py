@@ -6,6 +6,8 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -164,20 +166,21 @@ class QuantileNormalizer:
         return self
 
     def _probability(self, c: str) -> Column:
-        table = F.array(*[F.lit(float(k)) for k in self.knots[c]])
+        knots = np.asarray(self.knots[c], float)
         last = self.n - 1
-        x = finite(c)
-        below = F.size(F.filter(table, lambda k: k < x))
-        upto = F.size(F.filter(table, lambda k: k <= x))
-        low, high = F.get(table, below - 1), F.get(table, upto)
-        on_knot = (below + upto - 1) / F.lit(2.0 * last)
-        between = (below - 1 + (x - low) / (high - low)) / F.lit(float(last))
-        return (
-            F.when(x <= self.knots[c][0], F.lit(0.0))
-            .when(x >= self.knots[c][-1], F.lit(1.0))
-            .when(upto > below, on_knot)
-            .otherwise(between)
-        )
+
+        @F.pandas_udf("double")
+        def place(x: pd.Series) -> pd.Series:
+            v = x.to_numpy(float)
+            below, upto = np.searchsorted(knots, v, "left"), np.searchsorted(knots, v, "right")
+            low, high = knots[np.clip(below - 1, 0, last)], knots[np.clip(below, 0, last)]
+            gap = np.where(high > low, high - low, 1.0)
+            between = below - 1 + (v - low) / gap
+            p = np.where(upto > below, (below + upto - 1) / 2, between) / last
+            p = np.where(v <= knots[0], 0.0, np.where(v >= knots[-1], 1.0, p))
+            return pd.Series(np.where(np.isnan(v), np.nan, p))
+
+        return F.when(finite(c).isNotNull(), place(finite(c)))
 
     def transform(self, df: DataFrame) -> DataFrame:
         edge = 1e-7

@@ -93,17 +93,18 @@ def oof_classify(
     Output: ``keep``, fold, ``true_label``, ``pred_label`` and ``proba_<class>``.
     """
     classes = label_order(df, label)
-    kept = list(dict.fromkeys([*keep, fold]))
-    text = _with_text(df, label)
+    kept = [c for c in dict.fromkeys([*keep, fold]) if c not in (label, *features)]
+    text = materialize(_with_text(df, label).select(*kept, label, "_label_text", *features, *([weight] if weight else [])))
     parts = []
-    for f in folds_of(df, fold):
+    for f in folds_of(text, fold):
         train, val = text.where(F.col(fold) != f), text.where(F.col(fold) == f)
         for step in ([MedianImputer(features)] if impute else []) + ([StandardScaler(features)] if scale else []):
             step.fit(train)
             train, val = step.transform(train), step.transform(val)
         if resample is not None:
             train = resample(train)
-        model = classifier_pipeline(estimator, features, classes, label, weight).fit(train)
+        # The solver passes over the training rows many times.
+        model = classifier_pipeline(estimator, features, classes, label, weight).fit(materialize(train))
         parts.append(_readable(model.transform(val), classes, kept, label))
     return reduce(DataFrame.unionByName, parts)
 
@@ -112,7 +113,8 @@ def refit(
     df: DataFrame, estimator: Estimator, features: Sequence[str], label: str = "label", weight: str | None = None
 ) -> PipelineModel:
     """Fit on every row (the model to save after cross-validation)."""
-    return classifier_pipeline(estimator, features, label_order(df, label), label, weight).fit(_with_text(df, label))
+    ready = materialize(_with_text(df, label))
+    return classifier_pipeline(estimator, features, label_order(ready, label), label, weight).fit(ready)
 
 
 def oof_regress(
@@ -130,12 +132,14 @@ def oof_regress(
     Missing features take the training median; a fold with fewer than ``min_rows`` finite targets and
     any other missing prediction take the median of the predictions.
     """
+    df = materialize(df)
     out_parts = []
     for f in folds_of(df, fold):
         train, val = df.where(F.col(fold) != f), df.where(F.col(fold) == f)
         imputer = MedianImputer(features).fit(train)
-        scaler = StandardScaler(features).fit(imputer.transform(train))
-        prepared = scaler.transform(imputer.transform(train))
+        filled = imputer.transform(train)
+        scaler = StandardScaler(features).fit(filled)
+        prepared = materialize(scaler.transform(filled))
         scored = val
         ready = scaler.transform(imputer.transform(val.withColumns({f"_raw_{c}": F.col(c) for c in features})))
         for i, target in enumerate(targets):
@@ -227,6 +231,7 @@ def nested_cv(
     Returns out-of-fold predictions, the chosen setting and score per fold, and the consensus setting
     (most frequent over the folds, best inner score on a tie).
     """
+    df = materialize(df)
     parts, chosen = [], []
     for f in folds_of(df, fold):
         train = df.where(F.col(fold) != f)

@@ -247,9 +247,7 @@ def refractory(
         return pdf[keys].assign(_allowed=entries)
 
     entry_schema = T.StructType([*key_fields, T.StructField("_allowed", T.LongType())])
-    entries = (
-        summaries.groupBy(*by) if by else summaries.groupBy(F.lit(1))
-    ).applyInPandas(follow, entry_schema)
+    entries = summaries.groupBy(*by).applyInPandas(follow, entry_schema)
 
     def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(pos)

@@ -67,7 +67,7 @@ def fold_table(
                 heapq.heappush(loads, (load + int(n), f))
             return pd.DataFrame({group: pdf[group], fold: chosen})
 
-        return sizes.groupBy(F.lit(1)).applyInPandas(lightest, schema)
+        return sizes.groupBy().applyInPandas(lightest, schema)
 
     histogram = df.groupBy(group, F.col(stratify).cast("string").alias("_label")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -90,7 +90,7 @@ def fold_table(
             chosen[g] = f + 1
         return pd.DataFrame({group: table.index, fold: chosen})
 
-    return histogram.groupBy(F.lit(1)).applyInPandas(most_even, schema)
+    return histogram.groupBy().applyInPandas(most_even, schema)
 
 
 def _snake(sizes: DataFrame, group: str, k: int, fold: str) -> DataFrame:

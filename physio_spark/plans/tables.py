@@ -16,6 +16,7 @@ from physio_spark.plans.adapter import (
     table,
 )
 from physio_spark.plans.registry import final, query
+from physio_spark.runtime import materialize
 from physio_spark.streaming import jobs
 
 NUMBERS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -277,7 +278,7 @@ def ml3(spark, sf_dir):
 
 
 def _folded(spark, sf_dir, n: int, k: int = 3):
-    return splits.group_kfold(vectors(spark, sf_dir, n), "subject", k)
+    return materialize(splits.group_kfold(vectors(spark, sf_dir, n), "subject", k))
 
 
 KEEP = ["window_id", "subject"]
@@ -287,13 +288,13 @@ FEW = VEC[:8]
 @query("ml4_oof_forest")
 def ml4(spark, sf_dir):
     d = _folded(spark, sf_dir, 64)
-    return models.oof_classify(d, models.forest(40, 8, seed=1), VEC, keep=KEEP)
+    return models.oof_classify(d, models.forest(20, 6, seed=1), VEC, keep=KEEP)
 
 
 @query("ml5_oof_neural_net")
 def ml5(spark, sf_dir):
     d = _folded(spark, sf_dir, 64)
-    return models.oof_classify(d, models.neural_net(64, 10, (16,), maxIter=40), VEC, keep=KEEP, scale=True)
+    return models.oof_classify(d, models.neural_net(64, 10, (16,), maxIter=15), VEC, keep=KEEP, scale=True)
 
 
 def _with_targets(spark, sf_dir):
@@ -309,11 +310,11 @@ def ml6(spark, sf_dir):
 
 @query("ml6_oof_regress_forest")
 def ml6_forest(spark, sf_dir):
-    out = models.oof_regress(_with_targets(spark, sf_dir), ["valence"], VEC[:8], "forest", trees=15)
+    out = models.oof_regress(_with_targets(spark, sf_dir), ["valence"], VEC[:8], "forest", trees=5)
     return out.select(*KEEP, "fold", "pred_valence")
 
 
-SPACE = {"numTrees": [5, 10], "maxDepth": [3, 5], "impurity": ["gini", "entropy"]}
+SPACE = {"numTrees": [3, 5], "maxDepth": [2, 3], "impurity": ["gini", "entropy"]}
 
 
 @query("ml7_random_search")
@@ -365,29 +366,36 @@ def ml14(spark, sf_dir):
 
 # ---------------------------------------------------------------- evaluation
 
-SQL_CELLS = SQL_PREDICTIONS + """
-u AS (SELECT fold, true_label AS label FROM p UNION SELECT fold, pred_label FROM p),
-cell AS (SELECT a.fold, a.label AS "true", b.label AS pred, (SELECT count(*) FROM p WHERE p.fold = a.fold AND p.true_label = a.label
-         AND p.pred_label = b.label) AS n FROM u a JOIN u b ON a.fold = b.fold),
-pc AS (SELECT fold, label, (SELECT sum(n) FROM cell c WHERE c.fold = u.fold AND c."true" = u.label AND c.pred = u.label) AS hits,
-       (SELECT sum(n) FROM cell c WHERE c.fold = u.fold AND c."true" = u.label) AS support,
-       (SELECT sum(n) FROM cell c WHERE c.fold = u.fold AND c.pred = u.label) AS predicted FROM u),
-pr AS (SELECT *, CASE WHEN predicted > 0 THEN hits / predicted::DOUBLE ELSE 0.0 END AS "precision",
-       CASE WHEN support > 0 THEN hits / support::DOUBLE ELSE 0.0 END AS recall FROM pc),
-f1 AS (SELECT *, CASE WHEN "precision" + recall > 0 THEN 2 * "precision" * recall / ("precision" + recall) ELSE 0.0 END AS f1 FROM pr),
-me AS (SELECT fold, sum(hits) / sum(support)::DOUBLE AS accuracy, avg(recall) FILTER (WHERE support > 0) AS balanced_accuracy, avg(f1) AS f1_macro,
-       sum(support) AS n FROM f1 GROUP BY fold),
+
+def sql_metrics(tag: str, fold: str) -> str:
+    """Confusion cells, per-class numbers and metrics per fold; ``tag`` keeps the names apart."""
+    return f"""
+p{tag} AS (SELECT true_label, pred_label, {fold} AS fold FROM p),
+u{tag} AS (SELECT fold, true_label AS label FROM p{tag} UNION SELECT fold, pred_label FROM p{tag}),
+cell{tag} AS (SELECT a.fold, a.label AS "true", b.label AS pred, (SELECT count(*) FROM p{tag} q WHERE q.fold = a.fold
+              AND q.true_label = a.label AND q.pred_label = b.label) AS n FROM u{tag} a JOIN u{tag} b ON a.fold = b.fold),
+pc{tag} AS (SELECT fold, label, (SELECT sum(n) FROM cell{tag} c WHERE c.fold = u.fold AND c."true" = u.label AND c.pred = u.label) AS hits,
+            (SELECT sum(n) FROM cell{tag} c WHERE c.fold = u.fold AND c."true" = u.label) AS support,
+            (SELECT sum(n) FROM cell{tag} c WHERE c.fold = u.fold AND c.pred = u.label) AS predicted FROM u{tag} u),
+pr{tag} AS (SELECT *, CASE WHEN predicted > 0 THEN hits / predicted::DOUBLE ELSE 0.0 END AS "precision",
+            CASE WHEN support > 0 THEN hits / support::DOUBLE ELSE 0.0 END AS recall FROM pc{tag}),
+f1{tag} AS (SELECT *, CASE WHEN "precision" + recall > 0 THEN 2 * "precision" * recall / ("precision" + recall) ELSE 0.0 END AS f1 FROM pr{tag}),
+me{tag} AS (SELECT fold, sum(hits) / sum(support)::DOUBLE AS accuracy, avg(recall) FILTER (WHERE support > 0) AS balanced_accuracy,
+            avg(f1) AS f1_macro, sum(support) AS n FROM f1{tag} GROUP BY fold),
 """
-SQL_POOLED = SQL_CELLS.replace("1 + o_custkey % 5 AS fold", "0 AS fold")
+
+
+SQL_CELLS = SQL_PREDICTIONS + sql_metrics("_f", "fold")
+SQL_POOLED = SQL_PREDICTIONS + sql_metrics("_p", "0")
 MACROS = ["accuracy", "balanced_accuracy", "f1_macro"]
 
 
-@query("evl1_confusion_by_fold", final(SQL_CELLS, 'SELECT fold, "true", pred, n FROM cell'))
+@query("evl1_confusion_by_fold", final(SQL_CELLS, 'SELECT fold, "true", pred, n FROM cell_f'))
 def evl1(spark, sf_dir):
     return E.confusion_matrix(orders_as_predictions(spark, sf_dir), ["fold"])
 
 
-@query("evl1_confusion_pooled", final(SQL_POOLED, 'SELECT "true", pred, n FROM cell'))
+@query("evl1_confusion_pooled", final(SQL_POOLED, 'SELECT "true", pred, n FROM cell_p'))
 def evl1_pooled(spark, sf_dir):
     return E.confusion_matrix(orders_as_predictions(spark, sf_dir))
 
@@ -403,12 +411,12 @@ def evl1_fixed(spark, sf_dir):
     return E.confusion_matrix(orders_as_predictions(spark, sf_dir), labels=["1-URGENT", "5-LOW", "9-NEVER"])
 
 
-@query("evl2_evl3_metrics_by_fold", final(SQL_CELLS, "SELECT * FROM me", MACROS, ["n"]))
+@query("evl2_evl3_metrics_by_fold", final(SQL_CELLS, "SELECT * FROM me_f", MACROS, ["n"]))
 def evl2(spark, sf_dir):
     return E.classification_metrics(orders_as_predictions(spark, sf_dir), ["fold"])
 
 
-@query("evl3_metrics_pooled", final(SQL_POOLED, "SELECT accuracy, balanced_accuracy, f1_macro, n FROM me", MACROS, ["n"]))
+@query("evl3_metrics_pooled", final(SQL_POOLED, "SELECT accuracy, balanced_accuracy, f1_macro, n FROM me_p", MACROS, ["n"]))
 def evl3(spark, sf_dir):
     return E.classification_metrics(orders_as_predictions(spark, sf_dir))
 
@@ -417,11 +425,11 @@ def evl3(spark, sf_dir):
     "evl4_classification_report",
     final(
         SQL_POOLED,
-        'SELECT 0 AS section, label, "precision", recall, f1, support FROM f1 UNION ALL '
-        "SELECT 1, 'accuracy', accuracy, accuracy, accuracy, n FROM me UNION ALL "
-        "SELECT 2, 'macro avg', avg(\"precision\"), avg(recall), avg(f1), sum(support) FROM f1 UNION ALL "
+        'SELECT 0 AS section, label, "precision", recall, f1, support FROM f1_p UNION ALL '
+        "SELECT 1, 'accuracy', accuracy, accuracy, accuracy, n FROM me_p UNION ALL "
+        "SELECT 2, 'macro avg', avg(\"precision\"), avg(recall), avg(f1), sum(support) FROM f1_p UNION ALL "
         "SELECT 3, 'weighted avg', sum(\"precision\" * support) / sum(support), sum(recall * support) / sum(support), "
-        "sum(f1 * support) / sum(support), sum(support) FROM f1",
+        "sum(f1 * support) / sum(support), sum(support) FROM f1_p",
         ['"precision"', "recall", "f1"],
         ["section", "support"],
     ),
@@ -433,16 +441,11 @@ def evl4(spark, sf_dir):
 @query(
     "evl5_fold_summary",
     final(
-        SQL_CELLS
-        + SQL_POOLED.replace("p AS", "pp AS", 1).replace("FROM p ", "FROM pp ").replace("FROM p)", "FROM pp)").replace("p.fold", "pp.fold")
-        .replace("p.true", "pp.true").replace("p.pred", "pp.pred").replace("u AS", "uu AS", 1).replace("FROM u a JOIN u b", "FROM uu a JOIN uu b")
-        .replace("cell AS", "cell2 AS", 1).replace("FROM cell c", "FROM cell2 c").replace("u.fold", "uu.fold").replace("u.label", "uu.label")
-        .replace("FROM u)", "FROM uu)").replace("pc AS", "pc2 AS", 1).replace("FROM pc)", "FROM pc2)").replace("pr AS", "pr2 AS", 1)
-        .replace("FROM pr)", "FROM pr2)").replace("f1 AS (", "f12 AS (", 1).replace("FROM f1 GROUP", "FROM f12 GROUP").replace("me AS", "me2 AS", 1)
-        + """fm AS (SELECT 'accuracy' AS metric, accuracy AS value FROM me UNION ALL SELECT 'balanced_accuracy', balanced_accuracy FROM me
-             UNION ALL SELECT 'f1_macro', f1_macro FROM me),
-             pm AS (SELECT 'accuracy' AS metric, accuracy AS pooled FROM me2 UNION ALL SELECT 'balanced_accuracy', balanced_accuracy FROM me2
-             UNION ALL SELECT 'f1_macro', f1_macro FROM me2)""",
+        SQL_CELLS + sql_metrics("_p", "0")
+        + """fm AS (SELECT 'accuracy' AS metric, accuracy AS value FROM me_f UNION ALL SELECT 'balanced_accuracy', balanced_accuracy FROM me_f
+             UNION ALL SELECT 'f1_macro', f1_macro FROM me_f),
+             pm AS (SELECT 'accuracy' AS metric, accuracy AS pooled FROM me_p UNION ALL SELECT 'balanced_accuracy', balanced_accuracy FROM me_p
+             UNION ALL SELECT 'f1_macro', f1_macro FROM me_p)""",
         "SELECT metric, avg(value) AS mean, stddev_samp(value) AS std, any_value(pooled) AS pooled FROM fm JOIN pm USING (metric) GROUP BY metric",
         ["mean", "std", "pooled"],
     ),
@@ -455,7 +458,7 @@ def evl5(spark, sf_dir):
     "ml15_best_fold",
     final(
         SQL_CELLS,
-        "SELECT *, row_number() OVER (ORDER BY f1_macro DESC, fold) = 1 AS is_best FROM me",
+        "SELECT *, row_number() OVER (ORDER BY f1_macro DESC, fold) = 1 AS is_best FROM me_f",
         MACROS,
         ["n"],
     ),

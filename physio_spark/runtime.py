@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 # Largest number of rows one task is asked to hold in order (see operators.ordered).
 ROWS_PER_CHUNK = 1_000_000
 
+_local_scratch: str | None = None
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Set the SQL options the operators rely on; all are runtime options of a live session."""
@@ -20,28 +23,29 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the session: the configured one, or a scratch folder in local tests.
+    """Folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
 
-    A cluster must name a shared folder in ``spark.checkpoint.dir``; a machine-local folder is
-    refused there, since it would not survive the loss of an executor.
+    Where the setting is absent, a scratch folder serves local sessions (tests); a cluster is refused
+    one, since a machine-local folder would not survive the loss of an executor.
     """
-    context = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    current = context.getCheckpointDir()
+    global _local_scratch
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
-        if not current or not current.startswith(configured):
-            context.setCheckpointDir(configured)
-    elif not current:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="physio-checkpoint-"))
-    return context.getCheckpointDir()
+        return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a shared folder")
+    if _local_scratch is None:
+        _local_scratch = tempfile.mkdtemp(prefix="physio-scratch-")
+    return _local_scratch
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage of a frame that several later stages read.
 
-    Uses a reliable checkpoint, so lost executors cost nothing but the tasks they ran.
+    The rows are computed once and written as a Parquet table to the shared folder, so later readers
+    prune columns and push filters, and lost executors cost nothing but the tasks they ran.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
