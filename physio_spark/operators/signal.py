@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -206,6 +206,24 @@ def _exits(pos: np.ndarray, dist: int) -> np.ndarray:
     return out
 
 
+def _runs(pdf: pd.DataFrame, keys: Sequence[str]):
+    """Slices of equal keys in a sorted batch: (key, first row, end row)."""
+    changed = np.ones(len(pdf), bool)
+    if keys:
+        changed[1:] = (pdf[list(keys)].to_numpy()[1:] != pdf[list(keys)].to_numpy()[:-1]).any(axis=1)
+    else:
+        changed[1:] = False
+    starts = np.flatnonzero(changed)
+    for a, z in zip(starts, [*starts[1:], len(pdf)], strict=True):
+        yield tuple(pdf[c].iat[a] for c in keys), a, z
+
+
+def _in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rows of a key in one partition and in order, to be read as a stream of batches."""
+    placed = df.repartition(*keys) if keys else df.coalesce(1)
+    return placed.sortWithinPartitions(*keys, *order)
+
+
 def refractory(
     candidates: DataFrame, by: Sequence[str], pos: str, min_dist: int, *, chunk: int = 100_000
 ) -> DataFrame:
@@ -222,43 +240,67 @@ def refractory(
     d = candidates.withColumn("_part", F.floor(F.col(pos) / size))
     keys = by + ["_part"]
     key_fields = [d.schema[c] for c in keys]
+    columns = candidates.columns
 
-    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = np.sort(pdf[pos].to_numpy(np.int64))
+    def leave(key: tuple, pieces: list) -> tuple:
+        p = np.concatenate(pieces)
         out = _exits(p, min_dist)
         # A chain from the chunk before ends less than one distance into this chunk, so the entry is
         # among the candidates up to the first one beyond that zone.
         zone = int(np.searchsorted(p, (p[0] // size) * size + min_dist)) + 1
-        head = {c: [pdf[c].iloc[0]] for c in keys}
-        return pd.DataFrame({**head, "_in": [p[:zone].tolist()], "_out": [out[:zone].tolist()]})
+        return (*key, p[:zone].tolist(), out[:zone].tolist())
+
+    def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_key, pieces = None, []
+        for pdf in batches:
+            p, done = pdf[pos].to_numpy(np.int64), []
+            for key, a, z in _runs(pdf, keys):
+                if key != open_key:
+                    if pieces:
+                        done.append(leave(open_key, pieces))
+                    open_key, pieces = key, []
+                pieces.append(p[a:z])
+            if done:
+                yield pd.DataFrame(done, columns=[*keys, "_in", "_out"])
+        if pieces:
+            yield pd.DataFrame([leave(open_key, pieces)], columns=[*keys, "_in", "_out"])
 
     arrays = T.ArrayType(T.LongType())
     summary_schema = T.StructType([*key_fields, T.StructField("_in", arrays), T.StructField("_out", arrays)])
-    summaries = d.select(*keys, pos).groupBy(*keys).applyInPandas(summarise, summary_schema)
-
-    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_part")
-        allowed, entries = np.iinfo(np.int64).min, []
-        for starts, ends in zip(pdf["_in"], pdf["_out"], strict=True):
-            entries.append(allowed)
-            at = int(np.searchsorted(np.asarray(starts), allowed))
-            if at < len(starts):
-                allowed = int(ends[at])
-        return pdf[keys].assign(_allowed=entries)
+    summaries = _in_order(d.select(*keys, pos), keys, [pos]).mapInPandas(summarise, summary_schema)
+
+    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        series, allowed = None, 0
+        for pdf in batches:
+            entries = []
+            for key, a, z in _runs(pdf, by):
+                if key != series:
+                    series, allowed = key, np.iinfo(np.int64).min
+                for starts, ends in zip(pdf["_in"].iloc[a:z], pdf["_out"].iloc[a:z], strict=True):
+                    entries.append(allowed)
+                    at = int(np.searchsorted(np.asarray(starts), allowed))
+                    if at < len(starts):
+                        allowed = int(ends[at])
+            yield pdf[keys].assign(_allowed=entries)
 
     entry_schema = T.StructType([*key_fields, T.StructField("_allowed", T.LongType())])
-    entries = summaries.groupBy(*by).applyInPandas(follow, entry_schema)
-
-    def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(pos)
-        p = pdf[pos].to_numpy(np.int64)
-        i, keep = int(np.searchsorted(p, pdf["_allowed"].iloc[0])), []
-        while i < len(p):
-            keep.append(i)
-            i = int(np.searchsorted(p, p[i] + min_dist))
-        return pdf.iloc[keep].drop(columns=["_part", "_allowed"])
-
-    return d.join(entries, keys).groupBy(*keys).applyInPandas(resolve, candidates.schema)
+    entries = _in_order(summaries, by, ["_part"]).mapInPandas(follow, entry_schema)
+
+    def resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chunk_key, allowed = None, 0
+        for pdf in batches:
+            p, first, keep = pdf[pos].to_numpy(np.int64), pdf["_allowed"].to_numpy(), []
+            for key, a, z in _runs(pdf, keys):
+                if key != chunk_key:
+                    chunk_key, allowed = key, first[a]
+                i = a + int(np.searchsorted(p[a:z], allowed))
+                while i < z:
+                    keep.append(i)
+                    allowed = p[i] + min_dist
+                    i = a + int(np.searchsorted(p[a:z], allowed))
+            yield pdf[columns].iloc[keep]
+
+    return _in_order(d.join(entries, keys), keys, [pos]).mapInPandas(resolve, candidates.schema)
 
 
 def tallest_first(
