@@ -171,7 +171,8 @@ def peaks(
 
     ``threshold``: local maxima higher than ``k`` deviations above the mean, accepted from left to
     right with at least ``min_dist`` samples between two of them.  ``distance``: all local maxima, the
-    highest first, each one removing lower ones closer than ``min_dist``.
+    highest first, each one removing lower ones closer than ``min_dist``; other columns of a plateau
+    are those of its first sample.
     """
     by = list(by)
     scored = zscore(df, [column], by, suffix="_peak_z").withColumnRenamed(f"{column}_peak_z", "z")
@@ -187,7 +188,13 @@ def peaks(
     y = F.col(column)
     top = (y > F.col("_before")) & ((y > F.col("_after")) if strict else (y >= F.col("_after")))
     if mode == "distance":
-        candidates = materialize(rows.where(top).drop("_before", "_after"))
+        # A plateau counts once, at its middle sample, and only if it is left downwards.
+        starts = materialize(rows.where(F.col("_before").isNull() | (y != F.col("_before"))).drop("_before", "_after"))
+        after = F.struct(F.col("idx").alias("i"), y.alias("v"))
+        runs = scan(starts, by, ["idx"], chunk, prev={"_pv": y}, following={"_nx": after})
+        tops = runs.where((y > F.col("_pv")) & (y > F.col("_nx")["v"]))
+        middle = F.floor((F.col("idx") + F.col("_nx")["i"] - 1) / 2)
+        candidates = materialize(tops.withColumn("idx", middle).drop("_pv", "_nx"))
         kept = tallest_first(candidates, by, "idx", column, min_dist, chunk=chunk)
     else:
         # Candidates are read twice (chain summaries, final choice) and are few: keep them.

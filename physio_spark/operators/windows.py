@@ -197,7 +197,8 @@ def window_tensor(grid: DataFrame, by: Sequence[str], channels: Sequence[str]) -
     """Pack the long form of :func:`window_grid` into a channel-major ``ARRAY<ARRAY<FLOAT>>``."""
     ordered = F.array_sort(F.collect_list(F.struct("point", *[F.col(c).cast("float").alias(c) for c in channels])))
     packed = grid.groupBy(*by).agg(ordered.alias("_p"))
-    rows = [F.transform("_p", lambda s, c=c: s[c]) for c in channels]
+    pick = lambda c: F.transform("_p", lambda s: s[c])
+    rows = [pick(c) for c in channels]
     complete = F.forall("_p", lambda s: _all_finite(s, channels))
     return packed.where(complete).select(*by, F.array(*rows).alias("x"))
 
