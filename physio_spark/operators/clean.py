@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 
 from physio_spark.functions.columns import finite, portable_hash
 from physio_spark.operators.ordered import ranked
-from physio_spark.operators.quantiles import quantiles
+from physio_spark.operators.quantiles import GATHER_ROWS, quantiles
 from physio_spark.operators.stats import column_profile
-from physio_spark.runtime import ROWS_PER_CHUNK
 
 
 def normalize_time(
@@ -70,7 +69,7 @@ class MedianImputer:
     """Exact median per column, learned on one frame and applied to any other."""
 
     columns: Sequence[str]
-    max_rows: int | None = ROWS_PER_CHUNK
+    max_rows: int | None = GATHER_ROWS
     medians: dict[str, float] = field(default_factory=dict)
 
     def fit(self, df: DataFrame) -> MedianImputer:
@@ -150,7 +149,7 @@ class QuantileNormalizer:
 
     columns: Sequence[str]
     n: int = 300
-    max_rows: int | None = ROWS_PER_CHUNK
+    max_rows: int | None = GATHER_ROWS
     knots: dict[str, list[float]] = field(default_factory=dict)
 
     def fit(self, df: DataFrame) -> QuantileNormalizer:

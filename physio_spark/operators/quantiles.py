@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from physio_spark.functions.columns import col, finite
+from physio_spark.operators.ordered import attach
 from physio_spark.runtime import ROWS_PER_CHUNK
 
 
@@ -19,11 +21,30 @@ def largest_group(df: DataFrame, by: Sequence[str]) -> int:
     return df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
 
 
+# Above this group size the values of a group are no longer gathered by the built-in percentile.
+GATHER_ROWS = 100_000
+
+
+def percentile_columns(specs: Mapping[str, tuple[str | Column, float]]) -> tuple[list[Column], list[Column]]:
+    """Aggregates and result columns for groups of bounded size.
+
+    Quantiles of the same column share one aggregate, so its values are gathered once.
+    """
+    groups: dict = {}
+    for name, (c, p) in specs.items():
+        groups.setdefault(c if isinstance(c, str) else id(c), (c, []))[1].append((name, p))
+    aggs, outs = [], []
+    for i, (c, wanted) in enumerate(groups.values()):
+        aggs.append(F.percentile(finite(c), F.array(*[F.lit(float(p)) for _, p in wanted])).alias(f"_pct{i}"))
+        outs += [F.get(F.col(f"_pct{i}"), F.lit(j)).alias(name) for j, (name, _) in enumerate(wanted)]
+    return aggs, outs
+
+
 def quantiles(
     df: DataFrame,
     by: Sequence[str],
     specs: Mapping[str, tuple[str | Column, float]],
-    max_rows: int | None = ROWS_PER_CHUNK,
+    max_rows: int | None = GATHER_ROWS,
 ) -> DataFrame:
     """Exact linear-interpolation quantiles: ``{output name: (column, probability)}``.
 
@@ -31,70 +52,86 @@ def quantiles(
     every group goes through :func:`bracketed_quantiles`.  ``max_rows=None`` states that the caller
     knows the groups to be bounded (for instance by window length times sampling rate).
     """
-    if max_rows is not None and largest_group(df, by) > max_rows:
-        return bracketed_quantiles(df, by, specs)
-    outs = [F.percentile(finite(c), F.lit(float(p))).alias(name) for name, (c, p) in specs.items()]
-    return df.groupBy(*by).agg(*outs)
+    if max_rows is not None:
+        fullest = largest_group(df, by)
+        if fullest > max_rows:
+            return bracketed_quantiles(df, by, specs, resolution_for(fullest))
+    aggs, outs = percentile_columns(specs)
+    return df.groupBy(*by).agg(*aggs).select(*by, *outs)
+
+
+def resolution_for(rows: int) -> int:
+    """Sketch resolution that leaves at most about ROWS_PER_CHUNK values inside an interval."""
+    return max(10_000, -(-4 * rows // ROWS_PER_CHUNK))
 
 
 def bracketed_quantiles(
     df: DataFrame,
     by: Sequence[str],
     specs: Mapping[str, tuple[str | Column, float]],
-    accuracy: int = 1_000_000,
+    accuracy: int = 10_000,
 ) -> DataFrame:
     """Exact quantiles without gathering a group.
 
-    A mergeable sketch first gives, per group, an interval that is guaranteed to hold the wanted
-    order statistics.  Values below the interval are only counted, values above it are dropped, and
-    just the few distinct values inside it are put in order.
+    A mergeable sketch first gives, per group and quantile, an interval that is guaranteed to hold the
+    wanted order statistics.  Rows outside every interval are only counted per gap between the
+    intervals; just the few distinct values inside them are put in order.
     """
     by = list(by)
-    names = list(specs)
-    long = df.select(
-        *by,
-        F.posexplode(F.array(*[finite(c) for c, _ in specs.values()])).alias("_q", "_x"),
-    ).where(F.col("_x").isNotNull())
+    columns: dict = {}
+    for name, (c, p) in specs.items():
+        columns.setdefault(c if isinstance(c, str) else id(c), (c, []))[1].append((name, p))
+    out = None
+    for c, wanted in columns.values():
+        part = _bracketed_column(df.select(*by, finite(c).alias("_x")), by, wanted, accuracy)
+        if out is None:
+            out = part
+        else:
+            out = out.join(part, by) if by else out.crossJoin(part)  # single rows without groups
+    return out.select(*by, *specs)
+
+
+def _bracketed_column(
+    rows: DataFrame, by: list[str], wanted: list[tuple[str, float]], accuracy: int, salts: int = 16
+) -> DataFrame:
     margin = 2.0 / accuracy
-    low_p = [max(0.0, p - margin) for _, p in specs.values()]
-    high_p = [min(1.0, p + margin) for _, p in specs.values()]
-    edges = long.groupBy(*by, "_q").agg(
-        F.count("_x").alias("_n"),
-        F.percentile_approx("_x", low_p, accuracy).alias("_lo"),
-        F.percentile_approx("_x", high_p, accuracy).alias("_hi"),
+    probs = [q for _, p in wanted for q in (max(0.0, p - margin), min(1.0, p + margin))]
+    edges = rows.groupBy(*by).agg(
+        F.count("_x").alias("_n"), F.percentile_approx("_x", probs, accuracy).alias("_edge")
     )
     # A group no larger than the sketch resolution is short enough to be ordered in full.
     small = F.col("_n") <= accuracy
-    q = F.col("_q")
+    low, high = [f"_lo{i}" for i in range(len(wanted))], [f"_hi{i}" for i in range(len(wanted))]
     edges = edges.select(
         *by,
-        "_q",
         "_n",
-        F.when(small, F.lit(-math.inf)).otherwise(F.get(F.col("_lo"), q)).alias("_lo"),
-        F.when(small, F.lit(math.inf)).otherwise(F.get(F.col("_hi"), q)).alias("_hi"),
-        F.element_at(F.array(*[F.lit(float(p)) for _, p in specs.values()]), q + 1).alias("_p"),
-    )
-    salts = 16
-    spread = edges.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    inside = (
-        long.withColumn("_salt", F.pmod(F.xxhash64("_x"), F.lit(salts)).cast("int"))
-        .join(spread, by + ["_q", "_salt"])
-        .where(F.col("_x") <= F.col("_hi"))
-        .groupBy(*by, "_q", "_n", "_p", F.when(F.col("_x") >= F.col("_lo"), F.col("_x")).alias("_x"))
-        .agg(F.count(F.lit(1)).alias("_m"))
+        *[F.when(small, F.lit(-math.inf)).otherwise(F.get("_edge", F.lit(2 * i))).alias(c) for i, c in enumerate(low)],
+        *[F.when(small, F.lit(math.inf)).otherwise(F.get("_edge", F.lit(2 * i + 1))).alias(c) for i, c in enumerate(high)],
     )
-    # Null (everything below the interval) sorts first and contributes only its count.
-    w = Window.partitionBy(*by, "_q").orderBy(F.asc_nulls_first("_x"))
-    placed = inside.withColumn("_upto", F.sum("_m").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    h = F.col("_p") * (F.col("_n") - 1)
-    k = F.floor(h)
-    at = lambda r: F.min(F.when(F.col("_x").isNotNull() & (F.col("_upto") > r), F.col("_x")))
-    picked = placed.groupBy(*by, "_q").agg(
-        at(k).alias("_a"), at(F.least(k + 1, F.col("_n") - 1)).alias("_b"), F.first(h - k).alias("_f")
+    x = F.col("_x")
+    inside = reduce(lambda a, b: a | b, [x.between(F.col(lo), F.col(hi)) for lo, hi in zip(low, high, strict=True)])
+    gap = reduce(lambda a, b: a + b, [(x >= F.col(c)).cast("int") for c in [*low, *high]])
+    counted = (
+        attach(rows, edges, by, salts)
+        .withColumn("_one", x.isNotNull().cast("bigint"))
+        .groupBy(*by, "_n", gap.alias("_gap"), F.when(inside, x).alias("_x"))
+        .agg(F.sum("_one").alias("_m"))
     )
-    value = F.col("_a") + F.col("_f") * (F.col("_b") - F.col("_a"))
-    outs = [F.max(F.when(q == i, value)).alias(name) for i, name in enumerate(names)]
-    return picked.groupBy(*by).agg(*outs)
+    # Within a gap the one value equal to its lower edge comes before the rows beyond it.
+    w = Window.partitionBy(*by).orderBy("_gap", F.asc_nulls_last("_x"))
+    placed = counted.withColumn("_upto", F.sum("_m").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    n = F.col("_n")
+    at = lambda r: F.min(F.when(x.isNotNull() & (F.col("_upto") > r), x))
+    aggs, outs = [], []
+    for i, (name, p) in enumerate(wanted):
+        h = F.lit(float(p)) * (n - 1)
+        aggs += [
+            at(F.floor(h)).alias(f"_a{i}"),
+            at(F.least(F.floor(h) + 1, n - 1)).alias(f"_b{i}"),
+            F.max(h - F.floor(h)).alias(f"_f{i}"),
+        ]
+        outs.append((F.col(f"_a{i}") + F.col(f"_f{i}") * (F.col(f"_b{i}") - F.col(f"_a{i}"))).alias(name))
+    return placed.groupBy(*by).agg(*aggs).select(*by, *outs)
 
 
 def mode_of(df: DataFrame, by: Sequence[str], value: str, name: str, default=None) -> DataFrame:

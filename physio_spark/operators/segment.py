@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from physio_spark.operators.ordered import attach, scan
+from physio_spark.operators.ordered import CHUNK, attach, chunk_of, scan
 from physio_spark.operators.quantiles import quantiles
 
 
@@ -25,20 +25,71 @@ def blocks(
     Adds ``block`` (1, 2, ...), ``block_start`` and ``block_end`` (first and last time of the run).
     A value that returns later opens a new block.
     """
+    by = list(by)
+    keys = [*by, CHUNK]
+    columns = df.columns
     order = [t, *tie]
-    box = F.struct(F.col(key).alias("k"))
-    edges = scan(df, by, order, width, prev={"_prev": box}, following={"_next": box})
-    opens = F.col("_prev").isNull() | ~F.col("_prev")["k"].eqNullSafe(F.col(key))
-    closes = F.col("_next").isNull() | ~F.col("_next")["k"].eqNullSafe(F.col(key))
-    return scan(
-        edges,
-        by,
-        order,
-        width,
-        running={"block": opens.cast("bigint")},
-        last={"block_start": F.when(opens, F.col(t))},
-        ahead={"block_end": F.when(closes, F.col(t))},
-    ).drop("_prev", "_next")
+    k = F.struct(F.col(key).alias("k"))
+    up = Window.partitionBy(*keys).orderBy(*order)
+    down = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
+    to_here = (Window.unboundedPreceding, Window.currentRow)
+
+    # Inside a chunk: runs are counted from 0, and the first and last run stay open at the border.
+    local = df.withColumn(CHUNK, chunk_of(t, width)).withColumns(
+        {
+            "_opens": F.lag(k).over(up).isNotNull() & ~F.lag(k).over(up)["k"].eqNullSafe(F.col(key)),
+            "_closes": F.lead(k).over(up).isNotNull() & ~F.lead(k).over(up)["k"].eqNullSafe(F.col(key)),
+        }
+    )
+    local = local.withColumns(
+        {
+            "_run": F.sum(F.col("_opens").cast("bigint")).over(up.rowsBetween(*to_here)),
+            "_from": F.last(F.when(F.col("_opens"), F.col(t)), ignorenulls=True).over(up.rowsBetween(*to_here)),
+            "_to": F.last(F.when(F.col("_closes"), F.col(t)), ignorenulls=True).over(down.rowsBetween(*to_here)),
+        }
+    )
+
+    # One row per chunk decides whether its first run continues the chunk before.
+    rank = F.struct(*order)
+    table = local.groupBy(*keys).agg(
+        F.min_by(k, rank).alias("_k0"),
+        F.max_by(k, rank).alias("_k1"),
+        F.min(t).alias("_t0"),
+        F.max(t).alias("_t1"),
+        F.sum(F.col("_opens").cast("bigint")).alias("_n"),
+        F.max(F.when(F.col("_opens"), F.col(t))).alias("_last_from"),
+        F.min(F.when(F.col("_closes"), F.col(t))).alias("_first_to"),
+    )
+    chunks_up = Window.partitionBy(*by).orderBy(CHUNK)
+    chunks_down = Window.partitionBy(*by).orderBy(F.desc(CHUNK))
+    before = (Window.unboundedPreceding, -1)
+    table = table.withColumns(
+        {
+            "_new": ~F.coalesce(F.lag("_k1").over(chunks_up)["k"].eqNullSafe(F.col("_k0")["k"]), F.lit(False))
+            | F.lag("_k1").over(chunks_up).isNull(),
+            "_ends": ~F.coalesce(F.lead("_k0").over(chunks_up)["k"].eqNullSafe(F.col("_k1")["k"]), F.lit(False))
+            | F.lead("_k0").over(chunks_up).isNull(),
+        }
+    )
+    begun = F.coalesce("_last_from", F.when(F.col("_new"), F.col("_t0")))
+    ended = F.coalesce("_first_to", F.when(F.col("_ends"), F.col("_t1")))
+    offset = F.coalesce(F.sum("_n").over(chunks_up.rowsBetween(*before)), F.lit(0))
+    state = table.select(
+        *keys,
+        (offset + F.sum(F.col("_new").cast("bigint")).over(chunks_up.rowsBetween(*to_here))).alias("_offset"),
+        F.when(F.col("_new"), F.col("_t0"))
+        .otherwise(F.last(begun, ignorenulls=True).over(chunks_up.rowsBetween(*before)))
+        .alias("_carry_from"),
+        F.when(F.col("_ends"), F.col("_t1"))
+        .otherwise(F.last(ended, ignorenulls=True).over(chunks_down.rowsBetween(*before)))
+        .alias("_carry_to"),
+    )
+    return local.join(state, keys, "left").select(
+        *columns,
+        (F.col("_run") + F.col("_offset")).alias("block"),
+        F.coalesce("_from", "_carry_from").alias("block_start"),
+        F.coalesce("_to", "_carry_to").alias("block_end"),
+    )
 
 
 def segments(blocked: DataFrame, by: Sequence[str] = ("subject",), t: str = "t", key: str = "video") -> DataFrame:

@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 
 from physio_spark.functions.columns import finite, first_valid, lerp
 from physio_spark.operators.ordered import attach, scan
-from physio_spark.operators.quantiles import quantiles
-from physio_spark.runtime import ROWS_PER_CHUNK, materialize
+from physio_spark.operators.quantiles import GATHER_ROWS, quantiles
+from physio_spark.runtime import materialize
 
 # ---------------------------------------------------------------- smoothing and standardising
 
@@ -375,7 +375,7 @@ def peak_features(
 
 
 def peak_amplitude_stats(
-    df: DataFrame, by: Sequence[str], peak: str, amplitude: str, max_rows: int | None = ROWS_PER_CHUNK
+    df: DataFrame, by: Sequence[str], peak: str, amplitude: str, max_rows: int | None = GATHER_ROWS
 ) -> DataFrame:
     """Count of peaks and statistics of the positive amplitudes at them; no amplitude gives zeros."""
     by = list(by)
@@ -427,7 +427,7 @@ def hrv_time(
     ddof: int = 0,
     as_percent: bool = True,
     unit_ms: float = 1.0,
-    max_rows: int | None = ROWS_PER_CHUNK,
+    max_rows: int | None = GATHER_ROWS,
 ) -> DataFrame:
     """Time-domain variability of ``ibi`` / ``ibi_diff`` (``unit_ms`` milliseconds per unit).
 

@@ -14,13 +14,24 @@ from pyspark.sql import functions as F
 
 from physio_spark.functions.columns import finite
 from physio_spark.operators.ordered import attach, scan
-from physio_spark.operators.quantiles import quantiles
-from physio_spark.runtime import ROWS_PER_CHUNK
+from physio_spark.operators.quantiles import (
+    GATHER_ROWS,
+    bracketed_quantiles,
+    largest_group,
+    percentile_columns,
+    quantiles,
+    resolution_for,
+)
 
 BASE = ("mean", "std0", "min", "max", "slope")
 EXTENDED = ("mean", "std1", "min", "max", "median", "iqr", "range", "slope")
 BASIC_BLOCK = ("min", "max", "mean", "std0", "median", "range", "skew", "kurtosis")
 DIFFERENCES = ("diff_mean", "diff_std0", "diff_positive")
+# Statistics that read the columns of with_neighbours, and those that read the rows more than once.
+NEEDS_NEIGHBOURS = {
+    "slope_fs", "slope_fit", "auc", "diff_mean", "diff_std0", "diff_std1", "diff_positive", "breath_rate", "zero_crossings",
+}
+SEVERAL_PASSES = {"median", "iqr", "q25", "q75", "mad", "zero_crossings"}
 ZERO_WHEN_EMPTY = {
     "mean", "std0", "std1", "min", "max", "median", "iqr", "range", "slope", "slope_fs",
     "diff_mean", "diff_std0", "diff_std1", "diff_positive", "zero_crossings", "breath_rate",
@@ -128,7 +139,7 @@ def stats(
     fs: float | Column = 1.0,
     window: tuple[str, str] | None = None,
     unit: float = 1e6,
-    max_rows: int | None = ROWS_PER_CHUNK,
+    max_rows: int | None = GATHER_ROWS,
     empty: float | None = 0.0,
 ) -> DataFrame:
     """Per-group statistics ``<c>_<name>`` for every column and every name in ``spec``.
@@ -158,18 +169,23 @@ def stats(
     if "zero_crossings" in second:
         aggs += [F.avg(finite(c)).alias(f"_m_{c}") for c in cols]
     aggs.append(F.count(F.lit(1)).alias("n_rows"))
-    out = df.groupBy(*by).agg(*aggs)
-
-    if quantile or "mad" in second:
-        wanted = {}
-        for c in cols:
-            if "mad" in second:
-                wanted[f"_med_{c}"] = (c, 0.5)
-            for s in quantile:
-                for p in _QUANTILE_NAMES[s]:
-                    wanted[f"_{s}{p}_{c}"] = (c, p)
-        q = quantiles(df, by, wanted, max_rows)
-        out = out.join(q, by) if by else out.crossJoin(q)
+    wanted = {}
+    for c in cols:
+        if "mad" in second:
+            wanted[f"_med_{c}"] = (c, 0.5)
+        for s in quantile:
+            for p in _QUANTILE_NAMES[s]:
+                wanted[f"_{s}{p}_{c}"] = (c, p)
+    fullest = largest_group(df, by) if wanted and max_rows is not None else 0
+    if wanted and fullest <= (max_rows or 0):
+        gathered, placed = percentile_columns(wanted)
+        out = df.groupBy(*by).agg(*aggs, *gathered).select("*", *placed)
+    else:
+        out = df.groupBy(*by).agg(*aggs)
+        if wanted:
+            q = bracketed_quantiles(df, by, wanted, resolution_for(fullest))
+            out = out.join(q, by) if by else out.crossJoin(q)  # without groups both are single rows
+    if wanted:
         for c in cols:
             for s in quantile:
                 ps = _QUANTILE_NAMES[s]
@@ -218,7 +234,7 @@ def two_level_mean(df: DataFrame, cols: Sequence[str], inner: Sequence[str], out
 
 
 def category_summary(
-    df: DataFrame, by: Sequence[str], cols: Sequence[str], max_rows: int | None = ROWS_PER_CHUNK
+    df: DataFrame, by: Sequence[str], cols: Sequence[str], max_rows: int | None = GATHER_ROWS
 ) -> DataFrame:
     """Mean, std (ddof 1) and box-plot numbers per category; whiskers are the most extreme values
     within 1.5 interquartile ranges of the box."""
@@ -298,7 +314,7 @@ def value_counts(df: DataFrame, cols: Sequence[str], k: int | None = None) -> Da
     return counted.orderBy(F.desc("n"), *cols).limit(k) if k else counted
 
 
-def describe(df: DataFrame, cols: Sequence[str], max_rows: int | None = ROWS_PER_CHUNK) -> DataFrame:
+def describe(df: DataFrame, cols: Sequence[str], max_rows: int | None = GATHER_ROWS) -> DataFrame:
     """Count, mean, std (ddof 1), minimum, exact quartiles and maximum, one row per column."""
     long = df.select(*cols).unpivot([], list(cols), "column", "value") if _same_type(df, cols) else (
         df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], list(cols), "column", "value")

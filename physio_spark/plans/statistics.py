@@ -22,6 +22,7 @@ from physio_spark.plans.adapter import (
     windowed,
 )
 from physio_spark.plans.registry import final, query
+from physio_spark.runtime import materialize
 
 KEY = ["subject", "block", "win"]
 FS = 2.0
@@ -29,7 +30,9 @@ WINDOW = ("win_start", "win_end")
 
 
 def _window_stats(spark, sf_dir, spec, empty=0.0):
-    wd, _ = windowed(spark, sf_dir, neighbours=True)
+    wd, _ = windowed(spark, sf_dir, neighbours=bool(set(spec) & S.NEEDS_NEIGHBOURS))
+    if set(spec) & S.SEVERAL_PASSES:
+        wd = materialize(wd.select(*KEY, *WINDOW, *[c for c in wd.columns if c.endswith(("value", "_t")) or c in ("t", "idx")]))
     return S.stats(wd, [*KEY, *WINDOW], ["value"], spec, fs=FS, window=WINDOW, unit=float(DAY), empty=empty).drop(*WINDOW)
 
 

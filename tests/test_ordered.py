@@ -104,6 +104,10 @@ def test_bracketed_quantiles_equal_numpy(spark):
     got = bracketed_quantiles(
         spark.createDataFrame(pdf), ["subject"], {"a": ("value", 0.1), "b": ("value", 0.5), "c": ("value", 0.99)}, accuracy=200
     ).toPandas().set_index("subject")
+    assert len(got) == 3
+    nothing = spark.createDataFrame([(1, None), (2, 3.0)], "g int, v double")
+    few = {r["g"]: r["m"] for r in bracketed_quantiles(nothing, ["g"], {"m": ("v", 0.5)}).collect()}
+    assert few == {1: None, 2: 3.0}
     for g, part in pdf.groupby("subject"):
         np.testing.assert_allclose(got.loc[g, ["a", "b", "c"]], np.percentile(part["value"], [10, 50, 99]), atol=1e-12)
 
@@ -192,3 +196,19 @@ def test_distance_peaks_equal_brute_force(spark, chunk):
         df = spark.createDataFrame(pd.DataFrame({"g": 1, "t": range(len(x)), "x": x}))
         got = peaks(df, "x", ["g"], min_dist=5, mode="distance", width=40, chunk=chunk).toPandas()
         assert sorted(got["idx"]) == tallest(x, 5)
+
+
+@pytest.mark.parametrize("width", [1, 3, 50, 10_000])
+def test_blocks_do_not_depend_on_chunks(spark, width):
+    from physio_spark.operators.segment import blocks
+
+    pdf = series(200, 2, 9)
+    pdf["video"] = np.random.default_rng(1).integers(0, 2, len(pdf)) // 1
+    pdf["video"] = (pdf["t"] // 37 + pdf["video"] * (pdf["t"] > 3000)) % 3
+    got = blocks(spark.createDataFrame(pdf), width=width).toPandas().sort_values(["subject", "t"], ignore_index=True)
+    change = (pdf["video"] != pdf.groupby("subject")["video"].shift()).astype(int)
+    pdf["block"] = change.groupby(pdf["subject"]).cumsum()
+    run = pdf.groupby(["subject", "block"])["t"]
+    np.testing.assert_array_equal(got["block"], pdf["block"])
+    np.testing.assert_array_equal(got["block_start"], run.transform("min"))
+    np.testing.assert_array_equal(got["block_end"], run.transform("max"))
