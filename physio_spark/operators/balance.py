@@ -17,6 +17,7 @@ from physio_spark.operators.ordered import ranked
 from physio_spark.runtime import materialize
 
 TILE_ROWS = 4_000
+MAX_SLABS = 2_000  # slab borders travel inside the query plan
 
 
 def nearest_neighbours(
@@ -36,7 +37,7 @@ def nearest_neighbours(
     spread = data.agg(*[F.var_pop(F.get(vector, i)).alias(str(i)) for i in range(width)]).first()
     axis = max(range(width), key=lambda i: (spread[i] or 0.0, -i))
     at = F.get(vector, axis).cast("double")
-    slabs = max(1, math.ceil(size / tile))
+    slabs = min(MAX_SLABS, max(1, math.ceil(size / tile)))
     cuts: list[float] = []
     if slabs > 1:
         probs = [i / slabs for i in range(1, slabs)]
@@ -48,9 +49,10 @@ def nearest_neighbours(
     fill = placed.groupBy("_slab").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / tile)).cast("int").alias("_tiles"))
     placed = placed.join(fill, "_slab").withColumn("_tile", F.pmod(F.xxhash64("_d"), F.col("_tiles")).cast("int"))
     asked = queries.select(F.col(key).alias("_q"), F.col(vector).alias("_qv"), at.alias("_p"))
-    parts = max(1, math.ceil(queries.count() / tile))
-    asked = asked.withColumn("_part", F.pmod(F.xxhash64("_q"), F.lit(parts)).cast("int"))
     asked = asked.withColumn("_own", slab_of(F.col("_p")))
+    # Queries of one slab stay together, so that they visit the same few slabs.
+    crowd = asked.groupBy("_own").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("_parts"))
+    asked = asked.join(crowd, "_own").withColumn("_part", F.pmod(F.xxhash64("_q"), F.col("_parts")).cast("int"))
 
     id_type = data.schema[key].dataType
     out_schema = T.StructType(
@@ -79,12 +81,13 @@ def nearest_neighbours(
 
     def visit(wanted: DataFrame) -> DataFrame:
         targets = wanted.join(fill, "_slab").withColumn("_tile", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
-        copies = placed.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        keys = ["_slab", "_tile", "_part"]
+        visits = wanted.select("_slab", F.col("_own").alias("_from"), F.col("_part").alias("_side")).distinct()
+        copies = placed.join(visits, "_slab")
+        keys, mirrored = ["_slab", "_tile", "_own", "_part"], ["_slab", "_tile", "_from", "_side"]
         return (
             targets.select(*keys, "_q", "_qv")
             .groupBy(*keys)
-            .cogroup(copies.select(*keys, "_d", "_dv").groupBy(*keys))
+            .cogroup(copies.select(*mirrored, "_d", "_dv").groupBy(*mirrored))
             .applyInPandas(closest, out_schema)
         )
 

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from physio_spark.functions.columns import portable_hash
 from physio_spark.operators.ordered import attach, ranked
+from physio_spark.runtime import materialize
 
 # The greedy rules walk the table of groups (one row each) in order; above this many groups the
 # distributed rule takes over.
@@ -117,14 +118,23 @@ def ranked_offsets(hist: DataFrame) -> DataFrame:
 def fold_summary(df: DataFrame, group: str = "subject", label: str = "label", fold: str = "fold") -> DataFrame:
     """Rows, classes and subjects of the training and validation part of every fold.
 
-    ``usable`` is false when either part lacks a class (such folds are skipped in training).
+    ``usable`` is false when either part lacks a class (such folds are skipped in training).  The
+    subject lists are text in one row; above ``GREEDY_GROUPS`` groups they are null and the fold
+    table itself is the membership list.
     """
-    whole = df.groupBy(group, fold, label).agg(F.count(F.lit(1)).alias("n"))
-    folds = whole.select(F.col(fold).alias("_f")).distinct()
-    # folds (k rows) x groups: each group row is read once per fold as train or validation.
-    both = whole.join(F.broadcast(folds)).withColumn("_val", F.col(fold) == F.col("_f"))
+    whole = materialize(df.groupBy(group, fold, label).agg(F.count(F.lit(1)).alias("n")))
+    folds = sorted(r[fold] for r in whole.select(fold).distinct().collect())
+    # Each row of the (small) group table counts once per fold, as training or validation.
+    both = whole.withColumn("_f", F.explode(F.array(*[F.lit(f) for f in folds])))
+    both = both.withColumn("_val", F.col(fold) == F.col("_f"))
     n, v = F.col("n"), F.col("_val")
-    ids = lambda c: F.concat_ws(",", F.array_sort(F.collect_set(F.when(c, F.col(group)))))
+    listed = whole.select(group).distinct().count() <= GREEDY_GROUPS
+
+    def ids(chosen):
+        if not listed:
+            return F.lit(None).cast("string")
+        return F.concat_ws(",", F.array_sort(F.collect_set(F.when(chosen, F.col(group)))))
+
     out = both.groupBy(F.col("_f").alias(fold)).agg(
         F.sum(F.when(~v, n).otherwise(0)).alias("n_train_samples"),
         F.sum(F.when(v, n).otherwise(0)).alias("n_val_samples"),

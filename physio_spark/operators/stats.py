@@ -160,7 +160,7 @@ def stats(
     # The rate is one number per group; inside row expressions it is a plain column.
     # Time since the window began: large time stamps would cost the slope its digits.
     elapsed = F.col(t) - F.col(window[0]) if window else F.col(t)
-    ctx = {"fs": fs, "elapsed": elapsed, "t": t, "unit": unit, "inside_prev": inside_prev, "inside_next": inside_next}
+    ctx = {"fs": fs, "elapsed": elapsed, "bounded": window is not None, "t": t, "unit": unit, "inside_prev": inside_prev, "inside_next": inside_next}
     direct = [s for s in spec if s not in _QUANTILE_NAMES and s not in _SECOND_PASS]
     second = [s for s in spec if s in _SECOND_PASS]
     quantile = [s for s in spec if s in _QUANTILE_NAMES]
@@ -205,7 +205,8 @@ def _second_pass(df, out, by, cols, second, ctx, max_rows):
     """Statistics about a centre that the first pass produced."""
     extra = [f"_m_{c}" for c in cols if "zero_crossings" in second]
     extra += [f"_med_{c}" for c in cols if "mad" in second]
-    centred = attach(df, out.select(*by, *extra), by)
+    # Windows are short; groups without bounds may be hot and are salted.
+    centred = attach(df, out.select(*by, *extra), by, salts=1 if ctx["bounded"] else 16)
     if "zero_crossings" in second:
         crossings = []
         for c in cols:
