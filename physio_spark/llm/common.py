@@ -67,3 +67,11 @@ class Shared:
             Shared._built.clear()
             Shared._built[self.token] = self.build(self.broadcast.value)
         return Shared._built[self.token]
+
+
+def fresh(taken: list[str], name: str) -> str:
+    """A column name that a frame does not use yet."""
+    used = {x.lower() for x in taken}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
