@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import prepare
-from . import language_id, line_dedup, simhash, substring_dedup, toxicity
+from . import language_id, line_dedup, packing, simhash, substring_dedup, toxicity
 from .common import remainder, table, unit
 
 SQL: dict[str, str] = {}
@@ -71,6 +72,12 @@ FROM documents LEFT JOIN kept USING (doc_id)
 """
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 2048 tokens."""
+    docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the lines that a smaller document holds."""
     docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
@@ -106,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_language_id": op5_language_id,
+    "op8_packing": op8_packing,
     "op9_line_dedup": op9_line_dedup,
     "op10_simhash": op10_simhash,
 }
