@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import prepare
-from . import language_id, line_dedup, packing, simhash, substring_dedup, toxicity
+from . import decontaminate, language_id, line_dedup, packing, simhash, substring_dedup, toxicity
 from .common import remainder, table, unit
 
 SQL: dict[str, str] = {}
@@ -72,6 +72,12 @@ FROM documents LEFT JOIN kept USING (doc_id)
 """
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of the benchmark, with the item; a document not in the result is clean."""
+    docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.leaks(docs, decontaminate.fit(docs, table(spark, sf_dir, "benchmark")))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 tokens."""
     docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
@@ -113,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_language_id": op5_language_id,
+    "op7_decontaminate": op7_decontaminate,
     "op8_packing": op8_packing,
     "op9_line_dedup": op9_line_dedup,
     "op10_simhash": op10_simhash,
