@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import prepare
-from . import decontaminate, language_id, line_dedup, packing, simhash, substring_dedup, toxicity
+from . import ann, decontaminate, language_id, line_dedup, packing, simhash, substring_dedup, toxicity
 from .common import remainder, table, unit
 
 SQL: dict[str, str] = {}
@@ -43,6 +43,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth vector."""
+    return ann.search(table(prepare(spark), sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the words of windows that a smaller document starts."""
     docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
@@ -117,6 +122,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_ann": op2_ann,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_language_id": op5_language_id,
     "op7_decontaminate": op7_decontaminate,
