@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import prepare
-from . import ann, decontaminate, language_id, line_dedup, packing, simhash, substring_dedup, toxicity
+from . import ann, decontaminate, html_extract, language_id, line_dedup, packing, simhash, substring_dedup, toxicity
 from .common import remainder, table, unit
 
 SQL: dict[str, str] = {}
@@ -48,6 +48,12 @@ def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(prepare(spark), sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(prepare(spark), sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract(pages, text="extracted").select("page_id", "url", F.col("extracted").alias("text"), F.length("extracted").cast("long").alias("n_chars"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the words of windows that a smaller document starts."""
     docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
@@ -123,6 +129,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_ann": op2_ann,
+    "op3_html": op3_html,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_language_id": op5_language_id,
     "op7_decontaminate": op7_decontaminate,
