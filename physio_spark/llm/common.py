@@ -7,8 +7,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Bytes that separate words and that line keys are stripped of: [\x20\x09-\x0D].
 SPACE = b" \t\n\x0b\x0c\r"
@@ -51,6 +53,33 @@ def texts(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
 
 
 
+def slices(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Consecutive row ranges of about ``most`` bytes of text each; a longer text is one of its own."""
+    ends = utf8(column)[1]
+    lo = 0
+    while lo < len(column):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + most, "right")) - 1)
+        yield lo, hi
+        lo = hi
+
+
+def split_words(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of a string column: the distinct ones, their numbers end to end, and each row's end.
+
+    Nulls have no words.  Splitting and numbering run in Arrow, without a Python object per word.
+    """
+    split = pc.ascii_split_whitespace(column.fill_null("") if column.null_count else column)
+    coded = split.flatten().dictionary_encode()
+    numbers = coded.indices.to_numpy().astype(np.int64)
+    ends = np.cumsum(pc.list_value_length(split).to_numpy().astype(np.int64))
+    empty = pc.index(coded.dictionary, pa.scalar("", coded.dictionary.type)).as_py()  # white space at a text's ends
+    if empty >= 0:
+        keep = numbers != empty
+        ends = np.concatenate([[0], np.cumsum(keep)])[ends]
+        numbers = numbers[keep]
+    return coded.dictionary, numbers, ends
+
+
 class Shared:
     """A broadcast value of which every Python worker builds its own object once, and keeps the newest."""
 
@@ -69,6 +98,14 @@ class Shared:
         return Shared._built[self.token]
 
 
+def widened(schema: T.StructType, **columns: str) -> T.StructType:
+    """A copy of a schema with more columns at its end."""
+    out = T.StructType(list(schema.fields))
+    for name, kind in columns.items():
+        out = out.add(name, kind)
+    return out
+
+
 def fresh(taken: list[str], name: str) -> str:
     """A column name that a frame does not use yet."""
     used = {x.lower() for x in taken}

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import widened
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>script|style|title|textarea|noscript|template|iframe|svg|math|canvas|object|select|button|video|audio)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -252,4 +254,4 @@ def extract(pages: DataFrame, html: str = "html", text: str = "main_text") -> Da
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], [*batch.schema.names, text])
 
     typed = pages.withColumn(html, F.col(html).cast("string"))
-    return typed.mapInArrow(run, typed.schema.add(text, "string"))
+    return typed.mapInArrow(run, widened(typed.schema, **{text: "string"}))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import materialize
-from .common import SPACE, Shared, fresh, texts
+from .common import SPACE, Shared, fresh, texts, widened
 
 SEGMENT_BITS = 16
 PROBES = 3
@@ -156,10 +156,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", segmen
     dropped, owner = fresh(docs.columns, "drop"), fresh(docs.columns, "owner")
     lists = later.groupBy(F.col("doc").alias(owner)).agg(F.collect_set("mark").alias(dropped))
     joined = docs.join(lists, docs[key] == F.col(owner), "left").drop(owner)
-    out_schema = docs.schema
+    out_schema = widened(docs.schema, **dict.fromkeys(counts or (), "long"))
     place = docs.columns.index(text)
-    for name in counts or ():
-        out_schema = out_schema.add(name, "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import prepare
-from . import ann, decontaminate, html_extract, language_id, line_dedup, packing, simhash, substring_dedup, toxicity
+from . import ann, decontaminate, html_extract, language_id, line_dedup, packing, simhash, substring_dedup, toxicity, warc
 from .common import remainder, table, unit
 
 SQL: dict[str, str] = {}
@@ -83,6 +83,28 @@ FROM documents LEFT JOIN kept USING (doc_id)
 """
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a record of web archives, written and read back."""
+    pages = table(prepare(spark), sf_dir, "pages").select("page_id", "url", "html")
+    folder = warc.archive_folder(spark)
+    found = warc.read(warc.write(pages, folder), folder).where("error IS NULL")
+    kind = pages.schema["page_id"].dataType
+    number = lambda c: F.when(F.col(c) != "", F.col(c)).cast(kind)
+    return found.select(
+        number("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type", number("refers_to").alias("refers_to")
+    )
+
+
+SQL["op6_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha256(coalesce(html, '')) AS d, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+       CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > first THEN first END AS refers_to
+FROM p LEFT JOIN f USING (d)
+"""
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold an item of the benchmark, with the item; a document not in the result is clean."""
     docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
@@ -132,6 +154,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_html": op3_html,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_language_id": op5_language_id,
+    "op6_warc": op6_warc,
     "op7_decontaminate": op7_decontaminate,
     "op8_packing": op8_packing,
     "op9_line_dedup": op9_line_dedup,

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, fresh, texts
+from .common import Shared, fresh, texts, widened
 
 GRAM = 3
 # Words that one task lays out at once, and the share of all packed strings that makes a triple frequent.
@@ -279,10 +279,8 @@ def dedup_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", wind
     owner, mark, ranges = (fresh(docs.columns, x) for x in ("owner", "mark", "ranges"))
     lists = found.groupBy(F.col("doc").alias(owner), F.col("mark").alias(mark)).agg(F.collect_list(F.struct("first", "end")).alias(ranges))
     joined = docs.join(lists, (docs[key] == F.col(owner)) & (F.xxhash64(docs[text].cast("string")) == F.col(mark)), "left").drop(owner, mark)
-    schema = docs.schema
+    schema = widened(docs.schema, **dict.fromkeys(counts or (), "long"))
     place = docs.columns.index(text)
-    for name in counts or ():
-        schema = schema.add(name, "long")
     names = schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
