@@ -12,10 +12,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..runtime import prepare
+
 # Bytes that separate words and that line keys are stripped of: [\x20\x09-\x0D].
 SPACE = b" \t\n\x0b\x0c\r"
 
 
+def session(spark: SparkSession) -> SparkSession:
+    """The session with the options that the operators rely on."""
+    return prepare(spark)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the supplied tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

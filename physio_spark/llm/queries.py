@@ -8,9 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import prepare
 from . import ann, decontaminate, html_extract, language_id, line_dedup, packing, simhash, substring_dedup, toxicity, warc
-from .common import remainder, table, unit
+from .common import remainder, session, table, unit
 
 SQL: dict[str, str] = {}
 
@@ -19,7 +18,7 @@ TOXIC_SAMPLE = 20_000
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from a bounded sample of the labelled rows outside the held-out fold."""
-    docs, labels = table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs, labels = table(session(spark), sf_dir, "documents"), table(spark, sf_dir, "labels")
     fold = remainder(F.col("doc_id"), 3)
     taught = labels.where(fold != 1).select("doc_id", "toxic").dropna()
     share = F.lit(min(1.0, TOXIC_SAMPLE / max(taught.count(), 1)))
@@ -38,25 +37,25 @@ def language_trees(docs: DataFrame) -> language_id.ContextTrees:
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document under trees learned outside the held-out fold."""
-    docs = table(prepare(spark), sf_dir, "documents")
+    docs = table(session(spark), sf_dir, "documents")
     found = language_id.identify(docs, language_trees(docs))
     return found.select("doc_id", F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
 def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors of every fiftieth vector."""
-    return ann.search(table(prepare(spark), sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+    return ann.search(table(session(spark), sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
-    pages = table(prepare(spark), sf_dir, "pages").select("page_id", "url", "html")
+    pages = table(session(spark), sf_dir, "pages").select("page_id", "url", "html")
     return html_extract.extract(pages, text="extracted").select("page_id", "url", F.col("extracted").alias("text"), F.length("extracted").cast("long").alias("n_chars"))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the words of windows that a smaller document starts."""
-    docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
+    docs = table(session(spark), sf_dir, "documents").select("doc_id", "text")
     kept = substring_dedup.dedup_windows(docs)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
@@ -85,7 +84,7 @@ FROM documents LEFT JOIN kept USING (doc_id)
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as a record of web archives, written and read back."""
-    pages = table(prepare(spark), sf_dir, "pages").select("page_id", "url", "html")
+    pages = table(session(spark), sf_dir, "pages").select("page_id", "url", "html")
     folder = warc.archive_folder(spark)
     found = warc.read(warc.write(pages, folder), folder).where("error IS NULL")
     kind = pages.schema["page_id"].dataType
@@ -107,19 +106,19 @@ FROM p LEFT JOIN f USING (d)
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold an item of the benchmark, with the item; a document not in the result is clean."""
-    docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
+    docs = table(session(spark), sf_dir, "documents").select("doc_id", "text")
     return decontaminate.leaks(docs, decontaminate.fit(docs, table(spark, sf_dir, "benchmark")))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 tokens."""
-    docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
+    docs = table(session(spark), sf_dir, "documents").select("doc_id", "text")
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the lines that a smaller document holds."""
-    docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
+    docs = table(session(spark), sf_dir, "documents").select("doc_id", "text")
     kept = line_dedup.dedup_lines(docs)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
@@ -143,11 +142,18 @@ FROM keyed LEFT JOIN first USING (k) GROUP BY doc_id
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
-    docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
+    docs = table(session(spark), sf_dir, "documents").select("doc_id", "text")
     found = simhash.near_duplicates(docs)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces that the whole corpus pipeline leaves."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_ann": op2_ann,
@@ -159,4 +165,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_line_dedup": op9_line_dedup,
     "op10_simhash": op10_simhash,
+    "pipeline": pipeline,
 }

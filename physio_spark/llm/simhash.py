@@ -150,3 +150,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", re
     heads = materialize(owned.groupBy("component").agg(F.min("least").alias("component_id")))
     named = materialize(owned.join(heads, "component").select("fp", "component_id"))
     return marked.join(named, "fp").select(key, "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: int = 4, shingle: int = 4) -> DataFrame:
+    """The rows of one document of each near-duplicate group, with all their columns.
+
+    The document with the smallest key stays (a null key is the smallest; of a key that repeats, the text with
+    the smallest hash).  Rows that repeat it whole stay with it.
+    """
+    owner, mark = F.col(key), F.xxhash64(F.col(text).cast("string"))
+    named = docs.select(F.struct(owner.alias("k"), mark.alias("m")).alias("own"), F.col(text).alias("t"))
+    found = near_duplicates(named, "own", "t", reach, shingle)
+    heads = found.where("own = component_id").select(F.col("own.k").alias("k"), F.col("own.m").alias("m")).distinct()
+    return docs.join(heads, docs[key].eqNullSafe(heads["k"]) & (F.xxhash64(docs[text].cast("string")) == heads["m"]), "left_semi")
