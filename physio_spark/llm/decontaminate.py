@@ -20,7 +20,6 @@ import string
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import materialize
-from .common import Shared, texts, unit
+from .common import Shared, slices, split_words, unit
 
 BUCKETS = 1 << 16
 PASSAGE = 64
 LEAST_WORDS = 8
 BLOCK_BYTES = 4 << 20
+REMEMBERED = 300_000
 FIT_DOCUMENTS = 4_000
 FIT_TASKS = 12
 ITEMS_AT_ONCE = 2_000
@@ -61,7 +61,7 @@ class Codes(dict):
         self.vocabulary = vocabulary
 
     def __missing__(self, raw: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > REMEMBERED:
             self.clear()
         word = plain(raw.decode("utf-8", "replace"))
         code = -1
@@ -72,13 +72,13 @@ class Codes(dict):
         self[raw] = code
         return code
 
-    def lay(self, bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of all words end to end, and where each text ends."""
-        split = [b.split() for b in bodies]
-        codes = np.fromiter(map(self.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
-        owner = np.repeat(np.arange(len(split)), list(map(len, split)))
+    def lay(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of all words of a string column end to end, and where each text ends."""
+        distinct, number, ends = split_words(column)
+        code = np.fromiter(map(self.__getitem__, distinct.cast(pa.binary()).to_pylist()), np.int64, len(distinct))
+        codes = code[number]
         keep = codes >= 0
-        return codes[keep], np.cumsum(np.bincount(owner[keep], minlength=len(split)))
+        return codes[keep], np.concatenate([[0], np.cumsum(keep)])[ends]
 
 
 @dataclass
@@ -104,18 +104,11 @@ class Index:
     share: float = 0.4
 
 
-def _groups(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[int], list[bytes]]]:
+def _groups(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, int, pa.Array]]:
+    """Stretches of rows of bounded text: the batch, the first row, the texts."""
     for batch in batches:
-        rows, bodies, size = [], [], 0
-        for row, body in enumerate(texts(batch.column(column))):
-            rows.append(row)
-            bodies.append(body)
-            size += len(body)
-            if size > BLOCK_BYTES:
-                yield batch, rows, bodies
-                rows, bodies, size = [], [], 0
-        if rows:
-            yield batch, rows, bodies
+        for lo, hi in slices(batch.column(column), BLOCK_BYTES):
+            yield batch, lo, batch.column(column)[lo:hi]
 
 
 def document_frequencies(rows: DataFrame, vocabulary: dict[str, int]) -> tuple[np.ndarray, int]:
@@ -263,7 +256,7 @@ class Searcher:
                 i, j = np.nonzero(score >= self.index.reach)
                 yield a[i], j, width, members
 
-    def search(self, bodies: list[bytes], verbatim: float, paraphrase: float) -> dict[tuple[int, int], tuple[float, bool]]:
+    def search(self, bodies: pa.Array, verbatim: float, paraphrase: float) -> dict[tuple[int, int], tuple[float, bool]]:
         """Similarity and answer by (text, item) of all confirmed pairs."""
         codes, ends = self.codes.lay(bodies)
         sizes = np.diff(np.concatenate([[0], ends]))
@@ -345,9 +338,9 @@ def leaks(docs: DataFrame, indexes: list[Index], key: str = "doc_id", text: str
         shared = Shared(docs.sparkSession, index, Searcher)
 
         def run(batches: Iterator[pa.RecordBatch], shared: Shared = shared) -> Iterator[pa.RecordBatch]:
-            for batch, owners, bodies in _groups(batches, 1):
+            for batch, first, bodies in _groups(batches, 1):
                 found = sorted(shared.get().search(bodies, verbatim, paraphrase).items())
-                place = pa.array([owners[row] for (row, _), _ in found], pa.int64())
+                place = pa.array([first + row for (row, _), _ in found], pa.int64())
                 columns = [pa.array([i for (_, i), _ in found], pa.int64()), pa.array([s for _, (s, _) in found], pa.float64()), pa.array([a for _, (_, a) in found], pa.bool_())]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(place), *columns], ["key", "item_id", "similarity", "answer_found"])
 
@@ -363,9 +356,10 @@ def keep_clean(docs: DataFrame, indexes: list[Index], text: str = "text", verbat
         shared = Shared(docs.sparkSession, index, Searcher)
 
         def run(batches: Iterator[pa.RecordBatch], shared: Shared = shared) -> Iterator[pa.RecordBatch]:
-            for batch, rows, bodies in _groups(batches, at):
-                dirty = {row for row, _ in shared.get().search(bodies, verbatim, paraphrase)}
-                yield batch.take(pa.array([r for k, r in enumerate(rows) if k not in dirty], pa.int64()))
+            for batch, first, bodies in _groups(batches, at):
+                clean = np.ones(len(bodies), bool)
+                clean[[row for row, _ in shared.get().search(bodies, verbatim, paraphrase)]] = False
+                yield batch.slice(first, len(bodies)).filter(pa.array(clean))
 
         out = out.mapInArrow(run, docs.schema)
     return out
