@@ -36,7 +36,8 @@ LOOK_ALIKES = dict(
 # Digits and signs that stand for a letter inside a word.
 STAND_INS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "l"})
 INVISIBLE = "­​‌‍⁠﻿"
-INSIDE = re.compile(r"(?<=[a-zà-ÿ])[@$!|]+(?=[a-zà-ÿ])|(?<=[a-zà-ÿ])[01345789](?=[a-zà-ÿ0-9])|(?<![a-zà-ÿ0-9])[01345789@$]+(?=[a-zà-ÿ])|(?<=[a-zà-ÿ])[01345789](?![a-zà-ÿ0-9])")
+_L = "a-zà-ÿ"
+INSIDE = re.compile(rf"(?<=[{_L}])[01345789@$!|]+(?=[{_L}])|(?<![{_L}0-9])[01345789@$]+(?=[{_L}])|(?<=[{_L}])[0134578](?![{_L}0-9])")
 RARE = re.compile("[^\x00-\x7fÀ-ÿ‐-‧]")
 
 
