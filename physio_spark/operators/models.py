@@ -29,9 +29,11 @@ from physio_spark.runtime import materialize
 
 
 def forest(trees: int = 800, depth: int = 30, min_leaf: int = 2, seed: int = 42, **params) -> RandomForestClassifier:
-    """Random forest with the usual settings; Spark ML limits the depth to 30."""
+    """Random forest with the usual settings."""
+    if depth > 30:
+        raise ValueError(f"Spark ML's forests have a maxDepth of 30 at most; {depth} was asked for")
     return RandomForestClassifier(
-        numTrees=trees, maxDepth=min(depth, 30), minInstancesPerNode=min_leaf, seed=seed,
+        numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf, seed=seed,
         featureSubsetStrategy=params.pop("featureSubsetStrategy", "sqrt"), **params,
     )
 
@@ -292,20 +294,19 @@ def permutation_importance(
     label: str = "label",
     key: str = "window_id",
     repeats: int = 5,
-    share: float = 0.2,
-    min_rows: int = 2000,
+    rows: int | None = None,
     seed: int = 42,
 ) -> DataFrame:
-    """Mean and std of the drop in macro F1 when a feature is shuffled, on a seeded subset.
+    """Mean and std of the drop in macro F1 when a feature is shuffled.
 
-    The subset holds ``max(min_rows, share * rows)`` rows.
+    All rows are scored; ``rows`` asks for a seeded subset of that many instead.
     """
-    total = df.count()
-    take = min(total, max(min_rows, int(share * total)))
-    hashed = df.withColumn("_h", portable_hash(seed, key))
-    part = F.conv(F.substring("_h", 1, 2), 16, 10).cast("int")
-    subset = ranked(hashed, [], [F.col("_h"), F.col(key)], "_rank", part).where(F.col("_rank") <= take)
-    subset = materialize(_with_text(subset.drop("_h", "_rank"), label))
+    subset = df
+    if rows is not None:
+        hashed = df.withColumn("_h", portable_hash(seed, key))
+        part = F.conv(F.substring("_h", 1, 2), 16, 10).cast("int")
+        subset = ranked(hashed, [], [F.col("_h"), F.col(key)], "_rank", part).where(F.col("_rank") <= rows).drop("_h", "_rank")
+    subset = materialize(_with_text(subset, label))
     classes = list(model.stages[0].labels)
     score = lambda frame: classification_metrics(_readable(model.transform(frame), classes, [], label))
     base = score(subset).select(F.col("f1_macro").alias("_base"))

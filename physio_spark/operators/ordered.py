@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -156,11 +157,19 @@ def scan(
 
     rows = d.select("*", *local) if local else d
     state_table = d.groupBy(*keys).agg(*summary).select(*keys, *carried)
-    return rows.join(state_table, keys, "left").select(*columns, *result)
+    return same_keys(rows, state_table, keys, "left").select(*columns, *result)
+
+
+def same_keys(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Join on keys of which nulls equal each other; the keys come from ``df``."""
+    other = {k: f"_key_{i}" for i, k in enumerate(keys)}
+    renamed = table.withColumnsRenamed(other)
+    same = [df[k].eqNullSafe(renamed[o]) for k, o in other.items()]
+    return df.join(renamed, reduce(lambda a, b: a & b, same), how).drop(*other.values())
 
 
 def attach(df: DataFrame, table: DataFrame, by: Sequence[str], salts: int = 1, how: str = "inner") -> DataFrame:
-    """Join one row per group back to the rows of the group.
+    """Join one row per group back to the rows of the group; a null key is a group like any other.
 
     With ``salts`` > 1 the group key is salted, so the rows of a hot group are spread over that many
     tasks; the per-group table is repeated once per salt.  Small tables are broadcast by Spark's own
@@ -170,11 +179,11 @@ def attach(df: DataFrame, table: DataFrame, by: Sequence[str], salts: int = 1, h
     if not by:
         return df.crossJoin(table)  # the table is a single aggregate row
     if salts <= 1:
-        return df.join(table, by, how)
+        return same_keys(df, table, by, how)
     plain = [c for c, kind in df.dtypes if not kind.startswith("map")]
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(salts)))
     spread = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
-    return salted.join(spread, by + ["_salt"], how).drop("_salt")
+    return same_keys(salted, spread, by + ["_salt"], how).drop("_salt")
 
 
 def ranked(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str, spread: Column, salts: int = 64) -> DataFrame:
@@ -198,8 +207,7 @@ def ranked(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str,
         .drop("_n")
     )
     return (
-        d.withColumn("_r", F.row_number().over(w))
-        .join(offsets, by + [CHUNK])
+        same_keys(d.withColumn("_r", F.row_number().over(w)), offsets, by + [CHUNK], "inner")
         .withColumn(name, F.col("_r") + F.col("_before"))
         .drop(CHUNK, "_r", "_before")
     )

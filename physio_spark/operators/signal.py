@@ -31,6 +31,9 @@ def rolling_mean(
 ) -> DataFrame:
     """Centred rolling mean over ``size`` samples; the edges repeat the first / last full value.
 
+    Null and non-finite samples are gaps: a frame's mean is that of the samples that are there, and null
+    where there are none.
+
     ``order`` is the gap-free sample index.  Each row is copied to the chunks whose windows reach it
     (only rows near a chunk border are copied at all), then a running sum inside the chunk and two
     offsets give the mean, so the cost per row does not depend on ``size``.
@@ -52,19 +55,32 @@ def rolling_mean(
     up = Window.partitionBy(*by, "_part").orderBy(idx)
     down = Window.partitionBy(*by, "_part").orderBy(F.desc(idx))
     to_here = (Window.unboundedPreceding, Window.currentRow)
-    running = spread.withColumns({"_sum": F.sum(column).over(up.rowsBetween(*to_here)), "_pos": F.row_number().over(up)})
-    window_sum = F.lead("_sum", forth).over(up) if forth else F.col("_sum")
-    before = F.when(F.col("_pos") == back + 1, F.lit(0.0)).otherwise(F.lag("_sum", back + 1).over(up))
-    rolled = running.withColumn("_mean", (window_sum - before) / size)
+    sample = finite(F.col(column))
+    running = spread.withColumns(
+        {
+            "_sum": F.sum(F.coalesce(sample, F.lit(0.0))).over(up.rowsBetween(*to_here)),
+            "_held": F.count(sample).over(up.rowsBetween(*to_here)),
+            "_pos": F.row_number().over(up),
+        }
+    )
+
+    def framed(total: str):
+        upto = F.lead(total, forth).over(up) if forth else F.col(total)
+        return upto - F.when(F.col("_pos") == back + 1, F.lit(0)).otherwise(F.lag(total, back + 1).over(up))
+
+    # A frame that is full but holds no sample has the mean null; outside full frames there is no struct.
+    held = framed("_held")
+    mean = F.struct(F.when(held > 0, framed("_sum") / held).alias("v"))
+    rolled = running.withColumn("_mean", F.when(held.isNotNull(), mean))
     edged = rolled.withColumns(
         {
             "_left": F.last("_mean", ignorenulls=True).over(up.rowsBetween(*to_here)),
             "_right": F.last("_mean", ignorenulls=True).over(down.rowsBetween(*to_here)),
         }
     )
-    value = F.coalesce("_mean", "_right", "_left")
+    value = F.coalesce("_mean", "_right", "_left")["v"]
     kept = edged.where(F.col("_part") == home).withColumn(out, value)
-    return kept.drop("_part", "_sum", "_pos", "_mean", "_left", "_right")
+    return kept.drop("_part", "_sum", "_held", "_pos", "_mean", "_left", "_right")
 
 
 def detrend(

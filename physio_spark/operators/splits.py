@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,10 +12,6 @@ from physio_spark.functions.columns import portable_hash
 from physio_spark.operators.ordered import attach, ranked
 from physio_spark.runtime import materialize
 
-# The greedy rules walk the table of groups (one row each) in order; above this many groups the
-# distributed rule takes over.
-GREEDY_GROUPS = 500_000
-
 
 def group_sizes(df: DataFrame, group: str) -> DataFrame:
     return df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
@@ -28,10 +22,10 @@ def group_kfold(
     group: str = "subject",
     k: int = 5,
     stratify: str | None = None,
-    method: str = "auto",
+    method: str = "greedy",
     fold: str = "fold",
 ) -> DataFrame:
-    """Add the number (1..k) of the fold in which a row is validated."""
+    """Add the number (1..k) of the fold in which a row is validated.  A null group is an error."""
     return attach(df, fold_table(df, group, k, stratify, method, fold), [group], salts=16)
 
 
@@ -40,35 +34,29 @@ def fold_table(
     group: str = "subject",
     k: int = 5,
     stratify: str | None = None,
-    method: str = "auto",
+    method: str = "greedy",
     fold: str = "fold",
 ) -> DataFrame:
-    """Fold of every group.
+    """Fold of every group, by one rule at every size.
 
-    ``greedy`` gives the next largest group (ties by id) to the fold with the fewest rows; with
-    ``stratify`` to the fold that leaves the class shares most even.  ``snake`` deals the groups by
-    size back and forth over the folds and needs no ordered walk; ``auto`` uses it only when there
-    are more than ``GREEDY_GROUPS`` groups.
+    ``greedy`` gives the next largest group (ties by id) to the fold with the fewest rows.  The walk goes
+    over the distinct group sizes, of which there are fewer than the square root of twice the rows;
+    groups of one size are told apart by their rank and never gathered.  With ``stratify`` the next
+    group goes to the fold that leaves the class shares most even; this walk needs the class counts of
+    every group in one task.  ``snake`` deals the groups by size back and forth over the folds.
     """
+    if method not in ("greedy", "snake"):
+        raise ValueError(f"method is greedy or snake, not {method}")
+    if stratify is not None and method == "snake":
+        raise ValueError("snake does not look at classes; use greedy to stratify")
     sizes = group_sizes(df, group)
-    if method == "auto":
-        method = "greedy" if sizes.count() <= GREEDY_GROUPS else "snake"
+    checked = F.when(F.col(group).isNull(), F.raise_error(F.lit(f"a row has no {group}"))).otherwise(F.lit(True))
+    sizes = sizes.where(checked.cast("boolean"))
     if method == "snake":
         return _snake(sizes, group, k, fold)
     schema = T.StructType([sizes.schema[group], T.StructField(fold, T.IntegerType())])
     if stratify is None:
-
-        def lightest(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["n", group], ascending=[False, True])
-            loads = [(0, f) for f in range(1, k + 1)]
-            chosen = []
-            for n in pdf["n"]:
-                load, f = heapq.heappop(loads)
-                chosen.append(f)
-                heapq.heappush(loads, (load + int(n), f))
-            return pd.DataFrame({group: pdf[group], fold: chosen})
-
-        return sizes.groupBy().applyInPandas(lightest, schema)
+        return _lightest(materialize(sizes), group, k, fold)
 
     histogram = df.groupBy(group, F.col(stratify).cast("string").alias("_label")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -94,6 +82,59 @@ def fold_table(
     return histogram.groupBy().applyInPandas(most_even, schema)
 
 
+def _given(loads: np.ndarray, n: int, count: int) -> np.ndarray:
+    """How many of ``count`` groups of size ``n`` each fold gets, always the lightest fold next (ties: the first)."""
+    lo, hi = int(loads.min()), int(loads.max()) + n * count + 1
+    below = lambda x: np.maximum(0, -((loads - x) // n))  # noqa: E731  groups given to folds while lighter than x
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        lo, hi = (mid, hi) if below(mid).sum() <= count else (lo, mid)
+    out = below(lo)
+    next_up = np.flatnonzero(loads + out * n == lo)
+    out[next_up[: count - int(out.sum())]] += 1
+    return out
+
+
+def _ranks(loads: np.ndarray, n: int, ranks: np.ndarray) -> np.ndarray:
+    """The fold (from 0) of the groups with these ranks (from 0) among those of size ``n``."""
+    lo = np.full(len(ranks), loads.min())
+    hi = loads.max() + n * (ranks + 1) + 1
+    below = lambda x: np.maximum(0, -((loads[None, :] - x[:, None]) // n))
+    while (hi - lo > 1).any():
+        mid = (lo + hi) // 2
+        fits = below(mid).sum(1) <= ranks
+        lo, hi = np.where(fits, mid, lo), np.where(fits, hi, mid)
+    had = below(lo)
+    equal = loads[None, :] + had * n == lo[:, None]
+    place = ranks - had.sum(1)
+    return np.argmax((np.cumsum(equal, axis=1) == place[:, None] + 1) & equal, axis=1)
+
+
+def _lightest(sizes: DataFrame, group: str, k: int, fold: str) -> DataFrame:
+    """The greedy rule without gathering the groups: loads at the start of each size, then ranks within it."""
+    hist = sizes.groupBy("n").count().orderBy(F.desc("n")).collect()
+    loads, starts = np.zeros(k, np.int64), []
+    for row in hist:
+        starts.append((row["n"], loads.tolist()))
+        loads = loads + row["n"] * _given(loads, row["n"], row["count"])
+    order = [F.desc("n"), F.asc(group)]
+    placed = materialize(sizes.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    local = placed.withColumn("_row", F.row_number().over(Window.partitionBy("_part", "n").orderBy(group)) - 1)
+    earlier = Window.partitionBy("n").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("_part", "n").count().withColumn("_before", F.coalesce(F.sum("count").over(earlier), F.lit(0))).drop("count")
+    table = sizes.sparkSession.createDataFrame(starts, "n long, _loads array<long>")
+    ranked_ = local.join(offsets, ["_part", "n"]).join(table, "n").select(group, "n", (F.col("_row") + F.col("_before")).alias("_rank"), "_loads")
+
+    @F.pandas_udf("int")
+    def chosen(n: pd.Series, rank: pd.Series, start: pd.Series) -> pd.Series:
+        out = np.zeros(len(n), np.int32)
+        for size, at in n.groupby(n).indices.items():
+            out[at] = _ranks(np.asarray(start.iloc[at[0]], np.int64), int(size), rank.to_numpy(np.int64)[at]) + 1
+        return pd.Series(out)
+
+    return ranked_.select(group, chosen("n", "_rank", "_loads").alias(fold))
+
+
 def _snake(sizes: DataFrame, group: str, k: int, fold: str) -> DataFrame:
     """Rank the groups by size without gathering them: sizes in order, equal sizes in hash order."""
     hashed = sizes.withColumn("_h", portable_hash(0, group))
@@ -109,8 +150,6 @@ def _snake(sizes: DataFrame, group: str, k: int, fold: str) -> DataFrame:
 
 
 def ranked_offsets(hist: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
     w = Window.partitionBy(F.lit(1)).orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
     return hist.select("n", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_larger"))
 
@@ -119,8 +158,7 @@ def fold_summary(df: DataFrame, group: str = "subject", label: str = "label", fo
     """Rows, classes and subjects of the training and validation part of every fold.
 
     ``usable`` is false when either part lacks a class (such folds are skipped in training).  The
-    subject lists are text in one row; above ``GREEDY_GROUPS`` groups they are null and the fold
-    table itself is the membership list.
+    subject lists are text in one row and grow with the number of subjects; ``fold_members`` has them as rows.
     """
     whole = materialize(df.groupBy(group, fold, label).agg(F.count(F.lit(1)).alias("n")))
     folds = sorted(r[fold] for r in whole.select(fold).distinct().collect())
@@ -128,11 +166,8 @@ def fold_summary(df: DataFrame, group: str = "subject", label: str = "label", fo
     both = whole.withColumn("_f", F.explode(F.array(*[F.lit(f) for f in folds])))
     both = both.withColumn("_val", F.col(fold) == F.col("_f"))
     n, v = F.col("n"), F.col("_val")
-    listed = whole.select(group).distinct().count() <= GREEDY_GROUPS
 
     def ids(chosen):
-        if not listed:
-            return F.lit(None).cast("string")
         return F.concat_ws(",", F.array_sort(F.collect_set(F.when(chosen, F.col(group)))))
 
     out = both.groupBy(F.col("_f").alias(fold)).agg(
@@ -145,3 +180,11 @@ def fold_summary(df: DataFrame, group: str = "subject", label: str = "label", fo
     )
     classes = F.greatest("train_classes", "val_classes")
     return out.withColumn("usable", (classes >= 2) & (F.col("train_classes") == F.col("val_classes")))
+
+
+def fold_members(df: DataFrame, group: str = "subject", fold: str = "fold") -> DataFrame:
+    """``fold, role, <group>``: every group is validated in its own fold and trains in all others."""
+    whole = df.select(group, F.col(fold).alias("_own")).distinct()
+    folds = whole.select(F.col("_own").alias(fold)).distinct()
+    role = F.when(F.col("_own") == F.col(fold), F.lit("val")).otherwise(F.lit("train"))
+    return whole.join(F.broadcast(folds), how="cross").select(fold, role.alias("role"), group)

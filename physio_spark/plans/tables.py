@@ -165,14 +165,14 @@ def vectors(spark, sf_dir, n: int = 64, uneven: bool = False):
 
 @query("cln9_smote")
 def cln9(spark, sf_dir):
-    v = vectors(spark, sf_dir, 16, uneven=True)
-    return balance.smote(v, VEC[:16]).groupBy("label", "synthetic").agg(F.count(F.lit(1)).alias("n"))
+    v = vectors(spark, sf_dir, uneven=True)
+    return balance.smote(v, VEC).groupBy("label", "synthetic").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("cln9_smote_borderline")
 def cln9_borderline(spark, sf_dir):
-    v = vectors(spark, sf_dir, 16, uneven=True)
-    out = balance.smote(v, VEC[:16], variant="borderline")
+    v = vectors(spark, sf_dir, uneven=True)
+    out = balance.smote(v, VEC, variant="borderline")
     return out.groupBy("label", "synthetic").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -277,40 +277,53 @@ def ml3(spark, sf_dir):
     return splits.fold_summary(splits.group_kfold(li, "subject", 5))
 
 
-def _folded(spark, sf_dir, n: int, k: int = 3):
+@query(
+    "ml3_fold_members",
+    recursive(
+        final(
+            SQL_FOLDS + "own_fold AS (SELECT DISTINCT l_suppkey AS subject, fold AS own FROM lineitem JOIN f ON f.subject = l_suppkey), k AS (SELECT DISTINCT fold AS fold FROM f)",
+            "SELECT k.fold, CASE WHEN own = k.fold THEN 'val' ELSE 'train' END AS role, subject FROM own_fold, k",
+        )
+    ),
+)
+def ml3_members(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("subject"))
+    return splits.fold_members(splits.group_kfold(li, "subject", 5))
+
+
+def _folded(spark, sf_dir, n: int = 64, k: int = 5):
     return materialize(splits.group_kfold(vectors(spark, sf_dir, n), "subject", k))
 
 
 KEEP = ["window_id", "subject"]
-FEW = VEC[:8]
 
 
 @query("ml4_oof_forest")
 def ml4(spark, sf_dir):
-    d = _folded(spark, sf_dir, 64)
+    d = _folded(spark, sf_dir)
     return models.oof_classify(d, models.forest(20, 6, seed=1), VEC, keep=KEEP)
 
 
 @query("ml5_oof_neural_net")
 def ml5(spark, sf_dir):
-    d = _folded(spark, sf_dir, 64)
+    d = _folded(spark, sf_dir)
     return models.oof_classify(d, models.neural_net(64, 10, (16,), maxIter=15), VEC, keep=KEEP, scale=True)
 
 
 def _with_targets(spark, sf_dir):
-    d = _folded(spark, sf_dir, 16)
+    d = _folded(spark, sf_dir)
     return d.withColumn("valence", F.col("f0") + F.col("f1") * 2).withColumn("arousal", F.col("f2") - F.col("f3"))
 
 
 @query("ml6_oof_regress_linear")
 def ml6(spark, sf_dir):
-    out = models.oof_regress(_with_targets(spark, sf_dir), ["valence", "arousal"], VEC[4:16], "linear")
+    out = models.oof_regress(_with_targets(spark, sf_dir), ["valence", "arousal"], VEC[4:], "linear")
     return out.select(*KEEP, "fold", "pred_valence", "pred_arousal")
 
 
 @query("ml6_oof_regress_forest")
 def ml6_forest(spark, sf_dir):
-    out = models.oof_regress(_with_targets(spark, sf_dir), ["valence"], VEC[:8], "forest", trees=5)
+    out = models.oof_regress(_with_targets(spark, sf_dir), ["valence"], VEC, "forest", trees=20)
     return out.select(*KEEP, "fold", "pred_valence")
 
 
@@ -319,14 +332,14 @@ SPACE = {"numTrees": [3, 5], "maxDepth": [2, 3], "impurity": ["gini", "entropy"]
 
 @query("ml7_random_search")
 def ml7(spark, sf_dir):
-    scores, _ = models.random_search(_folded(spark, sf_dir, 8), models.forest(10, 4), FEW, SPACE, 2)
+    scores, _ = models.random_search(_folded(spark, sf_dir), models.forest(10, 4), VEC, SPACE, 2)
     return scores
 
 
 @query("ml8_nested_cv")
 def ml8(spark, sf_dir):
-    d = _folded(spark, sf_dir, 8, 2)
-    predictions, _, _ = models.nested_cv(d, models.forest(10, 4), FEW, SPACE, 2, 2, keep=KEEP)
+    d = _folded(spark, sf_dir)
+    predictions, _, _ = models.nested_cv(d, models.forest(10, 4), VEC, SPACE, 2, 2, keep=KEEP)
     return predictions
 
 
@@ -344,8 +357,8 @@ def ml11(spark, sf_dir):
 
 @query("ml12_feature_elimination")
 def ml12(spark, sf_dir):
-    d = vectors(spark, sf_dir, 12)
-    kept = models.rfe(d, models.forest(10, 5), VEC[:12], 9)
+    d = vectors(spark, sf_dir)
+    kept = models.rfe(d, models.forest(20, 6), VEC, 32)
     return d.select("window_id", *kept)
 
 

@@ -8,6 +8,7 @@ from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from physio_spark.functions.columns import to_numeric
 
@@ -33,7 +34,8 @@ ANNOTATION_ALIASES = {
     "arousal": ("arousal", "*aro*"),
     "video": ("video", "video_id", "*vid*"),
 }
-SUBJECT_PATTERN = r"(\d{1,2})(?!.*\d)"
+CORRUPT = "_corrupt_record"
+SUBJECT_PATTERN = r"(\d+)(?!.*\d)"
 
 
 def find_column(columns: Sequence[str], candidates: Sequence[str]) -> str | None:
@@ -67,9 +69,28 @@ def resolve(
 
 
 def _csv(spark: SparkSession, path: str, bad_lines: str) -> DataFrame:
-    """All columns as text, so no pass over the data is spent on guessing types."""
-    mode = {"skip": "DROPMALFORMED", "keep": "PERMISSIVE", "fail": "FAILFAST"}[bad_lines]
-    return spark.read.option("header", True).option("mode", mode).csv(path)
+    """All columns as text, so no pass over the data is spent on guessing types.
+
+    Rows with too few fields are kept, with nulls.  Rows with too many are dropped by ``skip``, cut by
+    ``keep`` and an error in ``fail``.  A file whose header names other columns, or the same in another
+    order, is an error in every mode, never read by position.
+    """
+    if bad_lines not in ("skip", "keep", "fail"):
+        raise ValueError(f"bad_lines is skip, keep or fail, not {bad_lines}")
+    names = spark.read.option("header", True).csv(path).columns
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, CORRUPT]])
+    reader = spark.read.option("header", True).option("enforceSchema", False).option("columnNameOfCorruptRecord", CORRUPT)
+    read = reader.schema(schema).csv(path)
+    if bad_lines == "keep":
+        return read.drop(CORRUPT)
+    # Commas inside quotes separate nothing.
+    fields = F.size(F.split(F.regexp_replace(CORRUPT, r'"[^"]*"', ""), ","))
+    # Spark refuses a query that reads nothing but the corrupt record, so the first column is read too.
+    long = F.coalesce((fields > len(names)) & (F.length(F.coalesce(names[0], F.lit(""))) >= 0), F.lit(False))
+    if bad_lines == "fail":
+        message = F.concat(F.lit("line with too many fields: "), F.col(CORRUPT))
+        return read.where(~F.when(long, F.raise_error(message).cast("boolean")).otherwise(False)).drop(CORRUPT)
+    return read.where(~long).drop(CORRUPT)
 
 
 def _with_subject(df: DataFrame) -> DataFrame:
@@ -100,7 +121,7 @@ def read_samples(
 ) -> DataFrame:
     """Recordings of many subjects from one folder: ``subject, t (us), time_s, video, <channels>``.
 
-    The subject id is the last number of one or two digits in the file name.
+    The subject id is the last number in the file name.
     """
     raw = _with_subject(_csv(spark, path, bad_lines))
     names = resolve(raw.drop("subject"), SAMPLE_ALIASES, ["t_ms", *(channels or ())])
