@@ -17,6 +17,7 @@ from physio_spark.operators.ordered import ranked
 from physio_spark.runtime import materialize
 
 TILE_ROWS = 4_000
+COPIES_PER_ROW = 1_000
 MAX_SLABS = 2_000  # slab borders travel inside the query plan
 
 
@@ -162,7 +163,10 @@ def smote(
             seeds.join(lists, key)
             .withColumn("_copies", copies)
             .where("_copies > 0")
-            .withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+            .withColumn("_c", F.explode(F.sequence(F.lit(0), F.floor((F.col("_copies") - 1) / COPIES_PER_ROW).cast("int"))))
+            .repartition(key, "_c")  # the copies of one seed are born in many tasks
+            .withColumn("_i", F.explode(F.sequence(F.col("_c") * COPIES_PER_ROW + 1, F.least("_copies", (F.col("_c") + 1) * COPIES_PER_ROW))))
+            .drop("_c")
         )
         pick = F.floor(uniform(seed + 1, key, "_i") * F.size("_near")).cast("int")
         gap = uniform(seed + 2, key, "_i")

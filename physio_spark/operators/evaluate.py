@@ -13,8 +13,12 @@ from physio_spark.operators.quantiles import mode_of
 
 
 def pair_counts(df: DataFrame, by: Sequence[str] = (), true: str = "true_label", pred: str = "pred_label") -> DataFrame:
-    """Rows per (true, predicted) pair; columns ``true``, ``pred``, ``n``."""
-    return df.groupBy(*by, F.col(true).alias("true"), F.col(pred).alias("pred")).agg(F.count(F.lit(1)).alias("n"))
+    """Rows per (true, predicted) pair; columns ``true``, ``pred``, ``n``.
+
+    A row without a true or predicted label is an error: left out, it would raise every score.
+    """
+    held = lambda c: F.coalesce(F.col(c), F.raise_error(F.lit(f"a row has no {c}")).cast(df.schema[c].dataType))
+    return df.groupBy(*by, held(true).alias("true"), held(pred).alias("pred")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def confusion_matrix(

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from physio_spark.operators import models, ordered, signal, splits
+from physio_spark.operators import balance, evaluate, models, ordered, signal, splits
 from physio_spark.sources import readers
 
 
@@ -96,3 +96,19 @@ def test_files_with_odd_lines(spark, tmp_path):
 def test_depth_beyond_the_limit_is_refused():
     with pytest.raises(ValueError, match="30"):
         models.forest(depth=40)
+
+
+def test_rows_without_a_label_are_refused(spark):
+    rows = spark.createDataFrame([("a", "a"), ("b", None)], "true_label string, pred_label string")
+    with pytest.raises(Exception, match="no pred_label"):
+        evaluate.confusion_matrix(rows).collect()
+
+
+def test_copies_of_few_seeds_are_born_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(balance, "COPIES_PER_ROW", 50)
+    rows = [(k, "big", float(k), 0.0) for k in range(900)] + [(1000, "few", 1.0, 5.0), (1001, "few", 2.0, 6.0)]
+    out = balance.smote(spark.createDataFrame(rows, "window_id long, label string, a double, b double"), ["a", "b"])
+    made = out.where("synthetic").toPandas()
+    assert len(made) == 898 and set(made["label"]) == {"few"}
+    assert made["a"].between(1, 2).all() and np.allclose(made["b"], made["a"] + 4)
+    assert made[["a"]].drop_duplicates().shape[0] > 800
