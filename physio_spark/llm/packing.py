@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,19 +22,23 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ..runtime import materialize
-from .common import Shared, texts
+from .common import Shared, slices, split_words
 
 # Rows of one sweep, and words that a task tokenises at once or remembers.
 SWEEP_ROWS = 50_000
-BLOCK_BYTES = 4 << 20
-REMEMBERED = 500_000
+BLOCK_BYTES = 8 << 20
+REMEMBERED = 1_000_000
 END = 0
+LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
+SIGNS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class WordIds:
-    """Token ids of texts; the ids of a white-space-free run of bytes are asked of the tokenizer once.
+    """Token ids of texts; the ids of a word are asked of the tokenizer once and remembered.
 
-    That is exact for tokenizers that split at white space and drop it.
+    That is exact for tokenizers that fold case, split at white space, which they drop, and never join
+    letters with the signs around them.  Signs at the ends of a word are looked up on their own; words with
+    an apostrophe (which may begin a token) or with a special token go to the tokenizer as they are.
     """
 
     def __init__(self, path: str) -> None:
@@ -44,41 +49,65 @@ class WordIds:
         self.number: dict[bytes, int] = {}
         self.flat, self.begin, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _learn(self, words: list[bytes]) -> None:
-        new = list(set(words).difference(self.number))
-        if not new:
-            return
+    @staticmethod
+    def parts(word: bytes) -> tuple[bytes, ...]:
+        """The word in pieces that the tokenizer treats alike on their own."""
+        if b"<|" in word:
+            return (word,)
+        word = word.lower()
+        core = word.strip(SIGNS)
+        if len(core) == len(word) or not core or b"'" in word:
+            return (word,)
+        if not (core[0] in LETTERS and core[-1] in LETTERS):
+            text = core.decode("utf-8", "replace")
+            if not (text[0].isalpha() and text[-1].isalpha()):
+                return (word,)
+        at = word.index(core)
+        return tuple(x for x in (word[:at], core, word[at + len(core) :]) if x)
+
+    def _learn(self, parts: set[bytes]) -> None:
+        new = list(parts.difference(self.number))
         if len(self.number) + len(new) > REMEMBERED:
             self._forget()
-            new = list(set(words))
+            new = list(parts)
+        if not new:
+            return
         ids = []
         for lo in range(0, len(new), 10_000):
-            part = [w.decode("utf-8", "replace") for w in new[lo : lo + 10_000]]
-            ids += [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            some = [w.decode("utf-8", "replace") for w in new[lo : lo + 10_000]]
+            ids += [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for own in ids for x in own), np.uint32, int(size.sum()))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
         self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
         self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
         self.flat = np.concatenate([self.flat, flat])
 
-    def encode(self, bodies: list[bytes]) -> Iterator[np.ndarray]:
-        """The ids of each text."""
-        split = [b.split() for b in bodies]
-        words = [w for own in split for w in own]
-        self._learn(words)
-        number = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+    def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text of a string column."""
+        distinct, word, text_ends = split_words(column)
+        cut = [self.parts(w) for w in distinct.cast(pa.binary()).to_pylist()]
+        self._learn(set(chain.from_iterable(cut)))
+        # texts are runs of words, words runs of parts, parts runs of ids
+        many = np.fromiter(map(len, cut), np.int64, len(cut))
+        known = np.fromiter(map(self.number.__getitem__, chain.from_iterable(cut)), np.int64, int(many.sum()))
+        number = known[_runs((np.cumsum(many) - many)[word], many[word])]
         size = self.size[number]
-        ends = np.cumsum(size)
-        ids = self.flat[np.repeat(self.begin[number] - (ends - size), size) + np.arange(size.sum())]
-        lo = last = 0
-        for own in split:
-            last += len(own)
-            hi = int(ends[last - 1]) if last else 0
+        ids = self.flat[_runs(self.begin[number], size)]
+        upto = np.concatenate([[0], np.cumsum(many[word])])
+        ends = np.concatenate([[0], np.cumsum(size)])[upto[text_ends]]
+        lo = 0
+        for hi in ends.tolist():
             yield ids[lo:hi]
             lo = hi
 
 
+def _runs(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places begin, begin + 1, ... of runs of the given sizes, end to end."""
+    ends = np.cumsum(size)
+    return np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+
+
 def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = 2048, ids: bool = False) -> DataFrame:
     """``key, piece, start, length, ids_crc32`` (and the ids): every row's ids and the end id 0, cut at ``capacity``.
 
@@ -91,30 +120,20 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.get()
 
-        def cut(owners: list[int], bodies: list[bytes], source: pa.RecordBatch) -> pa.RecordBatch:
-            out: list[list] = [[] for _ in names]
-            for owner, found in zip(owners, words.encode(bodies), strict=True):
-                whole = np.append(found, np.uint32(END)).astype("<u4")
-                for piece, at in enumerate(range(0, len(whole), capacity)):
-                    part = whole[at : at + capacity]
-                    row = (owner, piece, at, len(part), zlib.crc32(part.tobytes()), part.astype(np.int32))
-                    for c, v in zip(out, row, strict=False):
-                        c.append(v)
-            kinds = [None, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-            rest = [pa.array(c, k) for c, k in zip(out[1:], kinds[1:], strict=False)]
-            return pa.RecordBatch.from_arrays([source.column(0).take(pa.array(out[0], pa.int64())), *rest], names)
-
         for batch in batches:
-            owners, bodies, size = [], [], 0
-            for row, body in enumerate(texts(batch.column(1))):
-                owners.append(row)
-                bodies.append(body)
-                size += len(body)
-                if size > BLOCK_BYTES:
-                    yield cut(owners, bodies, batch)
-                    owners, bodies, size = [], [], 0
-            if owners:
-                yield cut(owners, bodies, batch)
+            bodies = batch.column(1)
+            for lo, hi in slices(bodies, BLOCK_BYTES):
+                out: list[list] = [[] for _ in names]
+                for owner, found in enumerate(words.encode(bodies[lo:hi]), lo):
+                    whole = np.append(found, np.uint32(END)).astype("<u4")
+                    for piece, at in enumerate(range(0, len(whole), capacity)):
+                        part = whole[at : at + capacity]
+                        row = (owner, piece, at, len(part), zlib.crc32(part.tobytes()), part.astype(np.int32))
+                        for c, v in zip(out, row, strict=False):
+                            c.append(v)
+                kinds = [None, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+                rest = [pa.array(c, k) for c, k in zip(out[1:], kinds[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(out[0], pa.int64())), *rest], names)
 
     kind = rows.schema["key"].dataType.simpleString()
     schema = f"key {kind}, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if ids else "")
@@ -215,14 +234,14 @@ def best_fit(items: DataFrame, capacity: int = 2048) -> DataFrame:
         meetings = _meetings([tuple(r) for r in counts.orderBy("stretch").collect()])
         pieces_left, gaps_left = swept.where("kind = 1"), swept.where("kind = 0")
         plan = spark.createDataFrame(meetings, "stretch int, first long, n long, other int, other_first long")
-        met = pieces_left.join(F.broadcast(plan), (pieces_left["stretch"] == plan["stretch"]) & F.col("rank").between(F.col("first"), F.col("first") + F.col("n") - 1), "left")
-        met = met.select("id", "size", F.col("other").alias("stretch"), (F.col("rank") - F.col("first") + F.col("other_first")).alias("rank"))
+        planned = pieces_left.join(F.broadcast(plan), (pieces_left["stretch"] == plan["stretch"]) & F.col("rank").between(F.col("first"), F.col("first") + F.col("n") - 1), "left")
+        planned = planned.select("id", "size", F.col("other").alias("stretch"), (F.col("rank") - F.col("first") + F.col("other_first")).alias("rank"))
         gaps = gaps_left.select(F.col("id").alias("home"), F.col("size").alias("gap"), F.col("at").alias("fill"), "stretch", "rank")
-        both = materialize(met.join(gaps.where("rank >= 0"), ["stretch", "rank"], "full").select("id", "size", "home", "gap", "fill"))
-        placed.append(both.where("id IS NOT NULL AND home IS NOT NULL").select("id", F.col("home").alias("sequence_id"), F.col("fill").alias("offset")))
-        left = both.where("home IS NULL").select("id", "size")
+        both = materialize(gaps.where("rank >= 0").join(planned.where("stretch IS NOT NULL"), ["stretch", "rank"], "left").select("id", "size", "home", "gap", "fill"))
+        placed.append(both.where("id IS NOT NULL").select("id", F.col("home").alias("sequence_id"), F.col("fill").alias("offset")))
+        left = planned.where("stretch IS NULL").select("id", "size")
         used = F.coalesce("size", F.lit(0))
-        bins = both.where("home IS NOT NULL").select(F.col("home").alias("id"), (F.col("gap") - used).alias("gap"), (F.col("fill") + used).alias("fill"))
+        bins = both.select(F.col("home").alias("id"), (F.col("gap") - used).alias("gap"), (F.col("fill") + used).alias("fill"))
         bins = bins.union(gaps.where("rank < 0").select(F.col("home").alias("id"), "gap", "fill"))
     out = placed[0]
     for more_placed in placed[1:]:
