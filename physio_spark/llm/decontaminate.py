@@ -274,8 +274,11 @@ class Searcher:
             for a, place in zip(starts[some].tolist(), places[some].tolist(), strict=True):
                 item = self.index.items[members[place]]
                 span = codes[max(begin[a], a - slack) : min(end[a], a + width + slack)]
-                missing = len(item.distinct) - len(item.distinct.intersection(span.tolist()))
-                if len(item.codes) - missing < paraphrase * len(item.codes):
+                shared = item.distinct.intersection(span.tolist())
+                if len(item.codes) - len(item.distinct) + len(shared) < paraphrase * len(item.codes):
+                    continue
+                weight = lambda words: float(self.index.idf[list(words)].sum())
+                if weight(shared) < paraphrase * weight(item.distinct):  # common words alone are no leak
                     continue
                 same = common_length(item.codes, span) / len(item.codes)
                 if same < paraphrase:

@@ -146,10 +146,14 @@ class Coder:
         return total
 
 
+def _letters(column: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.match_substring_regex(column, r"\p{L}"), False).to_numpy(zero_copy_only=False)
+
+
 def _decide(shared: Shared, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Language, probability and bits per byte of each row."""
     size = np.diff(utf8(column)[1])
-    letters = pc.fill_null(pc.match_substring_regex(column, r"\p{L}"), False).to_numpy(zero_copy_only=False)
+    letters = _letters(column)
     coder = shared.get()
     if not coder.langs:
         return [UNKNOWN] * len(size), np.zeros(len(size)), np.zeros(len(size))
@@ -185,15 +189,15 @@ def keep_identified(docs: DataFrame, trees: ContextTrees, text: str = "text") ->
     """The rows whose language is known, with all their columns.
 
     Rejected are texts without a letter (or null), and texts that the best language codes in no fewer
-    than the 8 bits per byte that no model at all needs.
+    than the 8 bits per byte that no model at all needs.  Where nothing was learned, letters suffice.
     """
     shared = Shared(docs.sparkSession, trees, Coder)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, _, rate = _decide(shared, batch.column(at))
-            yield batch.filter(pa.array([x != UNKNOWN and r < 8 for x, r in zip(names, rate.tolist(), strict=True)]))
+            _, _, rate = _decide(shared, batch.column(at))
+            yield batch.filter(pa.array(_letters(batch.column(at)) & (rate < 8)))
 
     return docs.mapInArrow(run, docs.schema)
 
