@@ -102,6 +102,7 @@ class Shared:
             return self.broadcast.value
         if self.token not in Shared._built:
             Shared._built.clear()
+            pa.default_memory_pool().release_unused()
             Shared._built[self.token] = self.build(self.broadcast.value)
         return Shared._built[self.token]
 

@@ -34,7 +34,8 @@ BUCKETS = 1 << 16
 PASSAGE = 64
 LEAST_WORDS = 8
 BLOCK_BYTES = 4 << 20
-REMEMBERED = 300_000
+SEARCH_BYTES = 1 << 20  # words of benchmark-like stretches have a latent row each
+REMEMBERED = 200_000
 FIT_DOCUMENTS = 4_000
 FIT_TASKS = 12
 ITEMS_AT_ONCE = 2_000
@@ -104,10 +105,10 @@ class Index:
     share: float = 0.4
 
 
-def _groups(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, int, pa.Array]]:
+def _groups(batches: Iterator[pa.RecordBatch], column: int, most: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, int, pa.Array]]:
     """Stretches of rows of bounded text: the batch, the first row, the texts."""
     for batch in batches:
-        for lo, hi in slices(batch.column(column), BLOCK_BYTES):
+        for lo, hi in slices(batch.column(column), most):
             yield batch, lo, batch.column(column)[lo:hi]
 
 
@@ -216,7 +217,7 @@ class Searcher:
         by_class: dict[int, list[int]] = {}
         for k, item in enumerate(index.items):
             self.held[k, item.codes] = True
-            by_class.setdefault(math.ceil(math.log(len(item.codes), 1.3)), []).append(k)
+            by_class.setdefault(math.ceil(math.log(len(item.codes), 1.5)), []).append(k)
         self.classes = []
         for _, members in sorted(by_class.items()):
             own = [index.items[k] for k in members]
@@ -341,7 +342,7 @@ def leaks(docs: DataFrame, indexes: list[Index], key: str = "doc_id", text: str
         shared = Shared(docs.sparkSession, index, Searcher)
 
         def run(batches: Iterator[pa.RecordBatch], shared: Shared = shared) -> Iterator[pa.RecordBatch]:
-            for batch, first, bodies in _groups(batches, 1):
+            for batch, first, bodies in _groups(batches, 1, SEARCH_BYTES):
                 found = sorted(shared.get().search(bodies, verbatim, paraphrase).items())
                 place = pa.array([first + row for (row, _), _ in found], pa.int64())
                 columns = [pa.array([i for (_, i), _ in found], pa.int64()), pa.array([s for _, (s, _) in found], pa.float64()), pa.array([a for _, (_, a) in found], pa.bool_())]
@@ -359,7 +360,7 @@ def keep_clean(docs: DataFrame, indexes: list[Index], text: str = "text", verbat
         shared = Shared(docs.sparkSession, index, Searcher)
 
         def run(batches: Iterator[pa.RecordBatch], shared: Shared = shared) -> Iterator[pa.RecordBatch]:
-            for batch, first, bodies in _groups(batches, at):
+            for batch, first, bodies in _groups(batches, at, SEARCH_BYTES):
                 clean = np.ones(len(bodies), bool)
                 clean[[row for row, _ in shared.get().search(bodies, verbatim, paraphrase)]] = False
                 yield batch.slice(first, len(bodies)).filter(pa.array(clean))
