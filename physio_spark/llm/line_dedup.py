@@ -4,32 +4,23 @@ One pass over the texts fills a filter of keys seen once and a filter of keys se
 asks only the latter.  Keys that it does not hold are unique and never leave their task.  Suspects are
 shuffled with their whole text, confirmed exactly, and their first document is chosen.  A filter that
 is too small for the corpus costs shuffling, never a wrong result.
-
-The filters are cut into segments of 64 Ki bits.  A task sends the segments that it touched; two of
-them merge into once = a | b and twice = a2 | b2 | (a & b), in any order, so that segments are merged in
-levels and no task sees those of all others.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import materialize
+from . import bloom
 from .common import SPACE, Shared, fresh, texts, widened
 
-SEGMENT_BITS = 16
-PROBES = 3
 LEAST_KEY = 10
-MERGED_AT_ONCE = 64
 FLUSH = 1 << 20
 
 
@@ -47,47 +38,16 @@ def document_keys(text: bytes) -> set[bytes]:
     return {k for k in set(map(line_key, text.split(b"\n"))) if _long_enough(k)}
 
 
-def _bits(hashes: np.ndarray) -> np.ndarray:
-    """Bit numbers in a segment, one row for each probe."""
-    return np.stack([(hashes >> np.uint64(SEGMENT_BITS * k)) & np.uint64((1 << SEGMENT_BITS) - 1) for k in range(PROBES)]).astype(np.int64)
-
-
-def _pack(hashes: np.ndarray) -> bytes:
-    flags = np.zeros(1 << SEGMENT_BITS, bool)
-    flags[_bits(hashes)] = True
-    return zlib.compress(np.packbits(flags).tobytes(), 1)
-
-
-def _open(packed: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(packed), np.uint8)
-
-
-def _merge(frame: pd.DataFrame) -> tuple[bytes, bytes]:
-    once, twice = (np.zeros(1 << SEGMENT_BITS - 3, np.uint8) for _ in range(2))
-    for a, b in zip(frame["once"], frame["twice"], strict=True):
-        more = _open(a)
-        twice = twice | _open(b) | (once & more)
-        once = once | more
-    return zlib.compress(once.tobytes(), 1), zlib.compress(twice.tobytes(), 1)
-
-
 def seen_twice(docs: DataFrame, text: str, segments: int) -> bytes:
-    """The filter of keys seen in two rows or more: ``segments`` times 8 KiB, whatever the corpus holds."""
-    shift = np.uint64(64 - (segments.bit_length() - 1))
+    """The filter of keys seen in two rows or more."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group = TaskContext.get().partitionId() // MERGED_AT_ONCE
         found: list[int] = []
 
         def flush() -> pa.RecordBatch:
-            hashes, n = np.unique(np.array(found, np.uint64), return_counts=True)
+            columns = zip(*bloom.filled(np.array(found, np.uint64), segments), strict=True)
             found.clear()
-            at = (hashes >> shift).astype(np.int64)
-            ids, first = np.unique(at, return_index=True)
-            cut = np.append(first, len(hashes))
-            rows = [(hashes[a:b], n[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            packed = [[_pack(h) for h, _ in rows], [_pack(h[k > 1]) for h, k in rows]]
-            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array([group] * len(ids), pa.int64()), *[pa.array(p, pa.binary()) for p in packed]], ["segment", "part", "once", "twice"])
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["segment", "part", "once", "twice"])
 
         for batch in batches:
             for body in texts(batch.column(0)):
@@ -97,24 +57,12 @@ def seen_twice(docs: DataFrame, text: str, segments: int) -> bytes:
         if found:
             yield flush()
 
-    def merge_part(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        once, twice = _merge(frame)
-        return pd.DataFrame({"segment": [key[0]], "once": [once], "twice": [twice]})
-
-    filled = docs.select(F.col(text).cast("string")).mapInArrow(fill, "segment long, part long, once binary, twice binary")
-    schema = "segment long, once binary, twice binary"
-    parts = filled.groupBy("segment", "part").applyInPandas(merge_part, schema)
-    merged = parts.groupBy("segment").applyInPandas(merge_part, schema)
-    whole = bytearray(segments << SEGMENT_BITS - 3)
-    size = 1 << SEGMENT_BITS - 3
-    for row in merged.select("segment", "twice").toLocalIterator():
-        whole[row["segment"] * size : (row["segment"] + 1) * size] = _open(bytes(row["twice"])).tobytes()
-    return bytes(whole)
+    rows = docs.select(F.col(text).cast("string")).mapInArrow(fill, "segment long, part long, once binary, twice binary")
+    return bloom.seen_twice(rows, segments)
 
 
 def suspects(docs: DataFrame, key: str, text: str, filter_bytes: bytes) -> DataFrame:
     """``doc, line, mark``: keys that may be in two rows, with a 128-bit mark of each."""
-    shift = np.uint64(64 - (len(filter_bytes).bit_length() - 1 - (SEGMENT_BITS - 3)))
     shared = Shared(docs.sparkSession, filter_bytes)
     rows = docs.select(F.col(key).alias("doc"), F.col(text).cast("string").alias("t")).where("doc IS NOT NULL")
     kind = rows.schema["doc"].dataType
@@ -128,8 +76,7 @@ def suspects(docs: DataFrame, key: str, text: str, filter_bytes: bytes) -> DataF
                 owner.extend([row] * len(own))
                 keys.extend(own)
             hashes = np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64)
-            at = ((hashes >> shift).astype(np.int64) << SEGMENT_BITS) + _bits(hashes)
-            hit = np.flatnonzero((bits[at >> 3] >> (7 - (at & 7)) & 1).all(0))
+            hit = np.flatnonzero(bloom.holds(bits, hashes))
             lines = [keys[k] for k in hit.tolist()]
             docs_of = batch.column(0).take(pa.array(np.array(owner, np.int64)[hit]))
             yield pa.RecordBatch.from_arrays([docs_of, pa.array(lines, pa.binary()), pa.array([xxhash.xxh3_128_digest(k) for k in lines], pa.binary())], ["doc", "line", "mark"])
