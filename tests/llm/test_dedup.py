@@ -6,7 +6,8 @@ import random
 import pytest
 import xxhash
 
-from physio_spark.llm import line_dedup, simhash, substring_dedup
+import corpus_pipeline
+from physio_spark.llm import line_dedup, near_copies, simhash, substring_dedup
 from physio_spark.llm.components import components
 
 SCHEMA = "doc_id long, text string, drop string, owner string, mark string"
@@ -205,3 +206,43 @@ def test_digest_of_an_emptied_document(spark):
     text = {r["doc_id"]: r["text"] for r in kept.collect()}
     assert text == {1: "the same line here", 2: ""}
     assert hashlib.sha256(text[2].encode()).hexdigest().startswith("e3b0c442")
+
+
+def jaccard(a, b, n=5):
+    x, y = ({tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("block", [500_000, 300])
+def test_pipeline_drops_near_copies_of_0_8_and_more(spark, monkeypatch, block):
+    """All pairs by hand; most copies of 0.8 to 0.95 differ in more than 4 bits of a SimHash."""
+    monkeypatch.setattr(near_copies, "BLOCK_SHINGLES", block)
+    rng = random.Random(21)
+    rows = []
+    for k in range(120):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([50, 90, 200]))]
+        rows.append((10 * k, " ".join(words)))
+        for j in range(rng.randrange(4)):  # changes at random places: similarities below and above 0.8
+            copy = list(words)
+            for at in rng.sample(range(len(words)), rng.randrange(1, max(2, len(words) // 25))):
+                copy[at] = f"x{rng.randrange(5000)}"
+            rows.append((10 * k + 1 + j, " ".join(copy)))
+    rows += [(9000, None), (9001, ""), (9002, "few words"), (9003, "FEW  words"), (None, rows[0][1])]
+    head = {i: i for i, _ in rows[:-5]}
+
+    def root(i):
+        while head[i] != i:
+            i = head[i]
+        return i
+
+    pairs = [(a, b, jaccard(t, u)) for k, (a, t) in enumerate(rows[:-5]) for b, u in rows[:k]]
+    far = 0
+    for a, b, s in pairs:
+        if s >= 0.8:
+            head[max(root(a), root(b))] = min(root(a), root(b))
+            texts_ = dict(rows[:-5])
+            far += (simhash.fingerprint(texts_[a].encode()) ^ simhash.fingerprint(texts_[b].encode())).bit_count() > 4
+    assert far > 20 and any(0.6 < s < 0.8 for *_, s in pairs)
+    want = {i for i in head if root(i) == i and root(i) != root(0)} | {None, 9000, 9002}
+    docs = frame(spark, rows)
+    assert {r[0] for r in corpus_pipeline.drop_copies(spark, docs, "").select(docs.columns[0]).collect()} == want
