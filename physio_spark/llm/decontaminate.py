@@ -1,15 +1,14 @@
-"""Benchmark decontamination by latent semantic retrieval.
-
-Passages are TF-IDF vectors over the words of the benchmark, weighted by document frequencies counted
-over all documents.  A randomised SVD (a random sketch, power steps over a distributed sample of
-passages, and the items themselves) gives a small latent basis.  Every text is then walked in windows of
-about each item's length; windows whose latent vector points to an item are candidates.  A candidate
-counts if the longest common subsequence of words with the item is nearly all of it, or most of it
-with the item's answer (its last sentence) found as well.
-
-The latent cosine is measured by what the item reaches with itself, since a small basis holds only a
-part of it.  Before that, a window must owe a share of its TF-IDF energy to benchmark words, which costs
-two running sums per text; what holds most of an item has it, ordinary text rarely does.
+"""Benchmark decontamination by rare words and longest common subsequences.
+
+Words are weighted by document frequencies counted over all documents (TF-IDF).  A span of ``2 * L + 4`` words
+holds an item of L words if the longest common subsequence with it is nearly all of the item, or most of it
+with the item's answer (its last sentence) found as well, and the words they share make up most of the item's
+weight.  What misses at most 40 % of the weight holds all but 40 % of the weight of any part of the item, so
+every such span holds a known weight of the item's rarest words.  This bound is looked up in an index of these
+words over all positions of all texts; it loses no span, whatever stands around it and however long the item.
+
+Items under ``LEAST_WORDS`` words are too short for subsequences: they count where they stand word for word.
+Scripts without blanks are read by characters.
 """
 
 from __future__ import annotations
@@ -17,29 +16,27 @@ from __future__ import annotations
 import math
 import re
 import string
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialize
-from .common import Shared, slices, split_words, unit
+from .common import Shared, slices, split_words
 
-BUCKETS = 1 << 16
-PASSAGE = 64
 LEAST_WORDS = 8
 BLOCK_BYTES = 4 << 20
-SEARCH_BYTES = 1 << 20  # words of benchmark-like stretches have a latent row each
+SEARCH_BYTES = 1 << 20
 REMEMBERED = 200_000
-FIT_DOCUMENTS = 4_000
-FIT_TASKS = 12
 ITEMS_AT_ONCE = 2_000
-SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
+SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\n+")
+# Thai, Lao, Tibetan, Burmese, Khmer, kana, Bopomofo and Han, which are written without blanks.
+PIECE = re.compile("(?P<sign>[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fdf\u3005-\u312f\u31a0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])|[^\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fdf\u3005-\u312f\u31a0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+")
 
 
 def plain(word: str) -> str:
@@ -51,35 +48,47 @@ def plain(word: str) -> str:
     return word[keep[0] : keep[-1] + 1] if keep else ""
 
 
-def plain_words(text: str) -> list[str]:
-    return [w for w in map(plain, text.split()) if w]
+def words_of(raw: str) -> list[str]:
+    """The plain words of a text or of a part of it cut at white space; characters of scripts without blanks are words."""
+    if raw.isascii():
+        return [w for w in map(plain, raw.split()) if w]
+    out = []
+    for part in raw.split():
+        for m in PIECE.finditer(part):
+            if m["sign"] is None:
+                word = plain(m[0])
+            else:
+                word = m[0] if m[0].isalnum() or unicodedata.category(m[0])[0] == "M" else ""
+            if word:
+                out.append(word)
+    return out
 
 
 class Codes(dict):
-    """Codes of raw words: a benchmark word's number, a bucket after these, or -1 for mere signs."""
+    """Codes of the plain words in raw ones: a benchmark word's number, or the number after these for any other."""
 
     def __init__(self, vocabulary: dict[str, int]) -> None:
         self.vocabulary = vocabulary
 
-    def __missing__(self, raw: bytes) -> int:
+    def __missing__(self, raw: bytes) -> tuple[int, ...]:
         if len(self) > REMEMBERED:
             self.clear()
-        word = plain(raw.decode("utf-8", "replace"))
-        code = -1
-        if word:
-            code = self.vocabulary.get(word, -1)
-            if code < 0:
-                code = len(self.vocabulary) + xxhash.xxh3_64_intdigest(word) % BUCKETS
-        self[raw] = code
-        return code
+        known, other = self.vocabulary.get, len(self.vocabulary)
+        self[raw] = out = tuple(known(w, other) for w in words_of(raw.decode("utf-8", "replace")))
+        return out
 
     def lay(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Codes of all words of a string column end to end, and where each text ends."""
         distinct, number, ends = split_words(column)
-        code = np.fromiter(map(self.__getitem__, distinct.cast(pa.binary()).to_pylist()), np.int64, len(distinct))
-        codes = code[number]
-        keep = codes >= 0
-        return codes[keep], np.concatenate([[0], np.cumsum(keep)])[ends]
+        parts = list(map(self.__getitem__, distinct.cast(pa.binary()).to_pylist()))
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        flat = np.fromiter(chain.from_iterable(parts), np.int64, int(sizes.sum()))
+        first = np.cumsum(sizes) - sizes
+        count = sizes[number]
+        ends = np.concatenate([[0], np.cumsum(count)])[ends]
+        if sizes.max(initial=0) <= 1:
+            return flat[first[number[count > 0]]], ends
+        return flat[np.repeat(first[number] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))], ends
 
 
 @dataclass
@@ -95,14 +104,11 @@ class Item:
 
 @dataclass
 class Index:
-    """A block of benchmark items with the latent basis of its words."""
+    """A block of benchmark items with the weights of their words."""
 
     vocabulary: dict[str, int]
     idf: np.ndarray
     items: list[Item]
-    basis: np.ndarray
-    reach: float = 0.5
-    share: float = 0.4
 
 
 def _groups(batches: Iterator[pa.RecordBatch], column: int, most: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, int, pa.Array]]:
@@ -113,16 +119,17 @@ def _groups(batches: Iterator[pa.RecordBatch], column: int, most: int = BLOCK_BY
 
 
 def document_frequencies(rows: DataFrame, vocabulary: dict[str, int]) -> tuple[np.ndarray, int]:
-    """In how many texts each code is found, and the number of texts; over all rows of the column ``t``."""
-    size = len(vocabulary) + BUCKETS
+    """In how many texts each benchmark word is found, and the number of texts; over all rows of the column ``t``."""
+    size = len(vocabulary)
     shared = Shared(rows.sparkSession, vocabulary, Codes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(size, np.int64), 0
         for _, _, bodies in _groups(batches, 0):
             codes, ends = shared.get().lay(bodies)
-            owner = np.searchsorted(ends, np.arange(len(codes)), "right")
-            total += np.bincount(np.unique(owner * size + codes) % size, minlength=size)
+            at = np.flatnonzero(codes < size)
+            owner = np.searchsorted(ends, at, "right")
+            total += np.bincount(np.unique(owner * size + codes[at]) % size, minlength=size)
             n += len(bodies)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1)), pa.array(np.append(total[seen], n))], ["code", "n"])
@@ -134,61 +141,6 @@ def document_frequencies(rows: DataFrame, vocabulary: dict[str, int]) -> tuple[n
     return out, int(n[codes < 0].sum())
 
 
-def _matrix(codes: np.ndarray, idf: np.ndarray, words: int) -> np.ndarray:
-    """TF-IDF rows of passages of one text each laid end to end, over the benchmark's words, at unit full norm."""
-    n = -(-len(codes) // PASSAGE)
-    owner = np.arange(len(codes)) // PASSAGE
-    norm = np.sqrt(np.bincount(owner, idf[codes] ** 2, n))
-    out = np.zeros((n, words), np.float32)
-    own = codes < words
-    np.add.at(out, (owner[own], codes[own]), idf[codes[own]])
-    return out / np.maximum(norm, 1e-9)[:, None]
-
-
-def latent_basis(sample: DataFrame, vocabulary: dict[str, int], idf: np.ndarray, items: list[Item], rank: int, steps: int = 2) -> np.ndarray:
-    """Right singular vectors of the passages of the sample and of the items, by a randomised SVD.
-
-    The tasks multiply the sketch by A and its transpose; the driver adds their sums, which have a row
-    for each benchmark word, and makes them orthonormal.
-    """
-    words = len(vocabulary)
-    rank = min(rank, words)
-    rng = np.random.default_rng(7)
-    sketch = rng.standard_normal((words, rank)).astype(np.float32)
-    queries = np.concatenate([_matrix(i.codes, idf, words) for i in items])
-
-    def product(basis: np.ndarray, gram: bool) -> np.ndarray:
-        shared = Shared(sample.sparkSession, (vocabulary, basis), lambda x: (Codes(x[0]), x[1]))
-        shape = (rank, rank) if gram else (words, rank)
-
-        def part(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            y = a @ b
-            return y.T @ y if gram else a.T @ y
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            codes, b = shared.get()
-            total, n = np.zeros(shape, np.float64), 0
-            height = max(16, (4 << 20) // max(words, 1)) * PASSAGE
-            for _, _, bodies in _groups(batches, 0):
-                laid, _ = codes.lay(bodies)
-                for lo in range(0, len(laid), height):
-                    rows = _matrix(laid[lo : lo + height], idf, words)
-                    total += part(rows, b)
-                    n += len(rows)
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([n])], ["sums", "n"])
-
-        total, n = np.zeros(shape), 0
-        for row in sample.mapInArrow(run, "sums binary, n long").toLocalIterator():
-            total += np.frombuffer(bytes(row["sums"]), np.float64).reshape(shape)
-            n += row["n"]
-        return part(queries, basis) + total * (len(queries) / max(n, 1))  # the sample weighs as much as the items
-
-    for _ in range(steps):
-        sketch = np.linalg.qr(product(sketch, gram=False))[0].astype(np.float32)
-    _, turn = np.linalg.eigh(product(sketch, gram=True))
-    return np.ascontiguousarray((sketch @ turn[:, ::-1]).astype(np.float32))
-
-
 def common_length(a: np.ndarray, b: np.ndarray) -> int:
     """Length of the longest common subsequence, by Hyyrö's bit-parallel recurrence."""
     masks: dict[int, int] = {}
@@ -204,117 +156,159 @@ def common_length(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - row.bit_count()
 
 
+def _span(size: int) -> int:
+    return 2 * size + 4
+
+
 class Searcher:
-    """The items of a block in classes of like length, ready to be held against windows of that length."""
+    """The items of a block with an index of their rarest words."""
 
     def __init__(self, index: Index) -> None:
         self.index, self.codes = index, Codes(index.vocabulary)
         self.words = len(index.vocabulary)
-        self.square = index.idf**2
-        self.latent = index.basis * index.idf[: self.words, None].astype(np.float32)
         self.sizes = np.array([len(i.codes) for i in index.items])
         self.held = np.zeros((len(index.items), self.words + 1), bool)
-        by_class: dict[int, list[int]] = {}
         for k, item in enumerate(index.items):
             self.held[k, item.codes] = True
-            by_class.setdefault(math.ceil(math.log(len(item.codes), 1.5)), []).append(k)
-        self.classes = []
-        for _, members in sorted(by_class.items()):
-            own = [index.items[k] for k in members]
-            width = round(sum(len(i.codes) for i in own) / len(own))
-            vectors = np.stack([self.latent[i.codes].sum(0) for i in own])
-            norms = np.array([math.sqrt(self.square[i.codes].sum()) for i in own])
-            reached = (vectors**2).sum(1)  # what an item reaches with itself, times both norms
-            scale = np.where(reached > 1e-12, norms / np.maximum(reached, 1e-12), 0.0)
-            self.classes.append((width, members, (vectors * scale[:, None]).T))
-
-    def candidates(self, codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int, list[int]]]:
-        """For each class the (window start, place in the class) that reach the threshold.
-
-        ``begin`` and ``end`` are the limits of each word's text.
+        self.idf = index.idf.astype(np.float64)
+        self.weight = np.array([self.idf[list(i.distinct)].sum() for i in index.items])
+        self.bound = 0.0
+
+    def rare(self, paraphrase: float) -> None:
+        """Index the rarest words of each item that make up more than it may miss, and the weight that must be met.
+
+        Of an item that has to stand word for word, the rarest word is enough.
         """
-        n = len(codes)
-        energy = self.square[codes]
-        weight = np.concatenate([[0.0], np.cumsum(energy)])
-        held = np.concatenate([[0.0], np.cumsum(np.where(codes < self.words, energy, 0.0))])
-        place = np.arange(n) - begin
-        windows, covered = [], np.zeros(n + 1, np.int64)
-        for width, _, _ in self.classes:
-            starts = np.flatnonzero(place % max(1, width // 4) == 0)
-            stops = np.minimum(starts + width, end[starts])
-            norm = weight[stops] - weight[starts]
-            some = held[stops] - held[starts] >= self.index.share * norm
-            windows.append((starts[some], stops[some], norm[some]))
-            covered += np.bincount(starts[some], minlength=n + 1) - np.bincount(stops[some], minlength=n + 1)
-        word = np.flatnonzero(np.cumsum(covered)[:-1] > 0)
-        rows = np.concatenate([np.zeros((1, self.latent.shape[1])), np.where(codes[word, None] < self.words, self.latent[np.minimum(codes[word], self.words - 1)], 0)])
-        np.cumsum(rows, axis=0, out=rows)
-        for (width, members, vectors), (starts, stops, norm) in zip(self.classes, windows, strict=True):
-            for lo in range(0, len(starts), 4096):
-                a, b = starts[lo : lo + 4096], stops[lo : lo + 4096]
-                sums = rows[np.searchsorted(word, b)] - rows[np.searchsorted(word, a)]
-                score = (sums @ vectors) / np.sqrt(np.maximum(norm[lo : lo + 4096], 1e-12))[:, None]
-                i, j = np.nonzero(score >= self.index.reach)
-                yield a[i], j, width, members
+        if self.bound == paraphrase:
+            return
+        self.bound = paraphrase
+        pairs, self.least = [], np.zeros(len(self.index.items))
+        self.anchor = np.full(len(self.index.items), -1)
+        for k, item in enumerate(self.index.items):
+            order = sorted(item.distinct, key=lambda c: (-self.idf[c], c))
+            if len(item.codes) < LEAST_WORDS:
+                self.anchor[k] = item.codes.tolist().index(order[0])
+                pairs.append((order[0], k))
+                continue
+            missed, total = (1 - paraphrase) * self.weight[k], 0.0
+            for c in order:
+                pairs.append((c, k))
+                total += self.idf[c]
+                if total > min(missed + 0.2 * self.weight[k], 0.999 * self.weight[k]):
+                    break
+            self.least[k] = (total - missed) * (1 - 1e-6)
+        code, self.whose = np.array(sorted(pairs), np.int64).reshape(-1, 2).T
+        self.first = np.searchsorted(code, np.arange(self.words + 1))
+
+    def candidates(self, codes: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Items and places of their rare words from where a span may reach the weight; in order of item and place."""
+        at = np.flatnonzero(codes < self.words)
+        count = self.first[codes[at] + 1] - self.first[codes[at]]
+        at, count = at[count > 0], count[count > 0]
+        place = np.repeat(at, count)
+        item = self.whose[np.repeat(self.first[codes[at]] - (np.cumsum(count) - count), count) + np.arange(len(place))]
+        order = np.argsort(item, kind="stable")
+        place, item = place[order], item[order]
+        weight = np.concatenate([[0.0], np.cumsum(self.idf[codes[place]])])
+        stop = np.minimum(place + _span(self.sizes[item]), end[place])
+        base = item * (len(codes) + 1)
+        some = weight[np.searchsorted(base + place, base + stop)] - weight[:-1] >= self.least[item] - 1e-6
+        return item[some], place[some]
+
+    def runs(self, codes: np.ndarray, begin: np.ndarray, end: np.ndarray, item: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Place and item of short items that stand word for word."""
+        for k in np.unique(item).tolist():
+            own = self.index.items[k].codes
+            at = place[item == k]
+            start = at - self.anchor[k]
+            inside = (start >= begin[at]) & (start + len(own) <= end[at])
+            start = start[inside]
+            for a in start[(codes[start[:, None] + np.arange(len(own))] == own).all(1)].tolist():
+                yield a, k
+
+    def best(self, item: int, region: np.ndarray, starts: range, verbatim: float, paraphrase: float) -> tuple[float, bool] | None:
+        """The largest similarity of the spans of a region from these starts that hold the item, and whether one has its answer."""
+        own = self.index.items[item]
+        most = common_length(own.codes, region)
+        if most < paraphrase * len(own.codes):
+            return None
+        answer = common_length(own.answer, region) >= 0.8 * len(own.answer)
+        found = None
+        step = max(1, len(own.codes) // 4)
+        for a in dict.fromkeys([*starts[::step], *starts]):
+            span = region[max(a, 0) : a + _span(len(own.codes))]
+            shared = own.distinct.intersection(span.tolist())
+            if self.idf[list(shared)].sum() < paraphrase * self.weight[item] - 1e-6:  # common words alone are no leak
+                continue
+            same = common_length(own.codes, span) / len(own.codes)
+            if same < paraphrase:
+                continue
+            answered = answer and common_length(own.answer, span) >= 0.8 * len(own.answer)
+            if same < verbatim and not answered:
+                continue
+            found = max(found or (0.0, False), (same, answered))
+            if found == (most / len(own.codes), answer):
+                break
+        return found
 
     def search(self, bodies: pa.Array, verbatim: float, paraphrase: float) -> dict[tuple[int, int], tuple[float, bool]]:
         """Similarity and answer by (text, item) of all confirmed pairs."""
+        self.rare(min(verbatim, paraphrase))
         codes, ends = self.codes.lay(bodies)
         sizes = np.diff(np.concatenate([[0], ends]))
         begin, end = np.repeat(ends - sizes, sizes), np.repeat(ends, sizes)
         owner = np.repeat(np.arange(len(bodies)), sizes)
         found: dict[tuple[int, int], tuple[float, bool]] = {}
-        for starts, places, width, members in self.candidates(codes, begin, end):
-            own = self.held[members]
-            slack = width // 2 + 2
-            spans = np.clip(starts[:, None] + np.arange(-slack, width + slack), begin[starts][:, None], end[starts][:, None] - 1)
-            some = np.zeros(len(starts), bool)
-            for lo in range(0, len(starts), 4096):  # no subsequence is longer than the item's words in the span
-                words = np.minimum(codes[spans[lo : lo + 4096]], self.words)
-                some[lo : lo + 4096] = own[places[lo : lo + 4096, None], words].sum(1) >= paraphrase * self.sizes[members][places[lo : lo + 4096]]
-            for a, place in zip(starts[some].tolist(), places[some].tolist(), strict=True):
-                item = self.index.items[members[place]]
-                span = codes[max(begin[a], a - slack) : min(end[a], a + width + slack)]
-                shared = item.distinct.intersection(span.tolist())
-                if len(item.codes) - len(item.distinct) + len(shared) < paraphrase * len(item.codes):
-                    continue
-                weight = lambda words: float(self.index.idf[list(words)].sum())
-                if weight(shared) < paraphrase * weight(item.distinct):  # common words alone are no leak
-                    continue
-                same = common_length(item.codes, span) / len(item.codes)
-                if same < paraphrase:
-                    continue
-                answered = common_length(item.answer, span) >= 0.8 * len(item.answer)
-                if same < verbatim and not answered:
-                    continue
-                pair = (int(owner[a]), item.ident)
-                found[pair] = max(found.get(pair, (0.0, False)), (same, answered))
+        items, places = self.candidates(codes, end)
+        short = self.anchor[items] >= 0
+        for a, k in self.runs(codes, begin, end, items[short], places[short]):
+            found[int(owner[a]), self.index.items[k].ident] = (1.0, True)
+        items, places = items[~short], places[~short]
+        reach = _span(self.sizes[items])
+        some = np.zeros(len(items), bool)
+        for size in np.unique(self.sizes[items]).tolist():  # no subsequence is longer than the item's words around
+            of = np.flatnonzero(self.sizes[items] == size)
+            for lo in range(0, len(of), 4096):
+                part = of[lo : lo + 4096]
+                at = places[part, None] + np.arange(1 - _span(size), _span(size))
+                inside = (at >= begin[places[part], None]) & (at < end[places[part], None])
+                around = np.minimum(codes[np.clip(at, 0, len(codes) - 1)], self.words)
+                some[part] = (self.held[items[part, None], around] & inside).sum(1) >= paraphrase * size
+        items, places, reach = items[some], places[some], reach[some]
+        if not len(items):
+            return found
+        # neighbours of an item in a text are looked at together, a few spans at a time
+        breaks = (np.diff(items) != 0) | (np.diff(owner[places]) != 0) | (np.diff(places) > reach[1:]) | (places[1:] // (8 * reach[1:]) != places[:-1] // (8 * reach[1:]))
+        edges = np.concatenate([[0], np.flatnonzero(breaks) + 1, [len(items)]])
+        for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            k, a, b, wide = int(items[x]), int(places[x]), int(places[y - 1]), int(reach[x])
+            lo, hi = max(int(begin[a]), a - wide + 1), min(int(end[a]), b + wide)
+            same = self.best(k, codes[lo:hi], range(0, b - lo + 1), verbatim, paraphrase)
+            if same:
+                pair = (int(owner[a]), self.index.items[k].ident)
+                found[pair] = max(found.get(pair, (0.0, False)), same)
         return found
 
 
 def _answer(text: str) -> list[str]:
-    parts = [w for w in map(plain_words, SENTENCE.split(text)) if w]
+    parts = [w for w in map(words_of, SENTENCE.split(text)) if w]
     last = parts[-1] if parts else []
-    return last if len(last) >= 3 else plain_words(text)[-5:]
+    return last if len(last) >= 3 else words_of(text)[-5:]
 
 
-def fit(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", rank: int = 192) -> list[Index]:
+def fit(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> list[Index]:
     """The benchmark as indexes of at most ``ITEMS_AT_ONCE`` items each.
 
-    Document frequencies come from all documents; the basis is fitted on the items and on a bounded
-    sample of about ``FIT_DOCUMENTS`` documents, chosen by a hash of their key.  Items that are null or
-    have fewer than ``LEAST_WORDS`` words are too short to tell a leak from chance and are left out.
+    Document frequencies come from all documents.  Items that are null or have no word are left out.
     """
     rows = benchmark.select(F.col(item).alias("i"), F.col(item_text).cast("string").alias("t")).dropna()
     body = docs.select(F.col(text).cast("string").alias("t"))
     blocks = math.ceil(rows.count() / ITEMS_AT_ONCE)
-    share = min(1.0, FIT_DOCUMENTS / max(docs.count(), 1))
-    sample = None
     out = []
     for block in range(blocks):
         own = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).collect()
-        read = [(r["i"], plain_words(r["t"]), _answer(r["t"])) for r in own]
-        read = [x for x in read if len(x[1]) >= LEAST_WORDS]
+        read = [(r["i"], words_of(r["t"]), _answer(r["t"])) for r in own]
+        read = [x for x in read if x[1]]
         if not read:
             continue
         vocabulary = {w: k for k, w in enumerate(sorted({w for _, words, _ in read for w in words}))}
@@ -322,16 +316,14 @@ def fit(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
         items = [Item(i, code(words), code(answer)) for i, words, answer in read]
         counts, n = document_frequencies(body, vocabulary)
         idf = np.log((n + len(items) + 1) / (counts + 1.0)).astype(np.float32) + 0.01
-        if sample is None:
-            sample = materialize(docs.where(unit(F.col(key)) < share).select(F.col(text).cast("string").alias("t")).repartition(FIT_TASKS))
-        out.append(Index(vocabulary, idf, items, latent_basis(sample, vocabulary, idf, items, rank)))
+        out.append(Index(vocabulary, idf, items))
     return out
 
 
 def leaks(docs: DataFrame, indexes: list[Index], key: str = "doc_id", text: str = "text", verbatim: float = 0.8, paraphrase: float = 0.6) -> DataFrame:
     """``key, item_id, similarity, answer_found`` of every document that holds an item.
 
-    ``similarity`` is the share of the item's words in the longest common subsequence.  Null and empty
+    ``similarity`` is the share of the item's words in the longest common subsequence, 1 for a short item that stands word for word.  Null and empty
     texts hold nothing, nor does an empty benchmark find anything; repeated rows give repeated rows.
     """
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("t"))

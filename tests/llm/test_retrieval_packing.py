@@ -295,3 +295,42 @@ def test_pipeline_is_its_stages(spark):
     for r in rows:
         got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["length"]
     assert got == want
+
+
+def brute_leaks(rows, index, verbatim=0.8, paraphrase=0.6):
+    """All spans of all texts against all items."""
+    codes_of = decontaminate.Codes(index.vocabulary)
+    out = set()
+    for i, t in rows:
+        codes, _ = codes_of.lay(pa.array([t]))
+        for item in index.items:
+            n = len(item.codes)
+            weight = lambda c: float(index.idf[list(c)].astype(float).sum())
+            for a in range(max(1, len(codes) - 2 * n - 3)):
+                span = codes[a : a + 2 * n + 4]
+                if weight(item.distinct & set(span.tolist())) < paraphrase * weight(item.distinct):
+                    continue
+                same = decontaminate.common_length(item.codes, span) / n
+                if same >= verbatim or same >= paraphrase and decontaminate.common_length(item.answer, span) >= 0.8 * len(item.answer):
+                    out.add((i, item.ident))
+                    break
+    return out
+
+
+def test_leaks_of_mixed_lengths_among_rare_words(spark):
+    """Plainly worded items of 9 to 60 words between names, codes and numbers that weigh far more."""
+    rng = random.Random(31)
+    common = [f"plain{k}" for k in range(150)]
+    items = [" ".join(rng.choices(common, k=rng.choice([9, 14, 26, 37, 45, 60]))) + "." for _ in range(24)]
+    rows = [(k, " ".join(rng.choices(common, k=120))) for k in range(40)]
+    for k, item in enumerate(items):
+        rare = lambda n: " ".join(f"K{rng.randrange(10**9)}" for _ in range(n))
+        rows.append((100 + k, f"{rare(80)} {item} {rare(80)}"))
+        words = item.split()
+        gone = set(rng.sample(range(len(words)), len(words) // 7))
+        rows.append((200 + k, f"{rare(50)} {' '.join(rare(1) if j in gone else w for j, w in enumerate(words))} {rare(50)}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    (index,) = decontaminate.fit(docs, spark.createDataFrame([*enumerate(items)], "item_id long, text string"))
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, [index]).collect()}
+    assert {(100 + k, k) for k in range(24)} <= got
+    assert got == brute_leaks(rows, index)
