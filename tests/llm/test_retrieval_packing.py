@@ -334,3 +334,16 @@ def test_leaks_of_mixed_lengths_among_rare_words(spark):
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, [index]).collect()}
     assert {(100 + k, k) for k in range(24)} <= got
     assert got == brute_leaks(rows, index)
+
+
+def test_short_items_and_scripts_without_blanks(spark):
+    items = [(1, "Who wrote Faust?"), (2, "東京の首都はどこですか。答えは東京です。"), (3, "什么"), (4, "one two three four five six seven eight nine ten"), (5, "..."), (6, "aa bb aa cc")]
+    rows = [
+        (1, "They asked: who wrote FAUST, and when?"), (2, "Who wrote the play Faust?"), (3, "前文。東京の首都はどこですか。答えは東京です。後文"),
+        (4, "他说什么"), (5, "one two three four five six seven eight nine ten"), (6, "faust"), (7, "wrote Faust? Who"), (8, "x aa bb aa bb aa cc y"), (9, "Who wrote"), (10, "Faust"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    indexes = decontaminate.fit(docs, spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, indexes).collect()}
+    assert got == {(1, 1), (3, 2), (4, 3), (5, 4), (8, 6)}
+    assert {r["doc_id"] for r in decontaminate.keep_clean(docs, indexes).collect()} == {2, 6, 7, 9, 10}
