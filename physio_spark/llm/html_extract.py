@@ -5,8 +5,8 @@ its length and the density of stop words make it good, bad or, where it is too s
 The second pass gives ambiguous blocks the label of the nearest decided block.
 
 What a page says about itself comes first: containers that are navigation, headers, footers, asides,
-forms, notices, adverts or reader comments by tag, role, class or id are out, and where a page has an
-``article`` or ``main`` element, only that is in question.
+forms, notices, adverts or reader comments by tag, role, class or id are out.  All other blocks are judged;
+an ``article`` or ``main`` element that holds no less text than the good blocks around it speaks for its blocks.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ TOKEN = re.compile(
     r"|<[!?/][^>]*(?:>|\Z)",
     re.I | re.S,
 )
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 # Names of tags, roles and classes.
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head "
@@ -43,6 +43,11 @@ OUTSIDE_NAMES = frozenset(
     "login masthead menu modal nav navbar navigation newsletter notice notification pagination pager popup promo promoted related reply replies "
     "share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar topbar widget".split()
 )
+# What a start tag ends if it was left open, up to the container.
+SIBLINGS = {
+    "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}),
+    "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"optgroup"}),
+}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 STOP_WORDS = frozenset(
     # English
@@ -75,6 +80,7 @@ class BlockText:
     linked: int = 0
     text: str = ""
     label: str = ""
+    density: float = 0.0
 
 
 @dataclass
@@ -109,7 +115,13 @@ def blocks(html: str) -> list[BlockText]:
     stack = [_Open("", False, 0)]
     links, articles, heading = 0, 0, False
     current: BlockText | None = None
-    last = 0
+    last, linked_from = 0, 0
+
+    def leave(k: int) -> None:
+        nonlocal links
+        del stack[k:]
+        if len(stack) < linked_from:
+            links = 0
 
     def add(raw: str) -> None:
         nonlocal current
@@ -134,17 +146,30 @@ def blocks(html: str) -> list[BlockText]:
             continue
         end = bool(m["end"])
         if name == "a":
-            links = 0 if end else 1
+            links, linked_from = 0 if end else 1, len(stack)
             continue
         if name in BLOCK_TAGS:
             current = None
             if name in HEADINGS:
                 heading = not end
+            if not end or name == "p":  # a paragraph holds no blocks, so any of them ends it and what it left open
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].name == "p":
+                        leave(k)
+                        break
+                    if stack[k].name in BLOCK_TAGS:
+                        break
+            if not end and name in SIBLINGS:
+                same, holders = SIBLINGS[name]
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].name in holders:
+                        break
+                    if stack[k].name in same:
+                        leave(k)
+                        break
         elif not m["rest"] or name in VOID_TAGS:
             continue
-        if name == "p" and not end and _outside(name, m["rest"], stack[-1].inside):  # a paragraph holds no blocks
-            current = BlockText(True, stack[-1].inside, False)
-        if name in ("p", "html") or name in VOID_TAGS:
+        if name == "html" or name in VOID_TAGS or name == "p" and end:
             continue
         if name == "body" and not end:
             stack = [s for s in stack if s.name != "head"]
@@ -174,30 +199,44 @@ def blocks(html: str) -> list[BlockText]:
     return [b for b in out if b.text]
 
 
-def _first_pass(block: BlockText) -> str:
-    """good, bad, or ambiguous (``near`` if it leans to good, ``short`` if it says nothing)."""
+def _first_pass(block: BlockText, told: bool) -> str:
+    """good, bad, or ambiguous (``near`` if it leans to good, ``short`` if it says nothing).
+
+    ``told``: its article speaks for it; few stop words alone do not make it bad then.
+    """
     size = len(block.text)
     if block.linked > LINKED * size:
         return "bad"
-    words = [w.lower() for w in WORD.findall(block.text)]
-    density = sum(w in STOP_WORDS for w in words) / max(len(words), 1)
     if block.heading:
-        return "near" if block.inside else "short"
+        return "near" if told else "short"
     if size < SHORT:
         return "short"
-    if density >= HIGH:
-        return "good" if size > LONG or block.inside else "near"
-    if density >= LOW:
-        return "good" if block.inside and size > LONG else "near"
-    return "near" if block.inside else "bad"
+    if block.density >= HIGH:
+        return "good" if size > LONG or told else "near"
+    if block.density >= LOW:
+        return "good" if told and size > LONG else "near"
+    return "near" if told else "bad"
 
 
 def classify(found: list[BlockText]) -> list[bool]:
     """Whether each block is main text."""
-    told = any(b.inside and not b.outside for b in found)
-    held = [k for k, b in enumerate(found) if not b.outside and (b.inside or not told)]
+    held = [k for k, b in enumerate(found) if not b.outside]
+    around = 0  # text that is good without an article's word
+    inside: dict[int, int] = {}  # text of each article outside links
+    for k in held:
+        block = found[k]
+        words = [w.lower() for w in WORD.findall(block.text)]
+        block.density = sum(w in STOP_WORDS for w in words) / max(len(words), 1)
+        size = len(block.text)
+        if block.inside:
+            inside[block.inside] = inside.get(block.inside, 0) + max(0, size - block.linked)
+        elif _first_pass(block, False) == "good":
+            around += size
+    speaks = {k for k, own in inside.items() if own >= around}
     for k in held:
-        found[k].label = _first_pass(found[k])
+        found[k].label = _first_pass(found[k], found[k].inside in speaks)
+    # beside an article that speaks, or in one that does not, a block that nothing decides is no main text
+    leans = lambda block: block.inside in speaks or not block.inside and not speaks
     before: dict[int, tuple[int, str]] = {}
     after: dict[int, tuple[int, str]] = {}
     for near, order in ((before, range(len(held))), (after, range(len(held) - 1, -1, -1))):
@@ -216,13 +255,13 @@ def classify(found: list[BlockText]) -> list[bool]:
             sides = [x for x in (before.get(at), after.get(at)) if x]
             labels = {x[1] for x in sides}
             if not labels:  # nothing around it is decided: the page's own word, or the block's own leaning
-                label = "good" if block.inside or label == "near" else "bad"
+                label = "good" if block.inside in speaks or label == "near" and leans(block) else "bad"
             elif len(labels) == 1:
                 label = "good" if label == "near" and len(sides) == 1 else labels.pop()
             else:
                 distance = {x[1]: abs(x[0] - at) for x in sides}
                 if distance["good"] == distance["bad"]:
-                    label = "good" if block.inside or label == "near" else "bad"
+                    label = "good" if block.inside in speaks or label == "near" else "bad"
                 else:
                     label = min(distance, key=distance.get)
         keep[k] = label == "good"

@@ -347,3 +347,25 @@ def test_short_items_and_scripts_without_blanks(spark):
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, indexes).collect()}
     assert got == {(1, 1), (3, 2), (4, 3), (5, 4), (8, 6)}
     assert {r["doc_id"] for r in decontaminate.keep_clean(docs, indexes).collect()} == {2, 6, 7, 9, 10}
+
+
+BODY = " ".join(LONG.split())
+CARD = '<article><h3>Other story</h3><p>Teaser of it in a few words, and it is for you to read as well as to share.</p></article>'
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<div><p>{LONG}</p><p>{LONG}</p></div><div>{CARD}{CARD}</div>", f"{BODY}\n{BODY}"),  # the body is no article, the teasers are
+        (f'<article style="overflow:hidden" aria-hidden="false"><p>{LONG}</p></article>', BODY),
+        (f'<div data-id="comments" title="hidden role=banner"><p>{LONG}</p></div>', BODY),
+        (f"<div hidden><p>{LONG}</p></div><div><p>{LONG}</p></div>", BODY),
+        (f"<article><p>{LONG}</p></article><div><p>{'Zinc copper nickel cobalt ' * 8}</p><p>{LONG}</p></div>", f"{BODY}\n{BODY}"),  # no stop words
+        (f"<article><p>{'Zinc copper nickel cobalt ' * 8}</p></article>", ("Zinc copper nickel cobalt " * 8).strip()),  # no known language
+        (f'<article><p>{LONG}<span class="share">Share<p>{LONG}</article>', f"{BODY}\n{BODY}"),
+        (f"<ul><li class=ad>Buy<li>{LONG}</ul>", BODY),
+        (f"<div><p><a href=x>open<p>{LONG}</div>", BODY),
+    ],
+)
+def test_all_blocks_are_judged(page, text):
+    assert html_extract.main_text(page) == text
