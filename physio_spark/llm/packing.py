@@ -13,100 +13,21 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from ..runtime import materialize
-from .common import Shared, slices, split_words
+from .common import Shared, slices
+from .token_ids import WordIds
 
-# Rows of one sweep, and words that a task tokenises at once or remembers.
+# Rows of one sweep, and bytes of text that a task tokenises at once.
 SWEEP_ROWS = 200_000
 SMALL, SPREAD = 32, 64
-BLOCK_BYTES = 4 << 20
-REMEMBERED = 600_000
+BLOCK_BYTES = 8 << 20
 END = 0
-LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
-SIGNS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-
-
-class WordIds:
-    """Token ids of texts; the ids of a word are asked of the tokenizer once and remembered.
-
-    That is exact for tokenizers that fold case, split at white space, which they drop, and never join
-    letters with the signs around them.  Signs at the ends of a word are looked up on their own; words with
-    an apostrophe (which may begin a token) or with a special token go to the tokenizer as they are.
-    """
-
-    def __init__(self, path: str) -> None:
-        self.tokenizer = Tokenizer.from_file(path)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.flat, self.begin, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    @staticmethod
-    def parts(word: bytes) -> tuple[bytes, ...]:
-        """The word in pieces that the tokenizer treats alike on their own."""
-        if b"<|" in word:
-            return (word,)
-        word = word.lower()
-        core = word.strip(SIGNS)
-        if len(core) == len(word) or not core or b"'" in word:
-            return (word,)
-        if not (core[0] in LETTERS and core[-1] in LETTERS):
-            text = core.decode("utf-8", "replace")
-            if not (text[0].isalpha() and text[-1].isalpha()):
-                return (word,)
-        at = word.index(core)
-        return tuple(x for x in (word[:at], core, word[at + len(core) :]) if x)
-
-    def _learn(self, parts: set[bytes]) -> None:
-        new = list(parts.difference(self.number))
-        if len(self.number) + len(new) > REMEMBERED:
-            self._forget()
-            new = list(parts)
-        if not new:
-            return
-        ids = []
-        for lo in range(0, len(new), 10_000):
-            some = [w.decode("utf-8", "replace") for w in new[lo : lo + 10_000]]
-            ids += [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
-        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
-        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, flat])
-
-    def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
-        """The ids of each text of a string column."""
-        distinct, word, text_ends = split_words(column)
-        cut = [self.parts(w) for w in distinct.cast(pa.binary()).to_pylist()]
-        self._learn(set(chain.from_iterable(cut)))
-        # texts are runs of words, words runs of parts, parts runs of ids
-        many = np.fromiter(map(len, cut), np.int64, len(cut))
-        known = np.fromiter(map(self.number.__getitem__, chain.from_iterable(cut)), np.int64, int(many.sum()))
-        number = known[_runs((np.cumsum(many) - many)[word], many[word])]
-        size = self.size[number]
-        ids = self.flat[_runs(self.begin[number], size)]
-        upto = np.concatenate([[0], np.cumsum(many[word])])
-        ends = np.concatenate([[0], np.cumsum(size)])[upto[text_ends]]
-        lo = 0
-        for hi in ends.tolist():
-            yield ids[lo:hi]
-            lo = hi
-
-
-def _runs(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The places begin, begin + 1, ... of runs of the given sizes, end to end."""
-    ends = np.cumsum(size)
-    return np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
 
 
 def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = 2048, ids: bool = False) -> DataFrame:

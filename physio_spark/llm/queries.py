@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, html_extract, language_id, line_dedup, packing, simhash, substring_dedup, toxicity, warc
+from . import ann, decontaminate, html_extract, language_id, line_dedup, packing, simhash, substring_dedup, token_store, toxicity, warc
 from .common import remainder, session, table, unit
 
 SQL: dict[str, str] = {}
@@ -147,6 +147,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op13_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written to searchable shards in ascending doc_id order and read back."""
+    docs = table(session(spark), sf_dir, "documents").select("doc_id", "text")
+    folder = token_store.token_folder(spark)
+    files = token_store.write(docs, public_tokenizers.path("word_bpe_49k.json"), folder)
+    found = token_store.read(files, folder, kind=docs.schema["doc_id"].dataType.simpleString())
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces that the whole corpus pipeline leaves."""
     import corpus_pipeline
@@ -165,5 +174,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_line_dedup": op9_line_dedup,
     "op10_simhash": op10_simhash,
+    "op13_token_store": op13_token_store,
     "pipeline": pipeline,
 }
