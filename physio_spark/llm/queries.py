@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, html_extract, language_id, line_dedup, packing, simhash, substring_dedup, token_store, toxicity, warc
+from . import ann, decontaminate, html_extract, importance, language_id, line_dedup, packing, simhash, substring_dedup, token_store, toxicity, vector_codes, warc
 from .common import remainder, session, table, unit
 
 SQL: dict[str, str] = {}
@@ -147,6 +147,93 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and error of every vector under codebooks learned from all of them."""
+    vectors = table(session(spark), sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    books = vector_codes.fit(vectors)
+    coded = vector_codes.with_label_error(vector_codes.encode(vectors, books))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+def _sql_vector_codes(rounds: int = 6) -> str:
+    """Rounds written out: ``aN`` assigns the parts under the codebook ``cN``, which gives ``cN+1``."""
+    away = "list_sum(list_transform(list_zip(x, e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    assign = """a{n} AS MATERIALIZED (SELECT vec_id, p, x, arg_min(entry, ({away}, entry)) AS entry, min({away}) AS d
+  FROM parts JOIN c{n} USING (p) GROUP BY vec_id, p, x)"""
+    move = """s{n} AS (SELECT p, entry, i, sum(x[i]) AS s, count(*) AS n FROM a{n}, range(1, 9) AS t(i) GROUP BY ALL),
+m{n} AS (SELECT p, entry, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS e FROM s{n} GROUP BY p, entry),
+c{after} AS MATERIALIZED (SELECT p, entry, coalesce(m{n}.e, c{n}.e) AS e FROM c{n} LEFT JOIN m{n} USING (p, entry))"""
+    steps = [assign.format(n=0, away=away)]
+    for n in range(rounds):
+        steps += [move.format(n=n, after=n + 1), assign.format(n=n + 1, away=away)]
+    return (
+        """
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda v: CAST(floor(4096 * CAST(v AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NOT NULL AND isfinite(v))) = len(embedding)
+), parts AS MATERIALIZED (
+  SELECT vec_id, p, q[p * 8 + 1 : p * 8 + 8] AS x FROM kept, range(8) AS t(p)
+), c0 AS MATERIALIZED (
+  SELECT p, dense_rank() OVER (ORDER BY vec_id) - 1 AS entry, x AS e FROM parts
+  WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 16)
+), """
+        + ",\n".join(steps)
+        + f""",
+digest AS (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY p, entry)) AS h FROM c{rounds}),
+coded AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id), digest
+"""
+    )
+
+
+SQL["op11_vector_codes"] = _sql_vector_codes()
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document drawn towards the words of the benchmark."""
+    docs = table(session(spark), sf_dir, "documents").select("doc_id", "text")
+    drawn = importance.resample(docs, table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+SQL["op12_importance"] = """
+WITH bits AS (
+  SELECT list(c ORDER BY i) AS t
+  FROM (SELECT i, list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+        FROM range(256) AS r(i))
+), split AS (
+  SELECT 0 AS target, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+  UNION ALL
+  SELECT 1, NULL, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') FROM benchmark
+), features AS (SELECT target, doc_id, unnest(w) AS word FROM split),
+hashed AS MATERIALIZED (
+  SELECT word, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(1, length(hex(word)), 2), lambda i: CAST('0x' || hex(word)[i : i + 1] AS BIGINT))),
+         lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 10000 AS bucket
+  FROM (SELECT DISTINCT word FROM features), bits
+), held AS (
+  SELECT b.bucket, count(*) FILTER (WHERE target = 0) AS s, count(*) FILTER (WHERE target = 1) AS t FROM features JOIN hashed AS b USING (word) GROUP BY b.bucket
+), whole AS (SELECT CAST(sum(s) AS DOUBLE) AS s_all, CAST(sum(t) AS DOUBLE) AS t_all FROM held),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln(((t + CAST(1 AS DOUBLE)) * (s_all + 10000)) / ((s + CAST(1 AS DOUBLE)) * (t_all + 10000)))) AS BIGINT) AS gain FROM held, whole
+), sums AS (SELECT doc_id, CAST(sum(gain) AS BIGINT) AS g FROM features JOIN hashed USING (word) JOIN gains USING (bucket) WHERE target = 0 GROUP BY doc_id),
+scored AS (
+  SELECT doc_id, len(w) AS n_features, CASE WHEN len(w) = 0 THEN 0 ELSE (g - ((g % len(w)) + len(w)) % len(w)) // len(w) END AS weight,
+         CAST('0x' || left(sha256('2024:' || doc_id), 8) AS BIGINT) AS h
+  FROM split LEFT JOIN sums USING (doc_id) WHERE target = 0
+), final AS (
+  SELECT doc_id, n_features, weight,
+         weight + CAST(floor(-1000 * ln(-ln((h + CAST(0.5 AS DOUBLE)) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score FROM scored
+), ranked AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM final WHERE n_features >= 20
+)
+SELECT final.doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score, r AS rank
+FROM final LEFT JOIN ranked ON ranked.doc_id = final.doc_id AND r <= 10 * n // 100
+"""
+
+
 def op13_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, written to searchable shards in ascending doc_id order and read back."""
     docs = table(session(spark), sf_dir, "documents").select("doc_id", "text")
@@ -174,6 +261,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_line_dedup": op9_line_dedup,
     "op10_simhash": op10_simhash,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_importance": op12_importance,
     "op13_token_store": op13_token_store,
     "pipeline": pipeline,
 }
