@@ -85,7 +85,7 @@ def _integers(column: pa.Array, dims: int, parts: int, scale: int) -> Iterator[t
         whole = np.zeros((int(good.sum()), parts * width), np.int64)
         whole[:, :dims] = np.floor(values[good] * scale)
         if len(whole):
-            yield lo + rows[good], np.ascontiguousarray(whole.reshape(-1, parts, width).transpose(1, 0, 2))
+            yield lo + rows[good], np.ascontiguousarray(whole.reshape(len(whole), parts, width).transpose(1, 0, 2))
 
 
 def _nearest(values: np.ndarray, books: Codebooks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,7 +130,7 @@ def fit(df: DataFrame, key: str = "vec_id", vector: str = "embedding", parts: in
     start = first.select("v").toPandas()["v"].tolist()  # at most one row for each entry
     whole = np.zeros((len(start), parts * width), np.int64)
     whole[:, :dims] = np.floor(np.array([np.asarray(x, np.float64) for x in start]).reshape(len(start), dims) * scale)
-    books = Codebooks(np.ascontiguousarray(whole.reshape(-1, parts, width).transpose(1, 0, 2)), dims, scale, most)
+    books = Codebooks(np.ascontiguousarray(whole.reshape(len(start), parts, width).transpose(1, 0, 2)), dims, scale, most)
     for _ in range(rounds):
         books = _moved(df, vector, books)
     return books
@@ -151,12 +151,12 @@ def _moved(df: DataFrame, vector: str, books: Codebooks) -> Codebooks:
                 total += dot(own[None], split)
                 n += own.sum(2).astype(np.int64)
         used = np.flatnonzero(n.ravel())
-        sums = pa.ListArray.from_arrays(np.arange(len(used) + 1, dtype=np.int32) * width, total.reshape(-1, width)[used].ravel())
+        sums = pa.ListArray.from_arrays(np.arange(len(used) + 1, dtype=np.int32) * width, total.reshape(parts * size, width)[used].ravel())
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n.ravel()[used]), sums], ["slot", "n", "sums"])
 
     told = df.select(vector).mapInArrow(run, "slot long, n long, sums array<long>")
     sums = F.array(*[F.sum(F.get("sums", F.lit(i))) for i in range(width)]) if width else F.array().cast("array<long>")
-    entries = books.entries.copy().reshape(-1, width)
+    entries = books.entries.copy().reshape(parts * size, width)
     for slot, n, total in told.groupBy("slot").agg(F.sum("n").alias("n"), sums.alias("sums")).collect():  # a row for each entry
         entries[slot] = [x // n for x in total]
     return Codebooks(entries.reshape(parts, size, width), books.dims, books.scale, books.most)
