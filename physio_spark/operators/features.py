@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from physio_spark.operators.align import interp_join, shift_labels
+from physio_spark.operators.panes import window_stats
 from physio_spark.operators.quantiles import mode_of
 from physio_spark.operators.segment import blocks
 from physio_spark.operators.signal import derive_tracks, hrv_time, ibi, peaks
-from physio_spark.operators.stats import BASE, DIFFERENCES, stats, with_neighbours
+from physio_spark.operators.stats import BASE, DIFFERENCES, with_neighbours
 from physio_spark.operators.windows import time_windows
 from physio_spark.runtime import materialize
 
@@ -66,14 +67,11 @@ def window_features(
     channels = list(config.channels)
     rows = with_neighbours(tracked, block_by, channels, t, width=width)
     win_by = [subject, "block", key, "win", "win_start", "win_end"]
-    windowed = materialize(time_windows(rows, config.length, config.step, t))
-    window = ("win_start", "win_end")
-    base = stats(
-        windowed, win_by, channels, config.spec, t, fs=config.fs, window=window, unit=config.units_per_second
-    ).where("n_rows > 1")
-    extra = windowed.groupBy(*win_by).agg(
-        *[F.avg(c).alias(f"label_{c}") for c in labels], *[F.avg(c).alias(f"{c}_mean") for c in tracks]
-    )
+    means = {f"label_{c}": c for c in labels} | {f"{c}_mean": c for c in tracks}
+    base = window_stats(
+        rows, [subject, "block", key], channels, config.spec, config.length, config.step, t,
+        fs=config.fs, unit=config.units_per_second, means=means,
+    ).where("n_rows > 1")
     beats = peaks(
         blocked, config.beat_channel, block_by, t, config.beat_threshold,
         max(int(config.beat_distance_s * config.fs), 1), width=width, chunk=config.chunk,
@@ -81,7 +79,7 @@ def window_features(
     intervals = ibi(beats, block_by, "idx", config.fs, 1000.0, width=config.chunk)
     in_windows = time_windows(intervals, config.length, config.step, t)
     variability = hrv_time(in_windows, win_by).withColumn("bpm", F.lit(60_000.0) / F.col("ibi_mean"))
-    return base.join(extra, win_by).join(variability, win_by, "left")
+    return base.join(variability, win_by, "left")
 
 
 def count_window_features(

@@ -125,7 +125,7 @@ def _aggregate(name: str, c: str, ctx: Mapping) -> Column:
     raise ValueError(f"unknown statistic {name!r}")
 
 
-_QUANTILE_NAMES = {"median": (0.5,), "iqr": (0.25, 0.75), "q25": (0.25,), "q75": (0.75,)}
+QUANTILE_NAMES = {"median": (0.5,), "iqr": (0.25, 0.75), "q25": (0.25,), "q75": (0.75,)}
 _SECOND_PASS = ("zero_crossings", "mad")
 
 
@@ -161,9 +161,9 @@ def stats(
     # Time since the window began: large time stamps would cost the slope its digits.
     elapsed = F.col(t) - F.col(window[0]) if window else F.col(t)
     ctx = {"fs": fs, "elapsed": elapsed, "bounded": window is not None, "t": t, "unit": unit, "inside_prev": inside_prev, "inside_next": inside_next}
-    direct = [s for s in spec if s not in _QUANTILE_NAMES and s not in _SECOND_PASS]
+    direct = [s for s in spec if s not in QUANTILE_NAMES and s not in _SECOND_PASS]
     second = [s for s in spec if s in _SECOND_PASS]
-    quantile = [s for s in spec if s in _QUANTILE_NAMES]
+    quantile = [s for s in spec if s in QUANTILE_NAMES]
 
     aggs = [_aggregate(s, c, ctx).alias(f"{c}_{s}") for c in cols for s in direct]
     if "zero_crossings" in second:
@@ -174,8 +174,8 @@ def stats(
         if "mad" in second:
             wanted[f"_med_{c}"] = (c, 0.5)
         for s in quantile:
-            for p in _QUANTILE_NAMES[s]:
-                wanted[f"_{s}{p}_{c}"] = (c, p)
+            for p in QUANTILE_NAMES[s]:
+                wanted[f"_{s}{round(100 * p)}_{c}"] = (c, p)  # a dot in a name would be read as a field
     fullest = largest_group(df, by) if wanted and max_rows is not None else 0
     if wanted and fullest <= (max_rows or 0):
         gathered, placed = percentile_columns(wanted)
@@ -188,9 +188,9 @@ def stats(
     if wanted:
         for c in cols:
             for s in quantile:
-                ps = _QUANTILE_NAMES[s]
-                v = F.col(f"`_{s}{ps[-1]}_{c}`")
-                out = out.withColumn(f"{c}_{s}", v - F.col(f"`_{s}{ps[0]}_{c}`") if len(ps) == 2 else v)
+                ps = QUANTILE_NAMES[s]
+                v = F.col(f"_{s}{round(100 * ps[-1])}_{c}")
+                out = out.withColumn(f"{c}_{s}", v - F.col(f"_{s}{round(100 * ps[0])}_{c}") if len(ps) == 2 else v)
     if second:
         out = _second_pass(df, out, by, cols, second, ctx, max_rows)
     if empty is not None:

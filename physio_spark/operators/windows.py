@@ -19,8 +19,9 @@ from physio_spark.operators.quantiles import mode_of, quantiles
 def _covering(offset: Column, length, step) -> Column:
     """Numbers of the windows [k*step, k*step + length) that contain ``offset`` (>= 0)."""
     length, step = F.lit(length), F.lit(step)
-    first = F.greatest(F.lit(0), F.floor((offset - length) / step) + 1)
-    return F.sequence(first.cast("bigint"), F.floor(offset / step).cast("bigint"))
+    first = F.greatest(F.lit(0), F.floor((offset - length) / step) + 1).cast("bigint")
+    last = F.floor(offset / step).cast("bigint")
+    return F.when(first <= last, F.sequence(first, last))  # null, so no row, between windows that do not touch
 
 
 def time_windows(

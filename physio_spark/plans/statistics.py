@@ -6,15 +6,19 @@ from pyspark.sql import functions as F
 
 from physio_spark.operators import stats as S
 from physio_spark.operators.align import interp_join
+from physio_spark.operators.panes import window_stats
 from physio_spark.operators.quantiles import bracketed_quantiles, mode_of
 from physio_spark.operators.windows import normalize_curve
 from physio_spark.plans.adapter import (
     DAY,
+    LENGTH,
     SQL_ANNOTATIONS,
     SQL_PREDICTIONS,
     SQL_SAMPLES,
     SQL_WINDOWS,
+    STEP,
     annotations,
+    blocked,
     orders_as_predictions,
     samples,
     table,
@@ -22,7 +26,6 @@ from physio_spark.plans.adapter import (
     windowed,
 )
 from physio_spark.plans.registry import final, query
-from physio_spark.runtime import materialize
 
 KEY = ["subject", "block", "win"]
 FS = 2.0
@@ -30,10 +33,10 @@ WINDOW = ("win_start", "win_end")
 
 
 def _window_stats(spark, sf_dir, spec, empty=0.0):
-    wd, _ = windowed(spark, sf_dir, neighbours=bool(set(spec) & S.NEEDS_NEIGHBOURS))
-    if set(spec) & S.SEVERAL_PASSES:
-        wd = materialize(wd.select(*KEY, *WINDOW, *[c for c in wd.columns if c.endswith(("value", "_t")) or c in ("t", "idx")]))
-    return S.stats(wd, [*KEY, *WINDOW], ["value"], spec, fs=FS, window=WINDOW, unit=float(DAY), empty=empty).drop(*WINDOW)
+    b, width = blocked(spark, sf_dir)
+    if set(spec) & S.NEEDS_NEIGHBOURS:
+        b = S.with_neighbours(b, ["subject", "block"], ["value"], width=width)
+    return window_stats(b, ["subject", "block"], ["value"], spec, LENGTH, STEP, fs=FS, unit=float(DAY), empty=empty).drop(*WINDOW)
 
 
 def _window_sql(exprs: dict[str, str], extra: str = "", source: str = "x") -> str:
@@ -235,7 +238,6 @@ z AS (SELECT subject, block, win, value, channel,
 def agg12(spark, sf_dir):
     from physio_spark.operators.segment import blocks
     from physio_spark.operators.windows import time_windows
-    from physio_spark.plans.adapter import LENGTH, STEP
 
     s = samples(spark, sf_dir)
     width = width_of(s)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from physio_spark.functions.labels import VIDEO_CLASS
 from physio_spark.operators import segment, windows
 from physio_spark.operators.align import map_labels
+from physio_spark.operators.panes import window_stats
 from physio_spark.operators.quantiles import mode_of
-from physio_spark.operators.stats import BASE, stats
+from physio_spark.operators.stats import BASE
 from physio_spark.plans.adapter import (
     DAY,
     LENGTH,
@@ -64,9 +65,8 @@ def win2(spark, sf_dir):
     digits=5,
 )
 def win3(spark, sf_dir):
-    wd, _ = windowed(spark, sf_dir)
-    by = ["subject", "block", "video", "win", "win_start", "win_end"]
-    out = stats(wd, by, ["value"], BASE, unit=float(DAY), window=("win_start", "win_end")).where("n_rows > 1")
+    b, _ = blocked(spark, sf_dir)
+    out = window_stats(b, ["subject", "block", "video"], ["value"], BASE, LENGTH, STEP, unit=float(DAY)).where("n_rows > 1")
     return map_labels(out, VIDEO_CLASS).drop("video")
 
 
