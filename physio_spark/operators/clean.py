@@ -120,13 +120,23 @@ _TAIL_NUM = (
 _TAIL_DEN = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0)
 
 
-def _polynomial(x: Column, coefficients: Sequence[float]) -> Column:
-    value = F.lit(coefficients[0])
+def _polynomial(x, coefficients: Sequence[float]):
+    """Of a column or of an array of numbers."""
+    value = coefficients[0]
     for k in coefficients[1:]:
-        value = value * x + F.lit(k)
+        value = value * x + k
     return value
 
 
+def _normal_scores(p: np.ndarray) -> np.ndarray:
+    """:func:`inverse_normal` of an array: many columns at once would make one expression too large to compile."""
+    tail = lambda q: _polynomial(q, _TAIL_NUM) / _polynomial(q, _TAIL_DEN)
+    q = p - 0.5
+    central = q * _polynomial(q * q, _CENTRAL_NUM) / _polynomial(q * q, _CENTRAL_DEN)
+    low, high = tail(np.sqrt(-2 * np.log(p))), -tail(np.sqrt(-2 * np.log(1 - p)))
+    return np.where(p < 0.02425, low, np.where(p > 1 - 0.02425, high, central))
+
+
 def inverse_normal(p: Column) -> Column:
     """Quantile of the standard normal distribution for a probability in (0, 1)."""
     q = p - 0.5
@@ -153,42 +163,33 @@ class QuantileNormalizer:
     knots: dict[str, list[float]] = field(default_factory=dict)
 
     def fit(self, df: DataFrame) -> QuantileNormalizer:
-        probs = [i / (self.n - 1) for i in range(self.n)]
-        if self.max_rows is None or df.count() <= self.max_rows:
-            aggs = [F.percentile(finite(c), F.array(*[F.lit(p) for p in probs])).alias(c) for c in self.columns]
-            row = df.agg(*aggs).first()
-            self.knots = {c: list(row[c]) for c in self.columns}
-        else:
-            specs = {f"{c}|{i}": (c, p) for c in self.columns for i, p in enumerate(probs)}
-            row = quantiles(df, [], specs, self.max_rows).first()
-            self.knots = {c: [row[f"{c}|{i}"] for i in range(self.n)] for c in self.columns}
+        # columns as rows: one aggregate for all of them, whatever their number
+        long = df.select(*[finite(c).alias(c) for c in self.columns]).unpivot([], list(self.columns), "column", "value")
+        found = quantiles(long, ["column"], {f"q{i}": ("value", i / (self.n - 1)) for i in range(self.n)}, self.max_rows)
+        self.knots = {r["column"]: [r[f"q{i}"] for i in range(self.n)] for r in found.collect()}  # a row for each column
         return self
 
-    def _probability(self, c: str) -> Column:
-        knots = np.asarray(self.knots[c], float)
-        last = self.n - 1
+    def transform(self, df: DataFrame) -> DataFrame:
+        edge = 1e-7
+        columns, last = list(self.columns), self.n - 1
+        knots = [np.asarray(self.knots[c], float) for c in columns]
 
-        @F.pandas_udf("double")
-        def place(x: pd.Series) -> pd.Series:
-            v = x.to_numpy(float)
-            below, upto = np.searchsorted(knots, v, "left"), np.searchsorted(knots, v, "right")
-            low, high = knots[np.clip(below - 1, 0, last)], knots[np.clip(below, 0, last)]
+        def place(own: np.ndarray, v: np.ndarray) -> np.ndarray:
+            below, upto = np.searchsorted(own, v, "left"), np.searchsorted(own, v, "right")
+            low, high = own[np.clip(below - 1, 0, last)], own[np.clip(below, 0, last)]
             gap = np.where(high > low, high - low, 1.0)
             between = below - 1 + (v - low) / gap
             p = np.where(upto > below, (below + upto - 1) / 2, between) / last
-            p = np.where(v <= knots[0], 0.0, np.where(v >= knots[-1], 1.0, p))
-            return pd.Series(np.where(np.isnan(v), np.nan, p))
+            return _normal_scores(np.clip(np.where(v <= own[0], 0.0, np.where(v >= own[-1], 1.0, p)), edge, 1 - edge))
 
-        return F.when(finite(c).isNotNull(), place(finite(c)))
+        @F.pandas_udf("array<double>")
+        def scores(rows: pd.Series) -> pd.Series:
+            values = np.array([np.asarray(x, float) for x in rows]).reshape(len(rows), len(columns))
+            return pd.Series(list(np.stack([place(k, values[:, i]) for i, k in enumerate(knots)], axis=1)))
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        edge = 1e-7
-        return df.withColumns(
-            {
-                c: inverse_normal(F.greatest(F.lit(edge), F.least(self._probability(c), F.lit(1 - edge))))
-                for c in self.columns
-            }
-        )
+        placed = df.withColumn("_scores", scores(F.array(*[F.coalesce(finite(c), F.lit(0.0)) for c in columns])))
+        out = {c: F.when(finite(c).isNotNull(), F.get("_scores", F.lit(i))) for i, c in enumerate(columns)}
+        return placed.withColumns(out).drop("_scores")
 
 
 # ---------------------------------------------------------------- balancing

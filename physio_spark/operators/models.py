@@ -9,23 +9,25 @@ from __future__ import annotations
 import random
 from collections import Counter
 from collections.abc import Callable, Mapping, Sequence
-from functools import reduce
+from dataclasses import dataclass
+from functools import partial, reduce
+from threading import Lock
 
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import StringIndexerModel, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from physio_spark.functions.columns import finite, portable_hash
-from physio_spark.operators.clean import MedianImputer, StandardScaler
-from physio_spark.operators.evaluate import classification_metrics, fold_metrics
-from physio_spark.operators.ordered import ranked
+from physio_spark.operators.clean import MedianImputer, QuantileNormalizer, StandardScaler
+from physio_spark.operators.evaluate import classification_metrics, fold_metrics, pair_counts
+from physio_spark.operators.ordered import numbered
 from physio_spark.operators.quantiles import quantiles
 from physio_spark.operators.splits import group_kfold
-from physio_spark.runtime import materialize
+from physio_spark.runtime import concurrently, materialize
 
 
 def forest(trees: int = 800, depth: int = 30, min_leaf: int = 2, seed: int = 42, **params) -> RandomForestClassifier:
@@ -77,38 +79,106 @@ def folds_of(df: DataFrame, fold: str = "fold") -> list:
     return sorted(r[fold] for r in df.select(fold).distinct().collect())
 
 
-def oof_classify(
+@dataclass
+class PreparedFolds:
+    """Every fold's training and validation rows, prepared once and written to a folder of their own."""
+
+    parts: dict
+    classes: list[str]
+    label: str
+    kept: list[str]
+    features: list[str]
+    weight: str | None = None
+
+    def fit(self, estimator: Estimator, fold, features: Sequence[str] | None = None) -> PipelineModel:
+        train = self.parts[fold][0]
+        return classifier_pipeline(estimator, features or self.features, self.classes, self.label, self.weight).fit(train)
+
+    def predict(self, model: PipelineModel, fold) -> DataFrame:
+        return _readable(model.transform(self.parts[fold][1]), self.classes, self.kept, self.label)
+
+    def counts(self, estimator: Estimator, fold, features: Sequence[str] | None = None) -> Counter:
+        """Validation rows of each pair of true and predicted class."""
+        scored = self.predict(self.fit(estimator, fold, features), fold)
+        return Counter({(r["true"], r["pred"]): r["n"] for r in pair_counts(scored).collect()})  # classes squared
+
+    def supports(self) -> dict:
+        """Validation rows of each class in each fold."""
+        held = lambda fold: self.parts[fold][1].groupBy("_label_text").count().collect()
+        return {fold: Counter({r["_label_text"]: r["count"] for r in held(fold)}) for fold in self.parts}
+
+
+def prepare_folds(
     df: DataFrame,
-    estimator: Estimator,
     features: Sequence[str],
     label: str = "label",
     fold: str = "fold",
     keep: Sequence[str] = (),
     scale: bool = False,
     impute: bool = True,
+    normalize: bool = False,
     weight: str | None = None,
     resample: Callable[[DataFrame], DataFrame] | None = None,
-) -> DataFrame:
-    """Predict every fold with a model trained on the others.
+) -> PreparedFolds:
+    """Impute, map to normal quantiles, scale and ``resample`` every fold by what its training rows say.
 
-    Imputing, scaling and ``resample`` (for instance over-sampling) see the training rows only.
-    Output: ``keep``, fold, ``true_label``, ``pred_label`` and ``proba_<class>``.
+    Medians and moments of all folds come from one pass each, in which a row stands in the training part of
+    every other fold.  The rows are written once, a folder for each fold and part; many fits read them.
     """
+    spark = df.sparkSession
     classes = label_order(df, label)
     kept = [c for c in dict.fromkeys([*keep, fold]) if c not in (label, *features)]
     text = materialize(_with_text(df, label).select(*kept, label, "_label_text", *features, *([weight] if weight else [])))
-    parts = []
-    for f in folds_of(text, fold):
-        train, val = text.where(F.col(fold) != f), text.where(F.col(fold) == f)
-        for step in ([MedianImputer(features)] if impute else []) + ([StandardScaler(features)] if scale else []):
-            step.fit(train)
-            train, val = step.transform(train), step.transform(val)
+    folds = folds_of(text, fold)
+    both = text.withColumn("_of", F.explode(F.array(*[F.lit(f) for f in folds]))).withColumn("_train", F.col("_of") != F.col(fold))
+    train = both.where("_train")
+    if impute:
+        medians = quantiles(train, ["_of"], {f"_m_{c}": (c, 0.5) for c in features})
+        both = both.join(F.broadcast(medians), "_of")  # a row for each fold
+        both = both.withColumns({c: F.coalesce(finite(c), F.col(f"_m_{c}")) for c in features}).drop(*[f"_m_{c}" for c in features])
+    if scale and not normalize:
+        moments = [a for c in features for a in (F.avg(finite(c)).alias(f"_a_{c}"), F.stddev_pop(finite(c)).alias(f"_d_{c}"))]
+        told = both.where("_train").groupBy("_of").agg(*moments)
+        shift = lambda c: F.coalesce(F.col(f"_a_{c}"), F.lit(0.0))
+        spread = lambda c: F.coalesce(F.nullif(F.col(f"_d_{c}"), F.lit(0.0)), F.lit(1.0))
+        both = both.join(F.broadcast(told), "_of").withColumns({c: (finite(c) - shift(c)) / spread(c) for c in features})
+        both = both.drop(*[f"_{k}_{c}" for k in "ad" for c in features])
+    both = materialize(both, ["_of", "_train"])
+
+    def part(f) -> tuple:
+        train, val = (both.where((F.col("_of") == F.lit(f)) & (F.col("_train") == F.lit(t))).drop("_of", "_train") for t in (True, False))
+        if normalize:
+            for step in [QuantileNormalizer(features), *([StandardScaler(features)] if scale else [])]:
+                step.fit(train)
+                train, val = step.transform(train), step.transform(val)
+            train, val = materialize(train), materialize(val)
         if resample is not None:
-            train = resample(train)
-        # The solver passes over the training rows many times.
-        model = classifier_pipeline(estimator, features, classes, label, weight).fit(materialize(train))
-        parts.append(_readable(model.transform(val), classes, kept, label))
-    return reduce(DataFrame.unionByName, parts)
+            # new rows are made from the columns they are given: the text of their label follows
+            train = materialize(_with_text(resample(train), label))
+        return f, (train, val)
+
+    parts = dict(concurrently(spark, [partial(part, f) for f in folds]))
+    return PreparedFolds(parts, classes, label, kept, list(features), weight)
+
+
+def oof_classify(
+    df: DataFrame,
+    estimator: Estimator,
+    features: Sequence[str],
+    label: str = "label",
+    fold: str = "fold",
+    keep: Sequence[str] = (),
+    **options,
+) -> DataFrame:
+    """Predict every fold with a model trained on the others; the folds are fitted side by side.
+
+    ``options`` go to :func:`prepare_folds`: imputing, scaling, mapping to normal quantiles and ``resample``
+    (for instance over-sampling) see the training rows only.
+    Output: ``keep``, fold, ``true_label``, ``pred_label`` and ``proba_<class>``.
+    """
+    ready = prepare_folds(df, features, label, fold, keep, **options)
+    fitted = concurrently(df.sparkSession, [partial(ready.fit, estimator, f) for f in ready.parts])
+    return reduce(DataFrame.unionByName, [ready.predict(m, f) for m, f in zip(fitted, ready.parts, strict=True)])
 
 
 def refit(
@@ -189,6 +259,70 @@ def configured(estimator: Estimator, setting: Mapping) -> Estimator:
     return copy
 
 
+# The usual space of a forest, as far as Spark ML has its settings.
+FOREST_SPACE = {
+    "numTrees": [400, 600, 800, 1000, 1200],
+    "impurity": ["gini", "entropy"],
+    "featureSubsetStrategy": ["sqrt", "log2", "all"],
+    "maxDepth": [20, 30],
+    "minInstancesPerNode": [2, 3, 4],
+    "bootstrap": [True, False],
+}
+
+
+def macro_scores(counts: Mapping[tuple, int]) -> tuple[float, float]:
+    """Macro F1 and accuracy of a table of (true, predicted) counts, as :func:`classification_metrics` has them."""
+    return _macro(counts, {})
+
+
+def _macro(counts: Mapping[tuple, int], rest: Mapping[str, int]) -> tuple[float, float]:
+    """The same if ``rest`` further rows of each class were all predicted right: a bound on what can still be reached."""
+    classes = sorted({c for pair in counts for c in pair} | set(rest))
+    f1 = []
+    for c in classes:
+        hits = counts.get((c, c), 0) + rest.get(c, 0)
+        sides = sum(n * ((t == c) + (p == c)) for (t, p), n in counts.items()) + 2 * rest.get(c, 0)
+        f1.append(2 * hits / sides if sides else 0.0)
+    n = sum(counts.values()) + sum(rest.values())
+    right = sum(v for (t, p), v in counts.items() if t == p) + sum(rest.values())
+    return (sum(f1) / len(f1), right / n) if n else (0.0, 0.0)
+
+
+def evaluate_candidates(
+    ready: PreparedFolds, candidates: Sequence[tuple[Estimator, Sequence[str]]], pooled: bool, stop_early: bool = False
+) -> list[tuple[float, float] | None]:
+    """Macro F1 and accuracy over the folds of every (estimator, features), fitted side by side.
+
+    ``pooled`` scores the predictions of all folds together, otherwise the folds' scores are averaged.  With
+    ``stop_early`` a candidate that could no longer reach the best finished one, were all its other rows
+    predicted right, is given up (None): the best candidate and its score are the same as without.
+    """
+    spark = next(iter(ready.parts.values()))[0].sparkSession
+    folds, supports = list(ready.parts), ready.supports()
+    best = [float("-inf")]
+    lock = Lock()
+
+    def total(done: list[Counter]) -> tuple[float, float]:
+        """The score so far, with the folds to come at their best."""
+        rest = folds[len(done) :]
+        if pooled:
+            return _macro(sum(done, Counter()), sum((supports[f] for f in rest), Counter()))
+        scores = [macro_scores(c) for c in done] + [(1.0, 1.0)] * len(rest)
+        return tuple(sum(x) / len(folds) for x in zip(*scores, strict=True))
+
+    def run(estimator: Estimator, features: Sequence[str]) -> tuple[float, float] | None:
+        done: list[Counter] = []
+        for f in folds:
+            if stop_early and done and total(done)[0] < best[0]:
+                return None
+            done.append(ready.counts(estimator, f, features))
+        with lock:
+            best[0] = max(best[0], total(done)[0])
+        return total(done)
+
+    return concurrently(spark, [partial(run, e, c) for e, c in candidates])
+
+
 def random_search(
     df: DataFrame,
     estimator: Estimator,
@@ -202,16 +336,14 @@ def random_search(
 ) -> tuple[DataFrame, list[dict]]:
     """Mean macro F1 and accuracy over grouped folds for sampled settings, best first.
 
-    Returns the score table (``setting`` is the position in the returned list of settings).
+    Returns the score table (``setting`` is the position in the returned list of settings).  ``options`` go to
+    :func:`prepare_folds`, which runs once for all settings.
     """
     settings = sample_space(space, n, seed)
-    parts = []
-    for i, setting in enumerate(settings):
-        oof = oof_classify(df, configured(estimator, setting), features, label, fold, **options)
-        parts.append(classification_metrics(oof, [fold]).withColumn("setting", F.lit(i)))
-    scores = reduce(DataFrame.unionByName, parts).groupBy("setting").agg(
-        F.avg("f1_macro").alias("f1_macro"), F.avg("accuracy").alias("accuracy")
-    )
+    ready = prepare_folds(df, features, label, fold, **options)
+    found = evaluate_candidates(ready, [(configured(estimator, s), ready.features) for s in settings], pooled=False)
+    rows = [(i, f1, accuracy) for i, (f1, accuracy) in enumerate(found)]
+    scores = df.sparkSession.createDataFrame(rows, "setting int, f1_macro double, accuracy double")
     return scores.orderBy(F.desc("f1_macro"), "setting"), settings
 
 
@@ -227,28 +359,28 @@ def nested_cv(
     fold: str = "fold",
     keep: Sequence[str] = (),
     seed: int = 42,
+    stratify: bool = False,
+    **options,
 ) -> tuple[DataFrame, list[dict], dict]:
     """Search settings inside every outer training part, then predict the outer fold with the best.
 
-    Returns out-of-fold predictions, the chosen setting and score per fold, and the consensus setting
-    (most frequent over the folds, best inner score on a tie).
+    ``options`` go to :func:`prepare_folds` (imputing, normal quantiles, over-sampling, weights) of the inner and
+    the outer folds alike; ``stratify`` keeps the classes even over the inner folds.  Returns out-of-fold
+    predictions, the chosen setting and score per fold, and the consensus setting (most frequent over the
+    folds, best inner score on a tie).
     """
     df = materialize(df)
+    settings = sample_space(space, n, seed)
+    outer = prepare_folds(df, features, label, fold, keep, **options)
     parts, chosen = [], []
-    for f in folds_of(df, fold):
-        train = df.where(F.col(fold) != f)
-        inner_df = materialize(group_kfold(train, group, inner, fold="_inner"))
-        scores, settings = random_search(inner_df, estimator, features, space, n, label, "_inner", seed)
-        top = scores.first()
-        setting = settings[top["setting"]]
-        chosen.append({"fold": f, "setting": setting, "f1_macro": top["f1_macro"]})
-        text = _with_text(df, label)
-        classes = label_order(df, label)
-        imputer = MedianImputer(features).fit(train)
-        pipeline = classifier_pipeline(configured(estimator, setting), features, classes, label)
-        model = pipeline.fit(imputer.transform(text.where(F.col(fold) != f)))
-        scored = model.transform(imputer.transform(text.where(F.col(fold) == f)))
-        parts.append(_readable(scored, classes, list(dict.fromkeys([*keep, fold])), label))
+    for f in outer.parts:
+        rest = materialize(group_kfold(df.where(F.col(fold) != f), group, inner, stratify=label if stratify else None, fold="_inner"))
+        ready = prepare_folds(rest, features, label, "_inner", keep, **options)
+        found = evaluate_candidates(ready, [(configured(estimator, s), ready.features) for s in settings], pooled=False, stop_early=True)
+        top = max((i for i, x in enumerate(found) if x), key=lambda i: (found[i][0], -i))
+        chosen.append({"fold": f, "setting": settings[top], "f1_macro": found[top][0]})
+        model = outer.fit(configured(estimator, settings[top]), f)
+        parts.append(outer.predict(model, f))
     return reduce(DataFrame.unionByName, parts), chosen, consensus(chosen)
 
 
@@ -274,17 +406,19 @@ def importances(model: PipelineModel | Model, features: Sequence[str], spark) ->
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
-def permute_column(df: DataFrame, column: str, seed: int, key: str) -> DataFrame:
-    """The frame with one column shuffled over its rows: values move along two independent hash orders."""
-    part = lambda h: F.conv(F.substring(h, 1, 2), 16, 10).cast("int")
-
-    def placed(frame: DataFrame, salt: int) -> DataFrame:
-        hashed = frame.withColumn("_h", portable_hash(salt, key))
-        return ranked(hashed, [], [F.col("_h"), F.col(key)], "_place", part("_h")).drop("_h")
+def partner_rows(df: DataFrame, key: str, repeats: int, seed: int = 42) -> DataFrame:
+    """``repeat, <key>, partner``: in every repeat each row is given another row's key, each exactly once.
 
-    moved = placed(df.select(key, column), 2 * seed + 1).select("_place", F.col(column).alias("_moved"))
-    rows = placed(df, 2 * seed + 2).join(moved, "_place").drop("_place", column)
-    return rows.withColumnRenamed("_moved", column).select(*df.columns)
+    The row that is i-th in one hash order is given the row that is i-th in the repeat's own.  All orders are
+    one sort by ranges, and one join on the places brings them together.  Keys must be unique.
+    """
+    hashes = F.array(*[portable_hash(1000 * seed + r, key) for r in range(repeats + 1)])
+    copies = df.select(F.col(key).alias("_key"), F.posexplode(hashes).alias("_order", "_h"))
+    n = df.count()
+    placed = numbered(copies, [F.col("_order"), F.col("_h"), F.col("_key")], "_pos").withColumn("_pos", F.col("_pos") - F.col("_order") * F.lit(n))
+    own = placed.where("_order = 0").select("_pos", F.col("_key").alias(key))
+    others = placed.where("_order > 0").select("_pos", F.col("_order").alias("repeat"), F.col("_key").alias("partner"))
+    return own.join(others, "_pos").select("repeat", key, "partner")
 
 
 def permutation_importance(
@@ -299,27 +433,41 @@ def permutation_importance(
 ) -> DataFrame:
     """Mean and std of the drop in macro F1 when a feature is shuffled.
 
+    Every repeat shuffles whole rows once (:func:`partner_rows`); a row is then scored with each of its features
+    taken from its partner, so all features and repeats are one pass over two joins.  A feature that no tree
+    of a forest splits on cannot change a prediction: its drop is 0 without scoring.
     All rows are scored; ``rows`` asks for a seeded subset of that many instead.
     """
-    subset = df
-    if rows is not None:
-        hashed = df.withColumn("_h", portable_hash(seed, key))
-        part = F.conv(F.substring("_h", 1, 2), 16, 10).cast("int")
-        subset = ranked(hashed, [], [F.col("_h"), F.col(key)], "_rank", part).where(F.col("_rank") <= rows).drop("_h", "_rank")
-    subset = materialize(_with_text(subset, label))
+    columns, forest_model = model.stages[1].getInputCols(), model.stages[-1]
+    used = [columns.index(f) for f in features]
+    if hasattr(forest_model, "featureImportances"):
+        split_on = forest_model.featureImportances.toArray()
+        used = [i for i in used if split_on[i] > 0]
+    subset = df if rows is None else numbered(df.withColumn("_h", portable_hash(seed, key)), [F.col("_h"), F.col(key)], "_pos").where(F.col("_pos") < rows).drop("_h", "_pos")
     classes = list(model.stages[0].labels)
-    score = lambda frame: classification_metrics(_readable(model.transform(frame), classes, [], label))
-    base = score(subset).select(F.col("f1_macro").alias("_base"))
-    parts = []
-    for i, c in enumerate(features):
-        for r in range(repeats):
-            shuffled = permute_column(subset, c, seed + 1000 * i + r, key)
-            parts.append(score(shuffled).select(F.lit(c).alias("feature"), F.col("f1_macro")))
-    drops = reduce(DataFrame.unionByName, parts).join(F.broadcast(base))
-    return drops.groupBy("feature").agg(
-        F.avg(F.col("_base") - F.col("f1_macro")).alias("importance_mean"),
-        F.stddev_pop(F.col("_base") - F.col("f1_macro")).alias("importance_std"),
-    )
+    vectors = VectorAssembler(inputCols=columns, outputCol="_features", handleInvalid="error").transform(_with_text(subset, label))
+    ready = materialize(vectors.select(key, F.col(label).cast("string").alias("_true"), vector_to_array("_features").alias("_v")))
+
+    def counts(scored: DataFrame, by: list[str]) -> DataFrame:
+        out = forest_model.transform(scored.withColumn("_features", array_to_vector("_v")))
+        names = F.array(*[F.lit(c) for c in classes])
+        return out.select(*by, F.col("_true").alias("true_label"), F.element_at(names, F.col("prediction").cast("int") + 1).alias("pred_label"))
+
+    base = classification_metrics(counts(ready, [])).select(F.col("f1_macro").alias("_base"))
+    spark = df.sparkSession
+    every = spark.createDataFrame([(columns.index(f), f) for f in features], "_i int, feature string")
+    if not used:
+        return every.select("feature", F.lit(0.0).alias("importance_mean"), F.lit(0.0).alias("importance_std"))
+    pairs = partner_rows(ready.select(key), key, repeats, seed)
+    given = ready.select(F.col(key).alias("partner"), F.col("_v").alias("_w"))
+    joined = materialize(pairs.join(ready, key).join(given, "partner").select("repeat", "_true", "_v", "_w"))
+    spread = joined.repartition(F.col("repeat"), F.xxhash64("_v")).withColumn("_i", F.explode(F.array(*[F.lit(i) for i in used])))
+    moved = F.concat(F.slice("_v", 1, F.col("_i")), F.slice("_w", F.col("_i") + 1, 1), F.slice("_v", F.col("_i") + 2, len(columns)))
+    shuffled = spread.select("repeat", "_i", "_true", moved.alias("_v"))
+    drops = classification_metrics(counts(shuffled, ["repeat", "_i"]), ["repeat", "_i"]).join(F.broadcast(base))  # one row
+    drop = F.col("_base") - F.col("f1_macro")
+    told = drops.groupBy("_i").agg(F.avg(drop).alias("importance_mean"), F.stddev_pop(drop).alias("importance_std"))
+    return every.join(told, "_i", "left").select("feature", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("importance_mean", "importance_std")])
 
 
 def rfe(
@@ -346,17 +494,24 @@ def forward_select(
     max_n: int,
     label: str = "label",
     fold: str = "fold",
+    **options,
 ) -> tuple[list[str], list[dict]]:
-    """Greedy forward selection by macro F1 on (inner) folds; stops when no candidate improves it."""
+    """Greedy forward selection by macro F1 on (inner) folds; stops when no candidate improves it.
+
+    The folds are prepared once for all features.  The candidates of a step are fitted side by side, and those
+    that can no longer win are given up.
+    """
     chosen = list(start)
-    score = lambda cols: classification_metrics(oof_classify(df, estimator, cols, label, fold)).first()["f1_macro"]
-    best = score(chosen) if chosen else float("-inf")
+    ready = prepare_folds(df, list(dict.fromkeys([*start, *candidates])), label, fold, **options)
+    best = evaluate_candidates(ready, [(estimator, chosen)], pooled=True)[0][0] if chosen else float("-inf")
     steps = [{"features": list(chosen), "f1_macro": best}]
     while len(chosen) < max_n:
-        trials = [(score([*chosen, c]), c) for c in candidates if c not in chosen]
+        names = [c for c in candidates if c not in chosen]
+        found = evaluate_candidates(ready, [(estimator, [*chosen, c]) for c in names], pooled=True, stop_early=True)
+        trials = [(x[0], c) for x, c in zip(found, names, strict=True) if x]
         if not trials:
             break
-        top, name = max(trials, key=lambda trial: (trial[0], trial[1]))
+        top, name = max(trials)
         if top <= best:
             break
         best, chosen = top, [*chosen, name]
@@ -377,6 +532,7 @@ def score(
 
 
 __all__ = [
-    "consensus", "fold_metrics", "forest", "forward_select", "importances", "nested_cv", "neural_net", "oof_classify",
-    "oof_regress", "permutation_importance", "permute_column", "random_search", "refit", "rfe", "sample_space", "score",
+    "FOREST_SPACE", "PreparedFolds", "consensus", "evaluate_candidates", "fold_metrics", "forest", "forward_select", "importances",
+    "macro_scores", "nested_cv", "neural_net", "oof_classify", "oof_regress", "partner_rows", "permutation_importance",
+    "prepare_folds", "random_search", "refit", "rfe", "sample_space", "score",
 ]

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from physio_spark.runtime import ROWS_PER_CHUNK
+from physio_spark.runtime import ROWS_PER_CHUNK, materialize
 
 CHUNK = "_chunk"
 _FOLDS = {"sum": F.sum, "min": F.min, "max": F.max}
@@ -186,6 +186,19 @@ def attach(df: DataFrame, table: DataFrame, by: Sequence[str], salts: int = 1, h
     return same_keys(salted, spread, by + ["_salt"], how).drop("_salt")
 
 
+def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """Zero-based position of each row of the whole frame in a total order: one shuffle by ranges.
+
+    The rows are written with their place in their range; the sizes of the ranges (a row for each task) give
+    the offsets.
+    """
+    placed = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    placed = placed.select(*df.columns, F.shiftright("_at", 33).alias("_range"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("_place"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_before"))
+    return placed.join(F.broadcast(sizes), "_range").select(*df.columns, (F.col("_before") + F.col("_place")).alias(name))
+
+
 def ranked(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str, spread: Column, salts: int = 64) -> DataFrame:
     """One-based position of each row in its group, for groups too large for one task.
 

@@ -327,19 +327,37 @@ def ml6_forest(spark, sf_dir):
     return out.select(*KEEP, "fold", "pred_valence")
 
 
-SPACE = {"numTrees": [3, 5], "maxDepth": [2, 3], "impurity": ["gini", "entropy"]}
+SPACE = {
+    "numTrees": [5, 10, 20], "maxDepth": [3, 5, 8], "impurity": ["gini", "entropy"],
+    "featureSubsetStrategy": ["sqrt", "log2", "all"], "minInstancesPerNode": [2, 3, 4], "bootstrap": [True, False],
+}
 
 
 @query("ml7_random_search")
 def ml7(spark, sf_dir):
-    scores, _ = models.random_search(_folded(spark, sf_dir), models.forest(10, 4), VEC, SPACE, 2)
+    scores, _ = models.random_search(_folded(spark, sf_dir), models.forest(10, 4), VEC, SPACE, 6)
     return scores
 
 
 @query("ml8_nested_cv")
 def ml8(spark, sf_dir):
     d = _folded(spark, sf_dir)
-    predictions, _, _ = models.nested_cv(d, models.forest(10, 4), VEC, SPACE, 2, 2, keep=KEEP)
+    predictions, _, _ = models.nested_cv(d, models.forest(10, 4), VEC, SPACE, 4, 3, keep=KEEP)
+    return predictions
+
+
+def _oversampled(train):
+    return balance.smote(train, VEC, variant="borderline").drop("synthetic")
+
+
+@query("ml8_tuned_pipeline")
+def ml8_tuned(spark, sf_dir):
+    """Impute, map to normal quantiles, over-sample the rarer class and search the forest's settings, in each of three folds."""
+    d = vectors(spark, sf_dir).withColumn("label", F.when(F.col("label") < "c7", F.lit("often")).otherwise(F.lit("seldom")))
+    d = materialize(splits.group_kfold(d, "subject", 3, stratify="label"))
+    predictions, _, _ = models.nested_cv(
+        d, models.forest(10, 4), VEC, SPACE, 2, 2, keep=KEEP, stratify=True, normalize=True, resample=_oversampled
+    )
     return predictions
 
 
@@ -351,8 +369,8 @@ def ml10(spark, sf_dir):
 
 @query("ml11_permutation_importance")
 def ml11(spark, sf_dir):
-    d = vectors(spark, sf_dir, 4)
-    return models.permutation_importance(d, models.refit(d, models.forest(10, 5), VEC[:4]), VEC[:4], repeats=2)
+    d = vectors(spark, sf_dir)
+    return models.permutation_importance(d, models.refit(d, models.forest(20, 6), VEC), VEC)
 
 
 @query("ml12_feature_elimination")
@@ -364,8 +382,8 @@ def ml12(spark, sf_dir):
 
 @query("ml13_forward_selection")
 def ml13(spark, sf_dir):
-    d = _folded(spark, sf_dir, 4, 2)
-    chosen, _ = models.forward_select(d, models.forest(8, 4), ["f0"], VEC[1:4], 2)
+    d = _folded(spark, sf_dir)
+    chosen, _ = models.forward_select(d, models.forest(4, 3), ["f0"], VEC[1:], 2)
     return d.select("window_id", *chosen)
 
 

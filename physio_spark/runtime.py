@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Largest number of rows one task is asked to hold in order (see operators.ordered).
 ROWS_PER_CHUNK = 1_000_000
@@ -39,13 +43,43 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return _local_scratch
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Cut the lineage of a frame that several later stages read.
 
     The rows are computed once and written as a Parquet table to the shared folder, so later readers
-    prune columns and push filters, and lost executors cost nothing but the tasks they ran.
+    prune columns and push filters, and lost executors cost nothing but the tasks they ran.  With ``by``
+    the table has a folder for each value, and a filter on it opens no other; its files are of the size that
+    adaptive execution advises.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df.hint("rebalance", *map(F.col, by)).write.partitionBy(*by) if by else df.write).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+# Independent jobs submitted at a time: short fits leave cores idle between their stages.
+JOBS_AT_ONCE = 8
+
+
+def concurrently(spark: SparkSession, calls: Sequence[Callable[[], object]], width: int | None = None) -> list:
+    """Results of independent driver-side calls, in order; each submits its jobs in a scheduler pool of its own.
+
+    The pools share the executors evenly where the session runs with ``spark.scheduler.mode=FAIR``.  The first
+    failure is raised after the calls that had begun.
+    """
+
+    def in_pool(call: Callable[[], object]):
+        def run():
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"concurrent-{uuid.uuid4().hex[:8]}")
+            return call()
+
+        return inheritable_thread_target(spark)(run)
+
+    with ThreadPoolExecutor(width or JOBS_AT_ONCE) as pool:
+        futures = [pool.submit(in_pool(call)) for call in calls]
+        try:
+            return [f.result() for f in futures]
+        except BaseException:
+            for f in futures:
+                f.cancel()
+            raise
