@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from physio_spark.functions.columns import portable_hash
-from physio_spark.operators.ordered import attach, ranked
+from physio_spark.operators.ordered import attach, numbered, ranked
 from physio_spark.runtime import materialize
 
 
@@ -42,8 +43,8 @@ def fold_table(
     ``greedy`` gives the next largest group (ties by id) to the fold with the fewest rows.  The walk goes
     over the distinct group sizes, of which there are fewer than the square root of twice the rows;
     groups of one size are told apart by their rank and never gathered.  With ``stratify`` the next
-    group goes to the fold that leaves the class shares most even; this walk needs the class counts of
-    every group in one task.  ``snake`` deals the groups by size back and forth over the folds.
+    group goes to the fold that leaves the class shares most even (:class:`EvenWalk`); that walk goes over the
+    distinct class counts.  ``snake`` deals the groups by size back and forth over the folds.
     """
     if method not in ("greedy", "snake"):
         raise ValueError(f"method is greedy or snake, not {method}")
@@ -54,32 +55,93 @@ def fold_table(
     sizes = sizes.where(checked.cast("boolean"))
     if method == "snake":
         return _snake(sizes, group, k, fold)
-    schema = T.StructType([sizes.schema[group], T.StructField(fold, T.IntegerType())])
     if stratify is None:
         return _lightest(materialize(sizes), group, k, fold)
 
-    histogram = df.groupBy(group, F.col(stratify).cast("string").alias("_label")).agg(F.count(F.lit(1)).alias("n"))
-
-    def most_even(pdf: pd.DataFrame) -> pd.DataFrame:
-        table = pdf.pivot_table(index=group, columns="_label", values="n", aggfunc="sum", fill_value=0)
-        counts = table.to_numpy(float)
-        share = counts / counts.sum(axis=0)
-        # Groups with the most uneven class mix are placed first, larger ones first on a tie.
-        order = np.lexsort((np.arange(len(counts)), -counts.sum(axis=1), -counts.std(axis=1)))
-        held = np.zeros((k, counts.shape[1]))
-        chosen = np.zeros(len(counts), int)
-        for g in order:
-            cost = []
-            for f in range(k):
-                held[f] += share[g]
-                cost.append((round(held.std(axis=0).mean(), 12), round(held[f].sum(), 12), f))
-                held[f] -= share[g]
-            f = min(cost)[2]
-            held[f] += share[g]
-            chosen[g] = f + 1
-        return pd.DataFrame({group: table.index, fold: chosen})
-
-    return histogram.groupBy().applyInPandas(most_even, schema)
+    return _most_even(df.where(F.col(stratify).isNotNull()), sizes, group, stratify, k).select(group, F.col("_fold").alias(fold))
+
+
+class EvenWalk:
+    """Deals groups to ``k`` folds so that every class has like shares everywhere.
+
+    A group, given as its count of each class, goes to the fold that leaves the mean (over the classes) of the
+    deviation of the folds' shares least; ties go to the fold with the smaller sum of shares, then to the
+    first.  Only differences between folds matter, and they are whole numbers: when they return, the
+    choices since then repeat, so a long run of equal groups is dealt by its cycle.
+    """
+
+    def __init__(self, k: int, totals: Sequence[int]) -> None:
+        self.held = np.zeros((k, len(totals)), np.int64)
+        self.totals = np.maximum(np.asarray(totals, float), 1.0)
+
+    def _ahead(self) -> np.ndarray:
+        return self.held - self.held.min(axis=0)
+
+    def _next(self, counts: np.ndarray) -> int:
+        k = len(self.held)
+        ahead = self._ahead()
+        trials = (ahead[None] + np.eye(k, dtype=np.int64)[:, :, None] * counts) / self.totals
+        uneven = trials.std(axis=1).mean(axis=1).round(12)
+        load = (ahead / self.totals).sum(axis=1).round(12)
+        return int(np.lexsort((np.arange(k), load, uneven))[0])
+
+    def deal(self, counts: Sequence[int], n: int) -> list[tuple[int, int, list[int]]]:
+        """(first rank, number of ranks, folds in turn) of ``n`` groups of these counts, ranks from 0."""
+        own, k = np.asarray(counts, np.int64), len(self.held)
+        seen, folds, out = {self._ahead().tobytes(): 0}, [], []
+        while len(folds) < n:
+            folds.append(self._next(own))
+            self.held[folds[-1]] += own
+            begun = seen.setdefault(self._ahead().tobytes(), len(folds))
+            if begun < len(folds):
+                cycle = folds[begun:]
+                rest = n - len(folds)
+                for f in range(k):  # whole turns, then the turn that is left
+                    self.held[f] += own * (rest // len(cycle) * cycle.count(f) + cycle[: rest % len(cycle)].count(f))
+                out.append((begun, n - begun, cycle))
+                folds = folds[:begun]
+                break
+        runs: list[tuple[int, int, list[int]]] = []
+        for rank, f in enumerate(folds):
+            if runs and runs[-1][2] == [f]:
+                runs[-1] = (runs[-1][0], runs[-1][1] + 1, [f])
+            else:
+                runs.append((rank, 1, [f]))
+        return runs + out
+
+
+def _most_even(df: DataFrame, sizes: DataFrame, group: str, stratify: str, k: int) -> DataFrame:
+    """Folds by :class:`EvenWalk` over the distinct count vectors, most uneven first, then larger, then by vector.
+
+    A vector with its multiplicity is one row, however many groups share it; the walk reads the vectors in
+    order and keeps only the folds' counts.  Groups find their fold by their rank (by id) within their vector.
+    """
+    label = F.col(stratify).cast("string")
+    per_class = {r["c"]: r["n"] for r in df.groupBy(label.alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    classes = sorted(per_class)
+    totals = [per_class[c] for c in classes]
+    counted = df.groupBy(group).agg(F.array(*[F.count_if(label == c) for c in classes]).alias("_v"))
+    # groups without any labelled row stand in a vector of zeros
+    none = F.array(*[F.lit(0).cast("long") for _ in classes]).cast("array<bigint>")
+    vectors = sizes.select(group).join(counted, group, "left").select(group, F.coalesce("_v", none).alias("_v"))
+    placed = materialize(numbered(vectors, [F.col("_v"), F.col(group)], "_pos"))
+    kinds = placed.groupBy("_v").agg(F.count(F.lit(1)).alias("n"), F.min("_pos").alias("_first"))
+    square = F.aggregate("_v", F.lit(0).cast("long"), lambda a, x: a + x * x)
+    whole = F.aggregate("_v", F.lit(0).cast("long"), lambda a, x: a + x)
+    order = [F.desc("_uneven"), F.desc("_sum"), F.asc("_v")]
+    ordered = kinds.withColumns({"_uneven": square * len(classes) - whole * whole, "_sum": whole}).repartition(1).sortWithinPartitions(*order)
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        dealer = EvenWalk(k, totals)
+        for rows in batches:
+            runs = [dealer.deal(v, n) for v, n in zip(rows["_v"], rows["n"], strict=True)]
+            yield pd.DataFrame({"_v": rows["_v"], "_first": rows["_first"], "_runs": runs})
+
+    told = ordered.mapInPandas(walk, "_v array<bigint>, _first bigint, _runs array<struct<at:bigint,n:bigint,folds:array<int>>>")
+    found = attach(placed, materialize(told), ["_v"], salts=16).withColumn("_rank", F.col("_pos") - F.col("_first"))
+    run = F.get(F.filter("_runs", lambda r: (F.col("_rank") >= r["at"]) & (F.col("_rank") < r["at"] + r["n"])), F.lit(0))
+    turn = F.get(F.col("_run")["folds"], ((F.col("_rank") - F.col("_run")["at"]) % F.size(F.col("_run")["folds"])).cast("int"))
+    return found.withColumn("_run", run).select(group, (turn + 1).cast("int").alias("_fold"))
 
 
 def _given(loads: np.ndarray, n: int, count: int) -> np.ndarray:
