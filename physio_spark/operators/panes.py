@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from physio_spark.functions.columns import finite
 from physio_spark.operators.quantiles import GATHER_ROWS
+from physio_spark.operators.signal import frequency_grid
 from physio_spark.operators.stats import NEEDS_NEIGHBOURS, QUANTILE_NAMES, ZERO_WHEN_EMPTY, stats
 from physio_spark.operators.windows import time_windows
 from physio_spark.runtime import materialize
@@ -31,6 +32,8 @@ MOMENTS = {"std0": 2, "std1": 2, "skew": 3, "kurtosis": 4}
 SLOPES = {"slope", "slope_fs", "slope_fit"}
 DIFFERENCES = {"diff_mean", "diff_std0", "diff_std1", "diff_positive"}
 GATHERING = {*QUANTILE_NAMES, "mad", "zero_crossings"}
+NEIGHBOURS = NEEDS_NEIGHBOURS - SLOPES
+PLAIN = {"min": F.min, "max": F.max}
 KNOWN = {"n", "mean", "min", "max", "range", "auc", "breath_rate", *MOMENTS, *SLOPES, *DIFFERENCES, *GATHERING}
 
 
@@ -49,33 +52,36 @@ def window_stats(
     unit: float = 1e6,
     max_rows: int = GATHER_ROWS,
     empty: float | None = 0.0,
-    means: Mapping[str, str] | None = None,
+    extra: Mapping[str, tuple[str, str]] | None = None,
 ) -> DataFrame:
     """Statistics ``<c>_<name>`` of the windows of :func:`time_windows`, as :func:`stats` defines them.
 
-    Output: ``by``, ``win``, ``win_start``, ``win_end``, ``n_rows``, the statistics, and ``means`` (``{name:
-    column}``), plain averages of further columns.  ``anchor`` and ``end`` must be the same in all rows of a block.
-    Statistics of neighbours need the columns of :func:`with_neighbours`.
+    Output: ``by``, ``win``, ``win_start``, ``win_end``, ``n_rows``, the statistics, and ``extra``: the plain
+    mean, min or max of further columns (``{name: (how, column)}``).  ``anchor`` and ``end`` must be the same in
+    all rows of a block.  Statistics of neighbours need the columns of :func:`with_neighbours`.
     """
-    by, cols, spec, means = list(by), list(cols), list(spec), dict(means or {})
+    by, cols, spec, extra = list(by), list(cols), list(spec), dict(extra or {})
     if unknown := set(spec) - KNOWN:
         raise ValueError(f"unknown statistics {sorted(unknown)}")
-    wanted = [t, anchor, end, *cols, *means.values()]
-    if set(spec) & NEEDS_NEIGHBOURS:
-        wanted += ["idx", f"prev_{t}", f"next_{t}", *[f"{side}_{c}" for c in cols for side in ("prev", "next")]]
+    wanted = [t, anchor, end, *cols, *[c for _, c in extra.values()]]
+    if set(spec) & {"slope_fs", "slope_fit"}:
+        wanted.append("idx")
+    if set(spec) & NEIGHBOURS:
+        wanted += [f"prev_{t}", f"next_{t}", *[f"{side}_{c}" for c in cols for side in ("prev", "next")]]
     rows = blocked.select(*by, *[c for c in dict.fromkeys(wanted) if c not in by])
     pane = math.gcd(length, step)
     if set(spec) & GATHERING:
         rows = materialize(rows)
         if _fullest(rows, by, length, step, pane, t, anchor, end) > max_rows:
-            return _exploded(rows, by, cols, spec, length, step, t, anchor, end, fs, unit, max_rows, empty, means)
+            return _exploded(rows, by, cols, spec, length, step, t, anchor, end, fs, unit, max_rows, empty, extra)
     inside = _in_windows(rows, length, step, pane, t, anchor, end)
     states = [s for c in cols for s in _pane_states(c, spec, t, fs, unit, anchor)]
-    states += [s for n, c in means.items() for s in (F.count(finite(c)).alias(f"{n}|k"), F.sum(finite(c)).alias(f"{n}|s"))]
+    for name, (how, c) in extra.items():
+        states += [F.count(finite(c)).alias(f"{name}|k"), F.sum(finite(c)).alias(f"{name}|s")] if how == "mean" else [PLAIN[how](c).alias(f"{name}|{how}")]
     panes = inside.groupBy(*by, anchor, end, "_pane").agg(F.count(F.lit(1)).alias("_rows"), *states)
     placed = _dealt(panes, by, length, step, pane, anchor, end)
     merged = [a for c in cols for a in _merged(c, spec)]
-    merged += [m for n in means for m in ((F.sum(f"{n}|s") / F.sum(f"{n}|k")).alias(n),)]
+    merged += [(F.sum(f"{n}|s") / F.sum(f"{n}|k") if how == "mean" else PLAIN[how](f"{n}|{how}")).alias(n) for n, (how, _) in extra.items()]
     start = (F.col(anchor) + F.col("win") * F.lit(step)).alias("win_start")
     out = placed.groupBy(*by, "_stretch", anchor, "win").agg(F.sum("_rows").alias("n_rows"), *merged)
     for level in _results(cols, spec, fs):  # each level reads the columns of the one before
@@ -83,7 +89,7 @@ def window_stats(
     if empty is not None:
         zero = {f"{c}_{s}": F.coalesce(F.col(f"{c}_{s}"), F.lit(float(empty))) for c in cols for s in spec if s in ZERO_WHEN_EMPTY}
         out = out.withColumns(zero) if zero else out
-    return out.select(*by, "win", start, (start + F.lit(length)).alias("win_end"), "n_rows", *[f"{c}_{s}" for c in cols for s in spec], *means)
+    return out.select(*by, "win", start, (start + F.lit(length)).alias("win_end"), "n_rows", *[f"{c}_{s}" for c in cols for s in spec], *extra)
 
 
 def _in_windows(rows: DataFrame, length: int, step: int, pane: int, t: str, anchor: str, end: str) -> DataFrame:
@@ -117,14 +123,15 @@ def _fullest(rows: DataFrame, by: list[str], length: int, step: int, pane: int,
     return sizes.agg(F.max("n")).first()[0] or 0
 
 
-def _exploded(rows, by, cols, spec, length, step, t, anchor, end, fs, unit, max_rows, empty, means) -> DataFrame:
+def _exploded(rows, by, cols, spec, length, step, t, anchor, end, fs, unit, max_rows, empty, extra) -> DataFrame:
     """The same from rows copied to each of their windows."""
     key = [*by, "win", "win_start", "win_end"]
     windowed = materialize(time_windows(rows, length, step, t, anchor, end))
     out = stats(windowed, key, cols, spec, t, fs=fs, window=("win_start", "win_end"), unit=unit, max_rows=max_rows, empty=empty)
-    if not means:
+    if not extra:
         return out
-    return out.join(windowed.groupBy(*key).agg(*[F.avg(finite(c)).alias(n) for n, c in means.items()]), key)
+    plain = [(F.avg(finite(c)) if how == "mean" else PLAIN[how](c)).alias(n) for n, (how, c) in extra.items()]
+    return out.join(windowed.groupBy(*key).agg(*plain), key)
 
 
 # ---------------------------------------------------------------- states of a pane
@@ -153,7 +160,7 @@ def _pane_states(c: str, spec: list[str], t: str, fs: float, unit: float, anchor
             own = F.when(y.isNotNull(), x)
             out += [F.sum(own).alias(f"{c}|{kind}s"), F.min(own).alias(f"{c}|{kind}min"), F.max(own).alias(f"{c}|{kind}max")]
             out += [(F.var_pop(own) * F.count(own)).alias(f"{c}|{kind}xx"), (F.covar_pop(own, y) * F.count(own)).alias(f"{c}|{kind}xy")]
-    if not names & NEEDS_NEIGHBOURS:
+    if not names & NEIGHBOURS:
         return out + ([F.collect_list(y).alias(f"{c}|all")] if names & GATHERING else [])
     before, after = finite(f"prev_{c}"), finite(f"next_{c}")
     # the pane's first row has its neighbour in an earlier pane: it counts where that one is in the window
@@ -334,4 +341,60 @@ def _result(c: str, name: str, own, fs: float) -> Column:
     return high - _quantile(own("all"), ps[0]) if len(ps) == 2 else high
 
 
-__all__ = ["window_stats"]
+# ---------------------------------------------------------------- spectra of windows
+
+
+def window_band_peaks(
+    rows: DataFrame,
+    column: str,
+    by: Sequence[str],
+    length: int,
+    step: int,
+    fs: float,
+    bands: Mapping[str, tuple[float, float, float]],
+    idx: str = "idx",
+    anchor: str = "_zero",
+    end: str = "_total",
+    min_rows: int = 4,
+) -> DataFrame:
+    """Strongest frequency (per minute) of each band ``{name: (low, high, step)}`` in every window of samples.
+
+    The spectrum is that of :func:`periodogram` with a Hann taper over the window.  The taper is a sum of three
+    waves, so a tapered sum is one of plain Fourier sums at the frequency and its two neighbours one cycle per
+    window away; those are summed in panes, once for each sample, and turned to each window's start.
+    """
+    by = list(by)
+    grid = sorted({f for low, high, width in bands.values() for f in frequency_grid(low, high, width)})
+    pane = math.gcd(length, step)
+    y = finite(column)
+    inside = _in_windows(rows.select(*by, idx, anchor, end, column), length, step, pane, idx, anchor, end).where(y.isNotNull())
+    shifts = F.array(*[F.struct(F.lit(f).alias("freq"), F.lit(k).alias("side"), F.lit(f / fs + k / length).alias("turns")) for f in grid for k in (-1, 0, 1)])
+    waves = inside.withColumn("_y", y).withColumn("_w", F.explode(shifts)).select("*", "_w.*")
+    angle = F.col("turns") * F.col(idx) * F.lit(2 * math.pi)
+    c, s, v = F.cos(angle), F.sin(angle), F.col("_y")
+    panes = waves.groupBy(*by, anchor, end, "_pane", "freq").pivot("side", [-1, 0, 1]).agg(
+        F.count(v).alias("n"), F.sum(v).alias("v"), F.sum(v * c).alias("vc"), F.sum(v * s).alias("vs"), F.sum(c).alias("c"), F.sum(s).alias("s")
+    )
+    sums = [F.sum(f"`{k}_{x}`").alias(f"{x}{k}") for k in (-1, 0, 1) for x in ("n", "v", "vc", "vs", "c", "s")]
+    placed = _dealt(panes, by, length, step, pane, anchor, end)
+    whole = placed.groupBy(*by, "_stretch", "win", "freq").agg(*sums)
+    turn = F.pmod(F.col("win") * F.lit(step), F.lit(length)) * F.lit(2 * math.pi / length)
+    mean = F.col("v0") / F.col("n0")
+
+    def side(k: int, sign: int) -> tuple[Column, Column]:
+        """The mean-free sum one cycle away, turned by the window's start (real and minus imaginary part)."""
+        re, im = _col(f"vc{k}") - mean * _col(f"c{k}"), _col(f"vs{k}") - mean * _col(f"s{k}")
+        return re * F.cos(turn) - F.lit(sign) * im * F.sin(turn), im * F.cos(turn) + F.lit(sign) * re * F.sin(turn)
+
+    (a, b), (d, e) = side(-1, 1), side(1, -1)
+    re = 0.5 * (F.col("vc0") - mean * F.col("c0")) - 0.25 * (a + d)
+    im = 0.5 * (F.col("vs0") - mean * F.col("s0")) - 0.25 * (b + e)
+    power = whole.select(*by, "win", "freq", F.col("n0").alias("n"), ((re * re + im * im) / F.col("n0")).alias("power"))
+    best = []
+    for name, (low, high, width) in bands.items():
+        own = F.col("freq").isin(frequency_grid(low, high, width)) & (F.col("power") > 0) & (F.col("n") >= min_rows)
+        best.append((F.max_by("freq", F.when(own, F.struct("power", -F.col("freq")))) * 60.0).alias(name))
+    return power.groupBy(*by, "win").agg(*best)
+
+
+__all__ = ["window_band_peaks", "window_stats"]

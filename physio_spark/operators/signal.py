@@ -481,10 +481,13 @@ def hrv_time(
 
 
 def poincare(variance: Column, variance_of_differences: Column) -> tuple[Column, Column]:
-    """Half-axes of the Poincare plot: across (SD1) and along (SD2) the identity line."""
+    """Half-axes of the Poincare plot: across (SD1) and along (SD2) the identity line.
+
+    What rounding leaves of two equal terms counts as 0.
+    """
     sd1 = F.sqrt(variance_of_differences / 2)
     along = 2 * variance - variance_of_differences / 2
-    return sd1, F.sqrt(F.greatest(along, F.lit(0.0)))
+    return sd1, F.when(along > variance * 1e-12, F.sqrt(along)).when(along.isNotNull(), F.lit(0.0))
 
 
 # ---------------------------------------------------------------- spectrum

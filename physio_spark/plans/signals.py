@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from physio_spark.functions.columns import first_valid
 from physio_spark.operators import signal as G
-from physio_spark.operators.features import FeatureConfig, window_features
+from physio_spark.operators.features import PULSE_FEATURES, FeatureConfig, PulseConfig, pulse_window_features, window_features
 from physio_spark.operators.ordered import scan
 from physio_spark.plans.adapter import (
     DAY,
@@ -480,3 +480,64 @@ def sig19(spark, sf_dir):
     )
 
 
+SIZE, HOP = 26, 4  # samples of 20 s and 3 s at the nominal rate
+RATE_BAND, BREATH_BAND = (0.3, 0.6, 0.05), (0.1, 0.25, 0.025)
+
+
+def _sql_grid(band) -> str:
+    return ", ".join(str(f) for f in G.frequency_grid(*band))
+
+
+SQL_PULSE = (
+    SQL_IBI
+    + f"""
+a AS (SELECT subject, t, value AS valence, sqrt(value) AS arousal FROM s WHERE channel = 'view'),
+w AS (SELECT subject, unnest(range(0, (n - {SIZE}) // {HOP} + 1)) AS win FROM (SELECT DISTINCT subject, n FROM i WHERE n >= {SIZE})),
+x AS (SELECT w.win, i.*, i.value * i.value AS gsr, ln(1 + i.value) AS skt FROM w JOIN i ON i.subject = w.subject AND i.idx >= win * {HOP} AND i.idx < win * {HOP} + {SIZE}),
+base AS (SELECT subject, win, min(t) AS window_start, max(t) AS window_end, avg(gsr) AS gsr_mean, regr_slope(gsr, idx) AS gsr_slope,
+                avg(skt) AS skt_mean, regr_slope(skt, idx) AS skt_slope FROM x GROUP BY ALL),
+vote AS (SELECT subject, win, video AS video_id FROM x GROUP BY subject, win, video
+         QUALIFY row_number() OVER (PARTITION BY subject, win ORDER BY count(*) DESC, video) = 1),
+be AS (SELECT subject, idx, lag(idx) OVER o AS p0, lag(idx, 2) OVER o AS p1 FROM pk WINDOW o AS (PARTITION BY subject ORDER BY idx)),
+hb AS (SELECT w.subject, w.win, (be.idx - p0) / {FS}::DOUBLE * 1000 AS ibi, CASE WHEN p1 >= w.win * {HOP} THEN ((be.idx - p0) - (p0 - p1)) / {FS}::DOUBLE * 1000 END AS d
+       FROM w JOIN be ON be.subject = w.subject AND p0 >= w.win * {HOP} AND be.idx < w.win * {HOP} + {SIZE}),
+hm AS (SELECT *, median(ibi) OVER (PARTITION BY subject, win) AS med FROM hb),
+hv AS (SELECT subject, win, avg(ibi) AS bvp_ibi, stddev_samp(ibi) AS bvp_sdnn, CASE WHEN count(d) > 1 THEN stddev_samp(d) END AS bvp_sdsd, sqrt(avg(d * d)) AS bvp_rmssd,
+              avg(CASE WHEN d IS NULL THEN NULL WHEN abs(d) > 2000 THEN 1.0 ELSE 0.0 END) AS bvp_pnn20, avg(CASE WHEN d IS NULL THEN NULL WHEN abs(d) > 5000 THEN 1.0 ELSE 0.0 END) AS bvp_pnn50,
+              median(abs(ibi - med)) AS bvp_mad, var_samp(ibi) AS va, CASE WHEN count(d) > 1 THEN var_samp(d) END AS vd FROM hm GROUP BY subject, win HAVING count(*) >= 2),
+sd AS (SELECT *, sqrt(vd / 2) AS bvp_sd1, CASE WHEN vd IS NOT NULL THEN CASE WHEN 2 * va - vd / 2 > va * 1e-12 THEN sqrt(2 * va - vd / 2) ELSE 0.0 END END AS bvp_sd2 FROM hv),
+f AS (SELECT DISTINCT unnest([{_sql_grid(RATE_BAND)}, {_sql_grid(BREATH_BAND)}])::DOUBLE AS freq),
+m AS (SELECT subject, win, idx, value - avg(value) OVER (PARTITION BY subject, win) AS y, 0.5 - 0.5 * cos(2 * pi() * (idx - win * {HOP}) / {SIZE}.0) AS wt FROM x),
+ps AS (SELECT subject, win, freq, (power(sum(y * wt * cos(2 * pi() * freq * idx / {FS})), 2) + power(sum(y * wt * sin(2 * pi() * freq * idx / {FS})), 2)) / count(*) AS pw
+       FROM m, f GROUP BY ALL),
+rate AS (SELECT subject, win, freq * 60 AS fft FROM ps WHERE freq IN ({_sql_grid(RATE_BAND)}) QUALIFY row_number() OVER (PARTITION BY subject, win ORDER BY pw DESC, freq) = 1),
+breath AS (SELECT subject, win, freq * 60 AS bvp_breathingrate FROM ps WHERE freq IN ({_sql_grid(BREATH_BAND)})
+           QUALIFY row_number() OVER (PARTITION BY subject, win ORDER BY pw DESC, freq) = 1),
+an AS (SELECT base.subject, win, avg(valence) AS valence, avg(arousal) AS arousal FROM base JOIN a ON a.subject = base.subject AND a.t BETWEEN window_start AND window_end GROUP BY ALL)
+"""
+)
+
+
+@query(
+    "sig19_seventeen_features",
+    recursive(
+        final(
+            SQL_PULSE,
+            "SELECT base.subject, win, window_start, window_end, video_id, arousal, valence, coalesce(60000.0 / bvp_ibi, fft) AS bvp_bpm, bvp_ibi, bvp_sdnn, bvp_sdsd, bvp_rmssd, "
+            "bvp_pnn20, bvp_pnn50, bvp_mad, bvp_sd1, bvp_sd2, pi() * bvp_sd1 * bvp_sd2 / 1e6::DOUBLE AS bvp_s, CASE WHEN bvp_sd2 <> 0 THEN bvp_sd1 / bvp_sd2 END AS bvp_sd1sd2, "
+            "bvp_breathingrate, gsr_mean, gsr_slope, skt_mean, skt_slope FROM base LEFT JOIN vote USING (subject, win) LEFT JOIN sd USING (subject, win) "
+            "LEFT JOIN rate USING (subject, win) LEFT JOIN breath USING (subject, win) LEFT JOIN an USING (subject, win)",
+            ["arousal", "valence", *PULSE_FEATURES],
+            ["video_id"],
+        )
+    ),
+)
+def sig19_seventeen(spark, sf_dir):
+    s = samples(spark, sf_dir)
+    pulse = s.select("subject", "t", "video", F.col("value").alias("bvp"), (F.col("value") * F.col("value")).alias("gsr"), F.log1p("value").alias("skt"))
+    config = PulseConfig(
+        FS, length_s=20.0, step_s=3.0, beat_threshold=0.2, beat_distance_s=2.4, rate_band=RATE_BAND, breath_band=BREATH_BAND,
+        interval_unit_ms=0.01, chunk=CHUNK,
+    )
+    out = pulse_window_features(pulse, annotations(s), config, width=width_of(s))
+    return out.withColumn("bvp_s", F.col("bvp_s") / 1e6)  # square seconds

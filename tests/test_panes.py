@@ -43,7 +43,7 @@ def same(a, b):
 def test_panes_give_the_statistics_of_copied_rows(recordings, length, step):
     copied = S.stats(time_windows(recordings, length, step), WIN, ["x", "y"], SPEC, fs=2.0, window=("win_start", "win_end"), unit=10.0)
     want = rows_of(copied)
-    got = rows_of(panes.window_stats(recordings, BY, ["x", "y"], SPEC, length, step, fs=2.0, unit=10.0, means={"mean_i": "i"}))
+    got = rows_of(panes.window_stats(recordings, BY, ["x", "y"], SPEC, length, step, fs=2.0, unit=10.0, extra={"mean_i": ("mean", "i")}))
     assert got.keys() == want.keys()
     assert want
     for key, row in want.items():
@@ -54,7 +54,7 @@ def test_panes_give_the_statistics_of_copied_rows(recordings, length, step):
 
 def test_windows_too_full_to_gather_are_bracketed(recordings):
     args = (recordings, BY, ["x"], ["median", "iqr", "mad", "mean", "zero_crossings"], 30, 10)
-    whole, bracketed = (rows_of(panes.window_stats(*args, max_rows=n, means={"m": "i"})) for n in (10_000, 3))
+    whole, bracketed = (rows_of(panes.window_stats(*args, max_rows=n, extra={"m": ("mean", "i"), "top": ("max", "i")})) for n in (10_000, 3))
     assert whole.keys() == bracketed.keys()
     assert all(same(whole[k][c], bracketed[k][c]) for k in whole for c in whole[k])
 
@@ -77,3 +77,45 @@ def test_windows_that_do_not_touch_leave_rows_out(spark):
     df = spark.createDataFrame([(0, t, 0, 99) for t in range(100)], "subject int, t long, block_start long, block_end long")
     got = sorted((r["win"], r["t"]) for r in windows.time_windows(df, 10, 25).collect())
     assert got == [(k, t) for k in range(4) for t in range(25 * k, 25 * k + 10)]
+
+
+def test_spectra_from_panes_are_those_of_whole_windows(spark):
+    from physio_spark.operators import signal as G
+
+    rng = random.Random(3)
+    rows = [(s, i, 50 + 5 * math.sin(2 * math.pi * (0.3 + 0.1 * s) * i / 4) + rng.gauss(0, 1)) for s in range(3) for i in range(200)]
+    rows = [(s, i, None if rng.random() < 0.1 else v, 0, 200) for s, i, v in rows]
+    df = spark.createDataFrame(rows, "subject int, idx long, x double, _zero long, _total long")
+    size, hop = 48, 20
+    copied = df.withColumnRenamed("_total", "_end").withColumn("_zero", F.lit(0))
+    copied = time_windows(copied, size, hop, "idx", "_zero", "_end")
+    at = F.col("idx") - F.col("win_start")
+    want = G.band_peak(copied, "x", ["subject", "win"], at / 4.0, 0.1, 0.6, 0.05, taper=G.hann(at / float(size)))
+    want = {(r["subject"], r["win"]): r["per_min"] for r in want.collect()}
+    got = panes.window_band_peaks(df, "x", ["subject"], size, hop, 4.0, {"rate": (0.1, 0.6, 0.05), "low": (0.1, 0.1, 0.05)}).collect()
+    assert {(r["subject"], r["win"]): r["rate"] for r in got} == want
+    assert {r["low"] for r in got} == {6.0}
+    assert len(want) == 3 * 8
+
+
+def test_seventeen_features_of_a_steady_pulse(spark):
+    from physio_spark.operators.features import PULSE_FEATURES, PulseConfig, pulse_window_features
+
+    fs, beat = 10.0, 1.25
+    rows = [(1, i * 100, 1 + i // 300, math.sin(2 * math.pi * beat * i / fs + 0.1) + 0.2 * math.sin(2 * math.pi * 0.25 * i / fs), 2.0 * i, 30.0) for i in range(600)]
+    df = spark.createDataFrame(rows, "subject int, t long, video int, bvp double, gsr double, skt double")
+    ratings = spark.createDataFrame([(1, i * 1000, 5.0, float(i)) for i in range(60)], "subject int, t long, valence double, arousal double")
+    out = pulse_window_features(df, ratings, PulseConfig(fs, beat_threshold=0.5), width=10_000).orderBy("win").collect()
+    assert len(out) == 51
+    assert out[0].asDict().keys() == {"subject", "win", "window_start", "window_end", "video_id", "arousal", "valence", *PULSE_FEATURES}
+    for r in out:
+        assert r["window_end"] - r["window_start"] == 9900
+        assert r["bvp_bpm"] == pytest.approx(75, abs=1.5)
+        assert r["bvp_breathingrate"] == pytest.approx(15, abs=1.5)
+        assert (r["gsr_slope"], r["skt_slope"], r["skt_mean"], r["valence"]) == (pytest.approx(2), pytest.approx(0), 30, 5)
+        assert r["arousal"] == pytest.approx(r["win"] + 4.5)
+    assert [out[0]["video_id"], out[-1]["video_id"]] == [1, 2]
+    flat = df.withColumn("bvp", F.lit(1.0))
+    for r in pulse_window_features(flat, None, PulseConfig(fs), width=10_000).collect():
+        assert (r["bvp_bpm"], r["bvp_ibi"], r["bvp_sd2"], r["valence"]) == (None, None, None, None)
+        assert r["gsr_mean"] is not None
