@@ -25,7 +25,8 @@ from .common import widened
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>script|style|title|textarea|noscript|template|iframe|svg|math|canvas|object|select|button|video|audio)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<rest>(?:\s+[^\s=>\"']+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"']*))?|/)*\s*|[^>]*)>"
+    # nothing is given back, and a tag that the page's end cuts off ends there: each character is looked at a few times
+    r"|<(?P<end>/?)(?P<name>[a-z][^\s/>]*+)(?:(?P<rest>(?:(?>\s++[^\s=>\"']++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"']*+))?)|/)*+\s*+)>|(?P<loose>[^>]*+)(?:>|\Z))"
     r"|<[!?/][^>]*(?:>|\Z)",
     re.I | re.S,
 )
@@ -144,7 +145,7 @@ def blocks(html: str) -> list[BlockText]:
         if name == "br":
             add(" ")
             continue
-        end = bool(m["end"])
+        end, rest = bool(m["end"]), m["rest"] or m["loose"] or ""
         if name == "a":
             links, linked_from = 0 if end else 1, len(stack)
             continue
@@ -167,7 +168,7 @@ def blocks(html: str) -> list[BlockText]:
                     if stack[k].name in same:
                         leave(k)
                         break
-        elif not m["rest"] or name in VOID_TAGS:
+        elif not rest or name in VOID_TAGS:
             continue
         if name == "html" or name in VOID_TAGS or name == "p" and end:
             continue
@@ -188,7 +189,7 @@ def blocks(html: str) -> list[BlockText]:
         if name in ("article", "main"):
             articles += 1
             inside = articles
-        outside = top.outside or _outside(name, m["rest"], inside)
+        outside = top.outside or _outside(name, rest, inside)
         if name in BLOCK_TAGS or outside:
             stack.append(_Open(name, outside, inside))
             if outside and not top.outside:

@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -369,3 +370,14 @@ CARD = '<article><h3>Other story</h3><p>Teaser of it in a few words, and it is f
 )
 def test_all_blocks_are_judged(page, text):
     assert html_extract.main_text(page) == text
+
+
+@pytest.mark.parametrize(
+    "piece", [" a= b", "<a ", '<a x="', "<a b='c", "<a b==", "<", "</", "<!--", "<script ", "<div>", "<p>x", "<li>x", "&", "<a b " + " " * 999]
+)
+def test_a_page_cut_off_anywhere_is_read_in_linear_time(piece):
+    page = "<article><p>The words before it are kept as they were.</p>" + "<p" * (piece == " a= b") + piece * ((1 << 20) // len(piece))
+    begin = time.process_time()
+    text = html_extract.main_text(page)
+    assert time.process_time() - begin < 10
+    assert text.startswith("The words before it are kept as they were.")
