@@ -280,7 +280,8 @@ def read(files: DataFrame, folder: str, payload: bool = False) -> DataFrame:
                     if rows:
                         yield batch(rows)
 
-    paths = files.select(F.col("path").cast("string")).repartition(F.col("path"))
+    # a task for each file; dealt by a column, a few paths would be put together in one
+    paths = files.select(F.col("path").cast("string")).repartition(max(1, files.count()))
     return paths.mapInArrow(run, schema)
 
 

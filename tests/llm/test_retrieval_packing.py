@@ -381,3 +381,12 @@ def test_a_page_cut_off_anywhere_is_read_in_linear_time(piece):
     text = html_extract.main_text(page)
     assert time.process_time() - begin < 10
     assert text.startswith("The words before it are kept as they were.")
+
+
+def test_archives_are_read_in_a_task_for_each_file(spark, tmp_path):
+    pages = spark.createDataFrame([(i, None, f"page {i} " * 300) for i in range(40)], "page_id long, url string, html string").repartition(5)
+    files = warc.write(pages, str(tmp_path), file_bytes=300)
+    found = warc.read(files, str(tmp_path))
+    assert found.rdd.getNumPartitions() == files.count() > 5
+    tasks = found.where("error IS NULL").selectExpr("spark_partition_id() AS p").distinct().count()
+    assert tasks > 5
