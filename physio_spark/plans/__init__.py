@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("relational", "windowing", "statistics", "signals", "tables")
+MODULES = ("relational", "windowing", "statistics", "signals", "tables", "files")
 
 
 def load_queries() -> dict:

@@ -7,7 +7,7 @@ counted in days.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from physio_spark.operators.ordered import chunk_width
@@ -61,8 +61,8 @@ def windowed(spark: SparkSession, sf_dir: str, neighbours: bool = False) -> tupl
     return time_windows(b, LENGTH, STEP), width
 
 
-def orders_as_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders in the role of scored windows; one class is never predicted."""
+def orders_as_predictions(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
+    """Orders in the role of scored windows; one class is never predicted.  ``more`` columns of the orders on request."""
     o = table(spark, sf_dir, "orders")
     price = F.col("o_totalprice")
     guess = (
@@ -82,6 +82,7 @@ def orders_as_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
             (F.pmod(F.col("o_orderkey") * m, F.lit(9)) / 8.0).alias(f"proba_{c}")
             for c, m in (("amused", 1), ("bored", 2), ("scary", 5))
         ],
+        *more,
     )
 
 

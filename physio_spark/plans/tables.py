@@ -18,6 +18,7 @@ from physio_spark.plans.adapter import (
 from physio_spark.plans.registry import final, query
 from physio_spark.runtime import materialize
 from physio_spark.streaming import jobs
+from physio_spark.streaming.replay import replay
 
 NUMBERS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 SQL_DIRTY = """
@@ -556,7 +557,7 @@ def evl8(spark, sf_dir):
     return E.running_vote(p, order=["position"], width=width).select("position", "votes", "n_seen", "share")
 
 
-# ---------------------------------------------------------------- streams, run as batch frames
+# ---------------------------------------------------------------- streams: two parts, a restart between them, the sink's rows
 
 
 @query(
@@ -573,7 +574,7 @@ def str1(spark, sf_dir):
     live = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("subject"), F.col("ts").cast("timestamp").alias("ts"), "value"
     )
-    out = jobs.window_stats_stream(live, "2 days", "1 day")
+    out = replay(live, "ts", lambda d: jobs.window_stats_stream(d, "2 days", "1 day", late="1 hour"), "10 days")
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("win_start", "win_end")})
 
 
@@ -588,7 +589,7 @@ def str1(spark, sf_dir):
 )
 def str2(spark, sf_dir):
     live = table(spark, sf_dir, "events").select(F.col("user_id").alias("subject"), F.col("ts").cast("timestamp").alias("ts"))
-    out = jobs.session_stream(live, "12 hours", ["subject"])
+    out = replay(live, "ts", lambda d: jobs.session_stream(d, "12 hours", ["subject"], late="1 hour"), "10 days")
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
 
 
@@ -603,7 +604,10 @@ def str2(spark, sf_dir):
     ),
 )
 def str3(spark, sf_dir):
-    """Batch form of the stateful stream: the last state of every stimulus."""
-    return jobs.final_vote(orders_as_predictions(spark, sf_dir))
+    """The stateful stream: one row for every stimulus, when its time to live is over."""
+    live = orders_as_predictions(spark, sf_dir, F.col("o_orderdate").cast("timestamp").alias("ts"))
+    years = 10 * 366 * 86_400.0
+    vote = lambda d: jobs.running_vote_stream(d, ts="ts", ttl_s=years, late="1 day", closing=True)
+    return replay(live.select("subject", "video", "true_label", "pred_label", "ts"), "ts", vote, "11 years")
 
 

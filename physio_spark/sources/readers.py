@@ -79,7 +79,9 @@ def _csv(spark: SparkSession, path: str, bad_lines: str) -> DataFrame:
         raise ValueError(f"bad_lines is skip, keep or fail, not {bad_lines}")
     names = spark.read.option("header", True).csv(path).columns
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, CORRUPT]])
-    reader = spark.read.option("header", True).option("enforceSchema", False).option("columnNameOfCorruptRecord", CORRUPT)
+    # A parser that splits off only the columns a query asks for would not see that a line is too long.
+    reader = spark.read.option("header", True).option("enforceSchema", False).option("columnPruning", False)
+    reader = reader.option("columnNameOfCorruptRecord", CORRUPT)
     read = reader.schema(schema).csv(path)
     if bad_lines == "keep":
         return read.drop(CORRUPT)

@@ -52,29 +52,61 @@ def session_stream(
     )
 
 
-def running_vote_stream(predictions: DataFrame, by: Sequence[str] = ("subject", "video")) -> DataFrame:
+def running_vote_stream(
+    predictions: DataFrame,
+    by: Sequence[str] = ("subject", "video"),
+    ts: str | None = None,
+    ttl_s: float = 86_400.0,
+    late: str = "10 minutes",
+    closing: bool = False,
+) -> DataFrame:
     """Running share of correct windows per stimulus; one updated row per stimulus and micro-batch.
 
-    ``predictions`` holds the keys, ``true_label`` and ``pred_label``.  The state is two counters.
+    ``predictions`` holds the keys, ``true_label`` and ``pred_label``.  The state is two counters.  With the event
+    time ``ts`` it lives for ``ttl_s`` seconds after a stimulus' last window, by the watermark; a stimulus that comes
+    back later begins anew, and rows without a key only move the watermark.  ``closing`` gives one row for
+    each stimulus, when its time is over, for append-mode sinks.
     """
     by = list(by)
-    hits = predictions.select(*by, (F.col("pred_label") == F.col("true_label")).cast("bigint").alias("hit"))
-    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in hits.select(*by).schema)
+    if closing and ts is None:
+        raise ValueError("a vote closes by event time: name its column")
+    hit = (F.col("pred_label") == F.col("true_label")).cast("bigint").alias("hit")
+    seconds = (F.col(ts).cast("timestamp").cast("double") if ts else F.lit(0.0)).alias("seconds")
+    if ts:
+        keyed = predictions.withWatermark(ts, late).select(*by, hit, seconds, ts)
+    else:
+        keyed = predictions.select(*by, hit, seconds)
+    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keyed.select(*by).schema)
+
+    def row(key: tuple, votes: int, seen: int) -> pd.DataFrame:
+        return pd.DataFrame({**{c: [k] for c, k in zip(by, key, strict=True)}, "votes": votes, "n_seen": seen, "share": votes / seen})
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        votes, seen = state.get if state.exists else (0, 0)
+        if ts and any(pd.isna(k) for k in key):  # not a filter: it would be pushed below the watermark
+            return
+        if state.hasTimedOut:
+            votes, seen, _ = state.get
+            state.remove()
+            if closing:
+                yield row(key, votes, seen)
+            return
+        votes, seen, last = state.get if state.exists else (0, 0, 0.0)
         for pdf in batches:
             votes += int(pdf["hit"].fillna(0).sum())
             seen += len(pdf)
-        state.update((votes, seen))
-        yield pd.DataFrame({**{c: [k] for c, k in zip(by, key, strict=True)}, "votes": votes, "n_seen": seen, "share": votes / seen})
-
-    return hits.groupBy(*by).applyInPandasWithState(
+            last = max(last, float(pdf["seconds"].max()))
+        state.update((votes, seen, last))
+        if ts:
+            state.setTimeoutTimestamp(max(int((last + ttl_s) * 1000), state.getCurrentWatermarkMs() + 1))
+        if not closing:
+            yield row(key, votes, seen)
+
+    return keyed.groupBy(*by).applyInPandasWithState(
         update,
         outputStructType=f"{keys}, votes bigint, n_seen bigint, share double",
-        stateStructType="votes bigint, seen bigint",
-        outputMode="update",
-        timeoutConf=GroupStateTimeout.NoTimeout,
+        stateStructType="votes bigint, seen bigint, last double",
+        outputMode="append" if closing else "update",
+        timeoutConf=GroupStateTimeout.EventTimeTimeout if ts else GroupStateTimeout.NoTimeout,
     )
 
 

@@ -55,8 +55,11 @@ def test_feature_tables_round_trip(spark, tmp_path):
     writers.write_features(df, str(tmp_path / "out"), partition_by="subject")
     back = readers.read_features(spark, str(tmp_path / "out" / "combined")).select(df.columns)
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
-    assert spark.read.parquet(str(tmp_path / "out" / "X")).columns == ["gsr_mean"]
-    assert spark.read.parquet(str(tmp_path / "out" / "meta")).columns == ["subject", "start_s"]
+    parts = {n: spark.read.parquet(str(tmp_path / "out" / n)) for n in ("X", "meta", "y_label_valence")}
+    assert {n: p.columns for n, p in parts.items()} == {"X": ["row", "gsr_mean"], "meta": ["row", "subject", "start_s"], "y_label_valence": ["row", "label_valence"]}
+    whole = parts["meta"].join(parts["X"], "row").join(parts["y_label_valence"], "row").select(df.columns)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, df.collect()))
+    assert spark.read.option("header", True).csv(str(tmp_path / "out" / "X_csv")).columns == ["row", "gsr_mean"]
     with gzip.open(tmp_path / "f.csv.gz", "wt") as f:
         f.write("subject,gsr_mean\n1,0.5\n")
     assert readers.read_features(spark, str(tmp_path / "f.csv.gz")).dtypes == [("subject", "int"), ("gsr_mean", "double")]
@@ -242,3 +245,42 @@ def test_window_features_of_a_regular_pulse(spark):
     assert got["bpm"].to_numpy() == pytest.approx(75.0)
     assert got["n_rows"].unique().tolist() == [500]
     assert got["label_arousal"].to_numpy() == pytest.approx(5.0)
+
+
+def test_votes_live_for_their_time_and_no_longer(spark):
+    from physio_spark.streaming.replay import LiveTable
+
+    schema = "subject bigint, video bigint, true_label string, pred_label string, ts timestamp"
+    at = lambda s: (pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=s)).to_pydatetime()
+    arrive = lambda live, *rows: live.arrive(spark.createDataFrame([(*r[:4], at(r[4])) for r in rows], schema))
+    live = LiveTable(spark, lambda d: jobs.running_vote_stream(d, ts="ts", ttl_s=100.0, late="10 seconds", closing=True))
+    arrive(live, (1, 1, "a", "a", 0), (1, 1, "a", "b", 50), (2, 1, "a", "a", 60))
+    assert live.advance() == 0
+    assert live.results().count() == 0  # all are still open
+    again = LiveTable(spark, live.build, live.folder)  # another session: the checkpoint holds the counters
+    arrive(again, (1, 1, "a", "a", 140), (3, 1, "a", "b", 150))
+    again.advance()
+    arrive(again, (None, None, None, None, 200))
+    again.advance()
+    assert [tuple(r) for r in again.results().collect()] == [(2, 1, 1, 1, 1.0)]  # nothing came for 100 seconds
+    arrive(again, (1, 1, "a", "a", 230), (None, None, None, None, 10_000))
+    again.advance()
+    got = sorted(tuple(r) for r in again.results().collect())
+    assert got == [(1, 1, 3, 4, 0.75), (2, 1, 1, 1, 1.0), (3, 1, 0, 1, 0.0)]
+    with pytest.raises(ValueError, match="event time"):
+        jobs.running_vote_stream(again.results(), closing=True)
+
+
+def test_rows_behind_the_watermark_are_counted(spark):
+    from physio_spark.streaming.replay import LiveTable, replay
+
+    pdf = ticks(60)
+    schema = "subject bigint, ts timestamp, value double"
+    build = lambda d: jobs.window_stats_stream(d, "60 seconds", "60 seconds", late="1 minute")
+    live = LiveTable(spark, build)
+    live.arrive(spark.createDataFrame(pdf, schema))
+    assert live.advance() == 0
+    live.arrive(spark.createDataFrame(pdf.head(3), schema))
+    assert 1 <= live.advance() <= 3  # one for each group that a task has summed up before
+    whole = replay(spark.createDataFrame(pdf, schema), "ts", build, "1 hour")
+    assert whole.agg(F.sum("n")).first()[0] == 60
