@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from physio_spark.functions.columns import finite, portable_hash, uniform
 from physio_spark.operators.clean import class_counts
-from physio_spark.operators.ordered import ranked
+from physio_spark.operators.ordered import smallest
 from physio_spark.runtime import materialize
 
 TILE_ROWS = 4_000
@@ -152,13 +152,9 @@ def smote(
         lists = near.join(vectors, "neighbour").groupBy(key).agg(
             F.array_sort(F.collect_list(F.struct("rank", F.col("_nv").alias("v")))).alias("_near")
         )
-        h = portable_hash(seed, key)
-        seeds = ranked(
-            starts.withColumn("_h", h), [], [F.col("_h"), F.col(key)], "_rank",
-            F.conv(F.substring("_h", 1, 2), 16, 10).cast("int"),
-        )
         each, rest = divmod(need, available)
-        copies = F.lit(each) + F.when(F.col("_rank") <= rest, 1).otherwise(0)
+        seeds = smallest(starts, [], portable_hash(seed, key), rest, [key]) if rest else starts.withColumn("_chosen", F.lit(False))
+        copies = F.lit(each) + F.col("_chosen").cast("int")
         born = (
             seeds.join(lists, key)
             .withColumn("_copies", copies)

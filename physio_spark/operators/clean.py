@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from physio_spark.functions.columns import finite, portable_hash
-from physio_spark.operators.ordered import ranked
+from physio_spark.operators.ordered import smallest
 from physio_spark.operators.quantiles import GATHER_ROWS, quantiles
 from physio_spark.operators.stats import column_profile
 
@@ -221,24 +221,16 @@ def downsample_class(
         raise ValueError("target must be 'min' or 'median'")
     if counts[cls] <= goal:
         return df
-    h = portable_hash(seed, *key)
-    chosen = ranked(
-        df.where(F.col(label) == cls).withColumn("_h", h),
-        [],
-        [F.col("_h"), *[F.col(k) for k in key]],
-        "_rank",
-        F.conv(F.substring("_h", 1, 2), 16, 10).cast("int"),
-    )
-    kept = chosen.where(F.col("_rank") <= goal).drop("_h", "_rank")
+    chosen = smallest(df.where(F.col(label) == cls), [], portable_hash(seed, *key), goal, key)
+    kept = chosen.where("_chosen").drop("_chosen")
     return df.where(F.col(label).isNull() | (F.col(label) != cls)).unionByName(kept)
 
 
 def sample_groups(df: DataFrame, k: int, seed: int, group: str = "subject", by: Sequence[str] = ("video",)) -> DataFrame:
     """Seeded choice of at most ``k`` groups (curves) per stimulus; all rows of a chosen group stay."""
     by = list(by)
-    groups = df.select(*by, group).distinct().withColumn("_h", portable_hash(seed, *by, group))
-    spread = F.conv(F.substring("_h", 1, 2), 16, 10).cast("int")
-    chosen = ranked(groups, by, [F.col("_h"), F.col(group)], "_rank", spread).where(F.col("_rank") <= k)
+    groups = df.select(*by, group).distinct()
+    chosen = smallest(groups, by, portable_hash(seed, *by, group), k, [group]).where("_chosen")
     return df.join(chosen.select(*by, group), [*by, group], "left_semi")
 
 

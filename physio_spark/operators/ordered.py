@@ -199,6 +199,45 @@ def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     return placed.join(F.broadcast(sizes), "_range").select(*df.columns, (F.col("_before") + F.col("_place")).alias(name))
 
 
+DIGITS = 4  # hexadecimal digits that one pass of ``smallest`` counts: 65 536 bins
+
+
+def smallest(df: DataFrame, by: Sequence[str], h: Column, n: int, tie: Sequence[str] = (), name: str = "_chosen") -> DataFrame:
+    """Add whether a row is among the ``n`` of its group with the smallest hash ``h`` (hexadecimal, at least 8 digits).
+
+    Radix selection: a histogram of the first digits tells in which bin the n-th hash lies, a second one of the
+    next digits in that bin alone.  All other rows are decided by comparing digits; only rows that share 32 bits
+    with the n-th are put in order (by hash, then ``tie``).
+    """
+    by = list(by)
+    d = df.withColumn("_sel_h", h)
+    digit = lambda i: F.substring("_sel_h", 1 + i * DIGITS, DIGITS)
+
+    def cut(rows: DataFrame, i: int, need: Column) -> DataFrame:
+        """Per group the bin that holds the last row wanted, and how many of its rows are."""
+        bins = rows.groupBy(*by, digit(i).alias("_bin")).agg(F.count(F.lit(1)).alias("_n"), F.max(need).alias("_need"))
+        up = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+        reached = bins.withColumn("_upto", F.sum("_n").over(up)).where(F.col("_upto") >= F.col("_need"))
+        first = F.min(F.struct(F.col("_bin"), (F.col("_need") - F.col("_upto") + F.col("_n")).alias("left")))
+        return reached.groupBy(*by).agg(first.alias("_cut")).select(*by, F.col("_cut._bin").alias(f"_bin{i}"), F.col("_cut.left").alias(f"_left{i}"))
+
+    first = materialize(cut(d, 0, F.lit(n)))
+    salts = 16 if by else 1
+    in_bin = attach(d, first, by, salts).where(digit(0) == F.col("_bin0"))
+    cuts = same_keys(first, cut(in_bin, 1, F.col("_left0")), by, "left") if by else first.join(cut(in_bin, 1, F.col("_left0")), how="left")
+    cuts = materialize(cuts)
+    if by:
+        placed = attach(d, cuts, by, salts, "left")  # a group without a cut has at most n rows
+    else:
+        placed = d.join(F.broadcast(cuts), how="left")  # at most one row
+    edge = F.coalesce((digit(0) == F.col("_bin0")) & (digit(1) == F.col("_bin1")), F.lit(False))
+    below = F.col("_bin0").isNull() | (digit(0) < F.col("_bin0")) | ((digit(0) == F.col("_bin0")) & (digit(1) < F.col("_bin1")))
+    sure = placed.where(~edge).withColumn(name, below)
+    order = Window.partitionBy(*by).orderBy("_sel_h", *tie)
+    close = placed.where(edge).withColumn(name, F.row_number().over(order) <= F.col("_left1"))
+    return sure.select(*df.columns, name).unionByName(close.select(*df.columns, name))
+
+
 def ranked(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str, spread: Column, salts: int = 64) -> DataFrame:
     """One-based position of each row in its group, for groups too large for one task.
 

@@ -81,14 +81,17 @@ def bracketed_quantiles(
     columns: dict = {}
     for name, (c, p) in specs.items():
         columns.setdefault(c if isinstance(c, str) else id(c), (c, []))[1].append((name, p))
-    out = None
-    for c, wanted in columns.values():
-        part = _bracketed_column(df.select(*by, finite(c).alias("_x")), by, wanted, accuracy)
-        if out is None:
-            out = part
-        else:
-            out = out.join(part, by) if by else out.crossJoin(part)  # single rows without groups
-    return out.select(*by, *specs)
+    # the columns stand under each other: two passes over the rows, whatever their number
+    stacked = df.select(*by, F.inline(F.array(*[F.struct(F.lit(i).alias("_col"), finite(c).alias("_x")) for i, (c, _) in enumerate(columns.values())])))
+    probs = sorted({p for _, p in specs.values()})
+    found = _bracketed_column(stacked, [*by, "_col"], [(f"_q{j}", p) for j, p in enumerate(probs)], accuracy)
+    place = {id(own): i for i, own in enumerate(columns.values())}
+    aggs = [
+        F.max(F.when(F.col("_col") == place[id(own)], F.col(f"_q{probs.index(p)}"))).alias(name)
+        for own in columns.values()
+        for name, p in own[1]
+    ]
+    return found.groupBy(*by).agg(*aggs).select(*by, *specs)
 
 
 def _bracketed_column(
