@@ -26,6 +26,7 @@ from physio_spark.plans.adapter import (
     windowed,
 )
 from physio_spark.plans.registry import final, query
+from physio_spark.runtime import materialize
 
 KEY = ["subject", "block", "win"]
 FS = 2.0
@@ -35,7 +36,7 @@ WINDOW = ("win_start", "win_end")
 def _window_stats(spark, sf_dir, spec, empty=0.0):
     b, width = blocked(spark, sf_dir)
     if set(spec) & S.NEEDS_NEIGHBOURS:
-        b = S.with_neighbours(b, ["subject", "block"], ["value"], width=width)
+        b = S.with_neighbours(materialize(b), ["subject", "block"], ["value"], width=width)  # its rows are read twice
     return window_stats(b, ["subject", "block"], ["value"], spec, LENGTH, STEP, fs=FS, unit=float(DAY), empty=empty).drop(*WINDOW)
 
 
