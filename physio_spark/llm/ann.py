@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import materialize
+from .common import refuse
 
 DATA_BLOCK = 512
 QUERY_BLOCK = 64
@@ -70,6 +71,7 @@ def search(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: st
     with a null key.  A query's own key never answers it; one that repeats with other vectors asks with each.
     A query with fewer than ``k`` candidates gets those that there are.
     """
+    refuse(key, "query_id", "rank", "score")
     kind = "float" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "double"
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast(f"array<{kind}>").alias("v"), is_query.alias("q")).where("id IS NOT NULL")
     first = rows.where(F.size("v") > 0).groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()

@@ -115,6 +115,18 @@ def widened(schema: T.StructType, **columns: str) -> T.StructType:
     return out
 
 
+def refuse(column: str, *names: str) -> None:
+    """Complain about a key or text column that has the name of a result column."""
+    if column.lower() in {n.lower() for n in names}:
+        raise ValueError(f"the result has a column {column!r} of its own")
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """The frame without the columns whose names the result gives to its own."""
+    taken = {n.lower() for n in names}
+    return df.drop(*[c for c in df.columns if c.lower() in taken])
+
+
 def fresh(taken: list[str], name: str) -> str:
     """A column name that a frame does not use yet."""
     used = {x.lower() for x in taken}

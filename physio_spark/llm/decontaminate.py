@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, slices, split_words
+from .common import Shared, refuse, slices, split_words
 
 LEAST_WORDS = 8
 BLOCK_BYTES = 4 << 20
@@ -326,6 +326,7 @@ def leaks(docs: DataFrame, indexes: list[Index], key: str = "doc_id", text: str
     ``similarity`` is the share of the item's words in the longest common subsequence, 1 for a short item that stands word for word.  Null and empty
     texts hold nothing, nor does an empty benchmark find anything; repeated rows give repeated rows.
     """
+    refuse(key, "item_id", "similarity", "answer_found")
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("t"))
     kind = rows.schema["key"].dataType.simpleString()
     schema = f"key {kind}, item_id long, similarity double, answer_found boolean"

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import materialize
-from .common import Shared, slices, utf8
+from .common import Shared, refuse, slices, utf8
 
 # Words of the automaton, bytes of text of one scan, rows that one task ranks.
 REMEMBERED = 40_000
@@ -227,8 +227,7 @@ def resample(
     empty text has no words and weight 0.  Repeated rows count and are drawn one by one, an empty table gives an
     empty one, and without a target all gains come from the corpus alone.  Other columns are not read.
     """
-    if key.lower() in {"n_words", "n_features", "weight", "score", "rank", "_at", "_part", "_row", "_before"}:
-        raise ValueError(f"the result has a column {key!r} of its own")
+    refuse(key, "n_words", "n_features", "weight", "score", "rank", "_at", "_part", "_row", "_before")
     gains = bucket_gains(bucket_counts(docs, text, longest, buckets), bucket_counts(target, target_text, longest, buckets))
     scored = materialize(weights(docs, gains, key, text, longest).withColumn("score", (F.col("weight") + gumbel(F.col(key), seed)).cast("long")))
     eligible = F.col("n_words") >= least_words

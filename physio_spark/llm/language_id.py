@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, unit, utf8
+from .common import Shared, refuse, unit, utf8
 
 ORDER = 3
 START = ord("\n")
@@ -170,8 +170,10 @@ def identify(docs: DataFrame, trees: ContextTrees, key: str = "doc_id", text: st
 
     A text that is null or holds no letter, or any text when nothing was learned, is ``und`` with score
     0.  The score is the posterior of the language under equal priors.  Equal code lengths fall to the
-    smaller name.  Repeated rows give repeated rows; other columns are not looked at.
+    smaller name.  Repeated rows give repeated rows; other columns are not looked at, and ``key`` may not have
+    the name of a result column.
     """
+    refuse(key, "lang_pred", "score", "bits_per_byte")
     shared = Shared(docs.sparkSession, trees, Coder)
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()

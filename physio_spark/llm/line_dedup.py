@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import materialize
 from . import bloom
-from .common import SPACE, Shared, fresh, texts, widened
+from .common import SPACE, Shared, fresh, refuse, texts, widened, without
 
 LEAST_KEY = 10
 FLUSH = 1 << 20
@@ -91,11 +91,14 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", segmen
     least ten code points that is found under two values of ``key`` or more stays in the smallest one,
     all its lines there included.  Rows with a null ``key`` come back as they are and are no document.
     Rows that repeat a ``key`` are one document.  ``counts`` names columns for the number of lines before
-    and of lines dropped; None leaves them out.  ``segments`` (a power of two) bounds each filter to
+    and of lines dropped, which take the place of columns of these names; None leaves them out.  ``segments`` (a power of two) bounds each filter to
     ``segments`` times 8 KiB; a larger one shuffles fewer suspects in a larger corpus.
     """
     if segments & segments - 1:
         raise ValueError("segments must be a power of two")
+    for c in (key, text):
+        refuse(c, *(counts or ()))
+    docs = without(docs, *(counts or ()))
     held = materialize(suspects(docs, key, text, seen_twice(docs, text, segments)))
     repeated = held.groupBy("line").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.first("mark").alias("mark"))
     firsts = materialize(repeated.where("first < last").select("mark", "first"))

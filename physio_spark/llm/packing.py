@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import materialize
-from .common import Shared, slices
+from .common import Shared, fresh, refuse, slices
 from .token_ids import WordIds
 
 # Rows of one sweep, and bytes of text that a task tokenises at once.
@@ -35,6 +35,7 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
 
     A null text is an empty one: a single piece with the end id.  Repeated rows give repeated pieces.
     """
+    refuse(key, "piece", "start", "length", "ids_crc32", "ids")
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("t"))
     shared = Shared(docs.sparkSession, tokenizer, WordIds)
     names = ["key", "piece", "start", "length", "ids_crc32", *(["ids"] if ids else [])]
@@ -226,6 +227,9 @@ def best_fit(items: DataFrame, capacity: int = 2048) -> DataFrame:
 
 
 def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = 2048, ids: bool = False) -> DataFrame:
-    """Every piece of every row with its ``sequence_id`` and ``offset``."""
-    cut = materialize(pieces(docs, tokenizer, key, text, capacity, ids).withColumn("id", F.monotonically_increasing_id()))
-    return cut.join(best_fit(cut.select("id", "length"), capacity), "id").drop("id")
+    """Every piece of every row with its ``sequence_id`` and ``offset``; ``key`` may not have the name of a result column."""
+    refuse(key, "sequence_id", "offset")
+    number = fresh([key], "id")
+    cut = materialize(pieces(docs, tokenizer, key, text, capacity, ids).withColumn(number, F.monotonically_increasing_id()))
+    placed = best_fit(cut.select(F.col(number).alias("id"), "length"), capacity).withColumnRenamed("id", number)
+    return cut.join(placed, number).drop(number)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import materialize
-from .common import texts
+from .common import refuse, texts
 from .components import components
 
 SEGMENTS = 4
@@ -143,6 +143,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", re
     Texts without words have fingerprint 0 and are linked like any other.  Repeated rows give repeated
     rows.  A row with a null key gets the component of its fingerprint (null if no row there has a key).
     """
+    refuse(key, "fp", "component_id")
     marked = materialize(fingerprints(docs, key, text, shingle, seed))
     distinct = materialize(marked.groupBy("fp").agg(F.min(key).alias("least")))
     joined = components(links(distinct, reach)).withColumnRenamed("node", "fp")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import materialize
 from . import bloom
-from .common import Shared, fresh, split_words, texts, widened
+from .common import Shared, fresh, refuse, split_words, texts, widened, without
 
 GRAM = 3
 # Words that one task lays out at once, and the share of all packed strings that makes a triple frequent.
@@ -320,8 +320,11 @@ def dedup_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", wind
     comes back empty.  Rows with a null ``key`` are no document and lose nothing.  Rows that repeat a key
     are one document and take nothing from each other.  ``segments`` (a power of two) bounds each filter to
     ``segments`` times 8 KiB; a larger one lets fewer strings travel in a larger corpus.  ``counts`` names columns for the numbers of
-    words before and of words removed; None leaves them out.
+    words before and of words removed, which take the place of columns of these names; None leaves them out.
     """
+    for c in (key, text):
+        refuse(c, *(counts or ()))
+    docs = without(docs, *(counts or ()))
     found = repeated_ranges(docs, key, text, window, segments)
     owner, mark, ranges = (fresh(docs.columns, x) for x in ("owner", "mark", "ranges"))
     lists = found.groupBy(F.col("doc").alias(owner), F.col("mark").alias(mark)).agg(F.collect_list(F.struct("first", "end")).alias(ranges))

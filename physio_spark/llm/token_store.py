@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..runtime import checkpoint_dir, materialize
-from .common import Shared, slices
+from .common import Shared, refuse, slices
 from .token_ids import WordIds
 from .wavelet import Plane, WaveletMatrix
 
@@ -227,8 +227,7 @@ def read(files: DataFrame, folder: str, key: str = "doc_id", kind: str = "long")
 
     ``kind`` is the type of the keys that were written.
     """
-    if key.lower() in ("start", "n_tokens", "ids"):
-        raise ValueError(f"the result has a column {key!r} of its own")
+    refuse(key, "start", "n_tokens", "ids")
 
     def answer(shard: TokenShard, first: int) -> Iterator[pa.RecordBatch]:
         ids, ends = shard.matrix.decode(np.uint32).astype("<u4", copy=False), shard.ends

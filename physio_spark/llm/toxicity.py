@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, unit
+from .common import Shared, refuse, unit
 
 STEMS = (3, 4, 5, 6, 7)
 # Letters of other scripts that look like Latin ones.
@@ -242,8 +242,9 @@ def score(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "t
     """``key, score, predicted, n_hits`` of each row, over its whole text, without a shuffle.
 
     A null or empty text has no hits and gets the score of such a text.  Repeated rows give repeated
-    rows; other columns are not looked at.
+    rows; other columns are not looked at, and ``key`` may not have the name of a result column.
     """
+    refuse(key, "score", "predicted", "n_hits")
     shared = Shared(docs.sparkSession, lexicon, lambda x: (x.automaton(), x.curve))
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("t"))
     kind = rows.schema["key"].dataType.simpleString()

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ordered import attach
 from ..runtime import materialize
-from .common import Shared
+from .common import Shared, refuse
 
 LIMB = 12
 # 2^(2 * LIMB) times the longest part, or the rows of one block, stays below 2^53.
@@ -168,9 +168,8 @@ def encode(df: DataFrame, books: Codebooks, key: str = "vec_id", vector: str = "
     ``error`` is the squared distance between the integers and the entries, summed over the parts.  Repeated
     rows stay, other columns are not read.
     """
-    taken = {"code", "error", "label_error"}
-    if {key.lower(), (label or "").lower()} & taken:
-        raise ValueError(f"the result has columns {sorted(taken)} of its own")
+    for c in (key, label or ""):
+        refuse(c, "code", "error", "label_error")
     shared = Shared(df.sparkSession, books)
     digits = np.array([b"%02x" % i for i in range(256)])
     rows = df.select(F.col(key).alias("key"), (F.col(label) if label else F.lit(None).cast("int")).alias("label"), F.col(vector).alias("v"))
