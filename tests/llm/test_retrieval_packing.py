@@ -350,6 +350,57 @@ def test_short_items_and_scripts_without_blanks(spark):
     assert {r["doc_id"] for r in decontaminate.keep_clean(docs, indexes).collect()} == {2, 6, 7, 9, 10}
 
 
+def test_latent_basis_is_that_of_all_passages(spark):
+    """Against the singular vectors of the whole matrix; the layout in many parts gives the same."""
+    rng = random.Random(12)
+    topics = [[f"t{k}w{j}" for j in range(30)] for k in range(6)]
+    rows = [(k, " ".join(rng.choices(topics[k % 6], k=rng.choice([0, 3, 40, 200])))) for k in range(300)] + [(900, None)]
+    docs = spark.createDataFrame(rows, "key long, t string").repartition(7)
+    vocabulary = {w: k for k, w in enumerate(sorted({w for t in topics for w in t[:20]}))}
+    size = len(vocabulary) + decontaminate.FOREIGN
+    laid = decontaminate.lay_out(docs, vocabulary)
+    codes_of = decontaminate.Codes(vocabulary)
+    told = {r["key"]: np.frombuffer(r["codes"], "<u2").tolist() for r in laid.collect()}
+    assert told == {k: codes_of.lay(pa.array([t], pa.string()))[0].tolist() for k, t in rows}
+    counts, n = decontaminate.document_frequencies(laid, size)
+    assert n == 301 and counts.tolist() == np.bincount([c for codes in told.values() for c in set(codes)], minlength=size).tolist()
+    idf = np.log((n + 1) / (counts + 1.0)).astype(np.float32) + 0.01
+    whole = []
+    for codes in told.values():
+        for lo in range(0, len(codes), decontaminate.PASSAGE):
+            times = np.bincount(codes[lo : lo + decontaminate.PASSAGE], minlength=size)
+            row = np.where(times > 0, 1 + np.log(np.maximum(times, 1)), 0) * idf
+            whole.append(row / np.linalg.norm(row))
+    whole = np.array(whole)
+    given = np.random.default_rng(1).standard_normal((size, 5))
+    assert np.allclose(decontaminate.gram_product(laid, idf, given), whole.T @ (whole @ given), atol=1e-3)
+    basis = decontaminate.latent_basis(laid, idf)
+    exact = np.linalg.svd(whole, full_matrices=False)[2][:6].T  # one direction for each topic
+    assert np.allclose(basis.T @ basis, np.eye(decontaminate.RANK), atol=1e-6)
+    assert np.linalg.norm(basis[:, :6].T @ exact, axis=0).min() > 0.99
+
+
+def test_paraphrases_are_found_by_the_latent_search(spark):
+    """Clauses that changed places keep half of an item in order: no span of the first rule, but a candidate with its answer."""
+    rng = random.Random(21)
+    words = [[f"{a}{b}{c}" for a in "bdfgklmnprst" for b in "aeiou" for c in (f"ne{k}", f"ra{k}", f"so{k}", f"ti{k}")] for k in range(8)]
+    text = lambda k, n: " ".join(rng.choices([*words[k], "the", "of"], k=n))
+    clauses = [[text(k % 8, 9) for _ in range(4)] + [text(k % 8, 6)] for k in range(40)]
+    items = [f"{', '.join(c[:4])}. {c[4]}." for c in clauses]
+    rows = [(k, text(k % 8, 150)) for k in range(200)]
+    for k, c in enumerate(clauses):
+        rows.append((1000 + k, f"{text((k + 3) % 8, 40)} {c[2]} {c[3]} {c[0]} {c[1]}. {c[4]}. {text((k + 3) % 8, 40)}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    indexes = decontaminate.fit(docs, spark.createDataFrame([*enumerate(items)], "item_id long, text string"))
+    pairs = lambda **terms: {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, indexes, **terms).collect()}
+    want = {(1000 + k, k) for k in range(40)}
+    got, without = pairs(), pairs(cosine=2.0)
+    assert len(got & want) >= 36 and len(without & want) <= 12
+    assert without <= got and not {d for d, _ in got if d < 1000}
+    assert pairs(fitted=True) == got
+    assert decontaminate.keep_clean(docs, indexes).count() == len(rows) - len({d for d, _ in got})
+
+
 BODY = " ".join(LONG.split())
 CARD = '<article><h3>Other story</h3><p>Teaser of it in a few words, and it is for you to read as well as to share.</p></article>'
 
