@@ -238,7 +238,7 @@ def gram_product(laid: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndar
                 row, word, value = _passages(part, np.unique(stop), own)
                 value = value.astype(np.float32)[:, None]
                 inside = np.add.reduceat(given[word] * value, np.flatnonzero(np.diff(row, prepend=-1)))
-                order = np.argsort(word, kind="stable")
+                order = np.argsort(word.astype(kind), kind="stable")
                 first = np.flatnonzero(np.diff(word[order], prepend=-1))
                 total[word[order[first]]] += np.add.reduceat(inside[row[order]] * value[order], first)
         stripes = [(k, total[k : k + PART_ROWS]) for k in range(0, size, PART_ROWS)]
@@ -322,20 +322,32 @@ class Searcher:
         known = np.minimum(codes, self.words)
         return (self.bits[item, known >> 3] >> (known & 7) & 1).astype(bool)
 
-    def near(self, codes: np.ndarray, begin: np.ndarray, end: np.ndarray, cosine: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Width, items and first words of the windows whose latent cosine with an item of about their width is high."""
-        most = max((w for w, _, _ in self.classes), default=0)
-        for lo in range(0, len(codes) if most else 0, STRETCH):
-            hi = min(len(codes), lo + STRETCH + most)
-            run = np.zeros((hi - lo + 1, self.placed.shape[1]), np.float32)
-            np.cumsum(self.placed[codes[lo:hi]], axis=0, out=run[1:])
-            at = np.arange(lo, min(hi, lo + STRETCH))
-            for wide, own, points in self.classes:
-                start = at[(at - begin[at]) % max(1, wide // 4) == 0]
-                there = run[np.minimum(start + wide, end[start]) - lo] - run[start - lo]
-                length = np.sqrt(np.einsum("ij,ij->i", there, there))
-                which, item = np.nonzero(there @ points.T >= cosine * np.maximum(length, 1e-6)[:, None])
-                yield wide, own[item], start[which]
+    def near(self, codes: np.ndarray, begin: np.ndarray, end: np.ndarray, items: np.ndarray, places: np.ndarray, cosine: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Width, items and first words of the windows whose latent cosine with an item of about their width is high.
+
+        Windows start at every quarter of their width.  ``items, places`` are those of the index: a window that holds
+        no place of an item cannot share the weight that is asked for, so its cosine is not computed.
+        """
+        for wide, own, points in self.classes:
+            step = max(1, wide // 4)
+            column = np.full(len(self.index.items), -1)
+            column[own] = np.arange(len(own))
+            of = column[items] >= 0
+            place, which = places[of], column[items[of]]
+            first = begin[place]
+            last = (place - first) // step * step
+            back = np.arange(-(-wide // step)) * step
+            start, which = first[:, None] + last[:, None] - back, np.broadcast_to(which[:, None], (len(which), len(back)))
+            holds = (start >= first[:, None]) & (start + wide > place[:, None])
+            start, which = np.divmod(np.unique(start[holds] * len(own) + which[holds]), len(own))
+            for lo in range(0, len(start), 256):
+                starts, row = np.unique(start[lo : lo + 256], return_inverse=True)
+                at = starts[:, None] + np.arange(wide)
+                words = self.placed[codes[np.minimum(at, len(codes) - 1)]]
+                there = np.einsum("ijk,ij->ik", words, (at < end[starts][:, None]).astype(np.float32))
+                cosines = there @ points.T
+                some = cosines[row, which[lo : lo + 256]] >= cosine * np.maximum(np.linalg.norm(there, axis=1), 1e-6)[row]
+                yield wide, own[which[lo : lo + 256][some]], start[lo : lo + 256][some]
 
     def rare(self, paraphrase: float) -> None:
         """Index the rarest words of each item that make up more than it may miss, and the weight that must be met.
@@ -414,12 +426,12 @@ class Searcher:
                 break
         return found
 
-    def latent(self, codes: np.ndarray, begin: np.ndarray, end: np.ndarray, terms: Terms) -> Iterator[tuple[int, int, tuple[float, bool]]]:
+    def latent(self, codes: np.ndarray, begin: np.ndarray, end: np.ndarray, near: tuple[np.ndarray, np.ndarray], terms: Terms) -> Iterator[tuple[int, int, tuple[float, bool]]]:
         """Place, item, similarity and answer of the confirmed candidates of the latent search.
 
         The window shares ``paraphrase`` of the item's weight; the span of ``2 * L + 4`` words around it is compared.
         """
-        for wide, items, starts in self.near(codes, begin, end, terms.cosine):
+        for wide, items, starts in self.near(codes, begin, end, *near, terms.cosine):
             for lo in range(0, len(items), 1 << 15):
                 item, start = items[lo : lo + (1 << 15)], starts[lo : lo + (1 << 15)]
                 at = start[:, None] + np.arange(wide)
@@ -451,11 +463,11 @@ class Searcher:
         begin, end = np.repeat(ends - sizes, sizes), np.repeat(ends, sizes)
         owner = np.repeat(np.arange(len(ends)), sizes)
         found: dict[tuple[int, int], tuple[float, bool]] = {}
-        for a, k, same in self.latent(codes, begin, end, terms):
-            pair = (int(owner[a]), self.index.items[k].ident)
-            found[pair] = max(found.get(pair, (0.0, False)), same)
         items, places = self.candidates(codes, end)
         short = self.anchor[items] >= 0
+        for a, k, same in self.latent(codes, begin, end, (items[~short], places[~short]), terms):
+            pair = (int(owner[a]), self.index.items[k].ident)
+            found[pair] = max(found.get(pair, (0.0, False)), same)
         for a, k in self.runs(codes, begin, end, items[short], places[short]):
             found[int(owner[a]), self.index.items[k].ident] = (1.0, True)
         items, places = items[~short], places[~short]
