@@ -65,3 +65,20 @@ def test_quantiles_of_many_columns_in_two_passes(spark, by):
         for n in (1, 8)
     )
     assert few.count("LogicalRDD") == many.count("LogicalRDD") <= 2
+
+
+def test_many_quantiles_of_a_large_group(spark):
+    """The three hundred knots of the normalizer, over groups that are bracketed; ties, a group without a value."""
+    from physio_spark.operators.clean import QuantileNormalizer
+
+    rng = np.random.default_rng(7)
+    rows = [(float(rng.exponential()), float(rng.integers(0, 50))) for _ in range(3000)] + [(None, None)]
+    df = spark.createDataFrame(rows, "x double, y double")
+    fitted = QuantileNormalizer(["x", "y"], max_rows=100).fit(df)
+    for i, c in enumerate(("x", "y")):
+        want = np.quantile([r[i] for r in rows[:-1]], np.linspace(0, 1, 300))
+        np.testing.assert_allclose(fitted.knots[c], want, atol=1e-12)
+    groups = spark.createDataFrame([(None, 1.0), (None, 2.0), (1, 5.0), (2, None)], "g int, x double")
+    specs = {f"q{i}": ("x", i / 299) for i in range(300)}
+    got = {r["g"]: r for r in bracketed_quantiles(groups, ["g"], specs, accuracy=50).collect()}
+    assert (got[None]["q0"], got[None]["q299"], got[1]["q150"], got[2]["q7"]) == (1.0, 2.0, 5.0, None)
