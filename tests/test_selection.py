@@ -82,3 +82,17 @@ def test_many_quantiles_of_a_large_group(spark):
     specs = {f"q{i}": ("x", i / 299) for i in range(300)}
     got = {r["g"]: r for r in bracketed_quantiles(groups, ["g"], specs, accuracy=50).collect()}
     assert (got[None]["q0"], got[None]["q299"], got[1]["q150"], got[2]["q7"]) == (1.0, 2.0, 5.0, None)
+
+
+def test_quantiles_of_few_groups_leave_the_rows_where_they_are(spark, monkeypatch):
+    from physio_spark.operators import clean, quantiles
+
+    def no_shuffle(*_):
+        raise AssertionError("rows were joined by their group")
+
+    df = spark.createDataFrame([(float(i % 97),) for i in range(500)] + [(None,)], "x double")
+    monkeypatch.setattr(quantiles, "attach", no_shuffle)
+    assert clean.MedianImputer(["x"], max_rows=100).fit(df).medians == {"x": float(np.median([i % 97 for i in range(500)]))}
+    monkeypatch.undo()
+    monkeypatch.setattr(quantiles, "BROADCAST_EDGES", 0)  # groups too many to be sent
+    assert clean.MedianImputer(["x"], max_rows=100).fit(df).medians == {"x": float(np.median([i % 97 for i in range(500)]))}
