@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -65,12 +66,20 @@ def running_vote_stream(
     ``predictions`` holds the keys, ``true_label`` and ``pred_label``.  The state is two counters.  With the event
     time ``ts`` it lives for ``ttl_s`` seconds after a stimulus' last window, by the watermark; a stimulus that comes
     back later begins anew, and rows without a key only move the watermark.  ``closing`` gives one row for
-    each stimulus, when its time is over, for append-mode sinks.
+    each stimulus, when its time is over, for append-mode sinks: its counters are the state of a session whose gap
+    is the time to live, so no stimulus is a call of its own.
     """
     by = list(by)
     if closing and ts is None:
         raise ValueError("a vote closes by event time: name its column")
     hit = (F.col("pred_label") == F.col("true_label")).cast("bigint").alias("hit")
+    if closing:
+        alive = F.session_window(ts, f"{round(ttl_s * 1e6)} microseconds")
+        named = F.max(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in by]))  # a filter on keys would be pushed below the watermark
+        counted = predictions.withWatermark(ts, late).select(*by, hit, ts).groupBy(*by, alive).agg(
+            F.sum(F.coalesce("hit", F.lit(0))).alias("votes"), F.count(F.lit(1)).alias("n_seen"), named.alias("_named")
+        )
+        return counted.where("_named").select(*by, "votes", "n_seen", (F.col("votes") / F.col("n_seen")).alias("share"))
     seconds = (F.col(ts).cast("timestamp").cast("double") if ts else F.lit(0.0)).alias("seconds")
     if ts:
         keyed = predictions.withWatermark(ts, late).select(*by, hit, seconds, ts)
@@ -85,10 +94,7 @@ def running_vote_stream(
         if ts and any(pd.isna(k) for k in key):  # not a filter: it would be pushed below the watermark
             return
         if state.hasTimedOut:
-            votes, seen, _ = state.get
             state.remove()
-            if closing:
-                yield row(key, votes, seen)
             return
         votes, seen, last = state.get if state.exists else (0, 0, 0.0)
         for pdf in batches:
@@ -98,14 +104,13 @@ def running_vote_stream(
         state.update((votes, seen, last))
         if ts:
             state.setTimeoutTimestamp(max(int((last + ttl_s) * 1000), state.getCurrentWatermarkMs() + 1))
-        if not closing:
-            yield row(key, votes, seen)
+        yield row(key, votes, seen)
 
     return keyed.groupBy(*by).applyInPandasWithState(
         update,
         outputStructType=f"{keys}, votes bigint, n_seen bigint, share double",
         stateStructType="votes bigint, seen bigint, last double",
-        outputMode="append" if closing else "update",
+        outputMode="update",
         timeoutConf=GroupStateTimeout.EventTimeTimeout if ts else GroupStateTimeout.NoTimeout,
     )
 

@@ -271,6 +271,15 @@ def test_votes_live_for_their_time_and_no_longer(spark):
         jobs.running_vote_stream(again.results(), closing=True)
 
 
+def test_closing_votes_call_no_function_for_a_stimulus(spark):
+    schema = "subject bigint, video bigint, true_label string, pred_label string, ts timestamp"
+    at = lambda s: (pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=s)).to_pydatetime()
+    rows = [(1, 1, "a", "a", at(0)), (1, 1, None, "b", at(90)), (1, 1, "a", "a", at(500)), (None, 1, "a", "a", at(0))]
+    got = jobs.running_vote_stream(spark.createDataFrame(rows, schema), ts="ts", ttl_s=100.0, closing=True)
+    assert "Pandas" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 1, 1, 1.0), (1, 1, 1, 2, 0.5)]  # a stimulus that comes back begins anew
+
+
 def test_rows_behind_the_watermark_are_counted(spark):
     from physio_spark.streaming.replay import LiveTable, replay
 
