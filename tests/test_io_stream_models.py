@@ -218,6 +218,14 @@ def test_neighbours_equal_brute_force(spark, tile):
     np.testing.assert_array_equal(got["neighbour"].to_numpy().reshape(-1, 3), np.argsort(dist, 1)[:, :3])
 
 
+def test_neighbours_of_copies_are_the_smallest_keys(spark):
+    df = spark.range(600).select(F.col("id").alias("window_id"), F.array((F.col("id") % 2).cast("double"), F.lit(0.5)).alias("v"))
+    found = balance.nearest_neighbours(df, df, "window_id", "v", 3, tile=1)
+    got = {(r["window_id"], r["rank"]): r["neighbour"] for r in found.collect()}
+    for i in range(600):
+        assert [got[i, r] for r in (1, 2, 3)] == [j for j in range(i % 2, 10, 2) if j != i][:3]
+
+
 def test_smote_fills_the_minority_between_neighbours(spark):
     pdf = blobs(200, 5)
     out = balance.smote(spark.createDataFrame(pdf), list("pqrs")).toPandas()
