@@ -32,7 +32,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity of 0.8 or more."""
+    """One document of each group of near copies: linked SimHash fingerprints, decided on five-word shingles, similarity of 0.8 or more."""
     session(spark)
     return near_copies.keep_one(docs)
 

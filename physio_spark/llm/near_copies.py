@@ -1,6 +1,7 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash buckets for candidates, whole sets for the decision.
+"""Near copies by the Jaccard similarity of word shingles: SimHash and MinHash for candidates, whole sets for the decision.
 
-Texts of one shingle set are one node.  A bucket holds the nodes that share a band of their MinHash signature;
+Texts of one shingle set are one node.  Nodes whose SimHash fingerprints are linked (``simhash.links``) are held
+against each other first; MinHash adds the copies of 0.8 that differ in more bits.  A bucket holds the nodes that share a band of their MinHash signature;
 a pair of similarity 0.8 shares none of the ``BANDS`` with probability (1 - 0.8**DEPTH)**BANDS, about 0.0004.
 Every node is first held against the smallest one of each of its buckets.  Buckets whose nodes do not hang
 together after that are cut into blocks, and pairs of blocks answer with a spanning forest of their links.
@@ -18,10 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import materialize
+from . import simhash
 from .common import texts
 from .components import components
 
 BANDS, DEPTH = 20, 5
+REACH = 4  # bits
 BLOCK_SHINGLES = 500_000
 _ODD = np.random.default_rng(11).integers(1, 1 << 63, (BANDS * DEPTH, 2), np.uint64) | np.uint64(1)
 
@@ -50,6 +53,12 @@ def bands(own: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(least[k * DEPTH : (k + 1) * DEPTH].tobytes(), k) - (1 << 63) for k in range(BANDS)]
 
 
+def set_fingerprint(own: np.ndarray) -> int:
+    """The SimHash of a shingle set as a signed number: bits set in over half of the hashes."""
+    ones = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(own)).view(np.int64)[0])
+
+
 def alike(a: np.ndarray, b: np.ndarray, least: Fraction) -> bool:
     """Whether the Jaccard similarity of two sorted sets reaches ``least``."""
     small, large = sorted((len(a), len(b)))
@@ -102,16 +111,17 @@ def _forests(pairs: DataFrame, least: Fraction) -> DataFrame:
 
 
 def _marked(rows: DataFrame, shingle: int) -> DataFrame:
-    """``own, node, size, bands`` of rows ``own, t``; the node is a digest of the shingle set."""
+    """``own, node, size, fp, bands`` of rows ``own, t``; the node is a digest of the shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingles(t, shingle) for t in texts(batch.column(1))]
             node = pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) for s in found], pa.string())
             size = pa.array([len(s) for s in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), node, size, pa.array(list(map(bands, found)), pa.list_(pa.int64()))], ["own", "node", "size", "bands"])
+            fp = pa.array(list(map(set_fingerprint, found)), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), node, size, fp, pa.array(list(map(bands, found)), pa.list_(pa.int64()))], ["own", "node", "size", "fp", "bands"])
 
-    return rows.mapInArrow(run, f"own {rows.schema['own'].dataType.simpleString()}, node string, size long, bands array<long>")
+    return rows.mapInArrow(run, f"own {rows.schema['own'].dataType.simpleString()}, node string, size long, fp long, bands array<long>")
 
 
 def _read_again(rows: DataFrame, shingle: int) -> DataFrame:
@@ -124,6 +134,15 @@ def _read_again(rows: DataFrame, shingle: int) -> DataFrame:
     return rows.mapInArrow(run, "node string, own binary")
 
 
+def _hashed(nodes: DataFrame, reach: int) -> DataFrame:
+    """Pairs ``a, b`` of nodes that connect all whose fingerprints are linked within ``reach`` bits."""
+    heads = materialize(nodes.groupBy("fp").agg(F.min("node").alias("head")))
+    equal = nodes.join(heads, "fp").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    near = simhash.links(heads.select("fp"), reach).withColumnsRenamed({"a": "p", "b": "q"}).distinct()
+    near = near.join(heads.select(F.col("fp").alias("p"), F.col("head").alias("a")), "p")
+    return equal.union(near.join(heads.select(F.col("fp").alias("q"), F.col("head").alias("b")), "q").select("a", "b"))
+
+
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8, shingle: int = 5) -> DataFrame:
     """``k, m, node, component, least``: each row's key and text hash, its set, the group and its smallest (key, hash).
 
@@ -133,17 +152,19 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
     mark = F.xxhash64(F.col(text).cast("string"))
     named = docs.select(F.struct(F.col(key).alias("k"), mark.alias("m")).alias("own"), F.col(text).cast("string").alias("t"))
     marked = materialize(_marked(named, shingle))
-    nodes = materialize(marked.groupBy("node").agg(F.min("own").alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+    nodes = materialize(marked.groupBy("node").agg(F.min("own").alias("first"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
     filed = nodes.select("node", "size", F.explode("bands").alias("band"))
     buckets = filed.groupBy("band").agg(F.min("node").alias("head"), F.min(F.struct("node", "size"))["size"].alias("head_size"), F.count("*").alias("n")).where("n > 1").drop("n")
     met = materialize(filed.join(buckets, "band"))
     # one row of each node that meets another lends its text
-    own = met.select("node").distinct().join(nodes, "node").select("node", F.col("first.k").alias("k"), F.col("first.m").alias("m"))
+    hashed = materialize(_hashed(nodes.where("size > 0"), REACH))
+    meeting = met.select("node").union(hashed.select("a")).union(hashed.select("b"))
+    own = meeting.distinct().join(nodes, "node").select("node", F.col("first.k").alias("k"), F.col("first.m").alias("m"))
     bodies = docs.select(F.col(key).alias("_k"), mark.alias("_m"), F.col(text).cast("string").alias("t"))  # no other column of the table
     lent = bodies.join(own, F.col("_k").eqNullSafe(F.col("k")) & (F.col("_m") == F.col("m"))).select("node", "t")
     sets = materialize(_read_again(lent, shingle).dropDuplicates(["node"]))
     close = F.least("size", "head_size") >= F.lit(least - 1e-9) * F.greatest("size", "head_size")
-    stars = met.where((F.col("node") != F.col("head")) & close).select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
+    stars = met.where((F.col("node") != F.col("head")) & close).select(F.col("node").alias("a"), F.col("head").alias("b")).union(hashed).distinct()
     links = materialize(_compared(stars, sets, bound))
     joined = materialize(components(links))
     # buckets whose nodes do not hang together yet

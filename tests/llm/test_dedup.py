@@ -246,3 +246,18 @@ def test_pipeline_drops_near_copies_of_0_8_and_more(spark, monkeypatch, block):
     want = {i for i in head if root(i) == i and root(i) != root(0)} | {None, 9000, 9002}
     docs = frame(spark, rows)
     assert {r[0] for r in corpus_pipeline.drop_copies(spark, docs, "").select(docs.columns[0]).collect()} == want
+
+
+def test_pipeline_near_copies_come_from_linked_fingerprints(spark, monkeypatch):
+    words = [f"w{i}" for i in range(300)]
+    changed = [*words[:150], "other", *words[151:]]
+    sets = [near_copies.shingles(" ".join(w).encode()) for w in (words, changed)]
+    a, b = (near_copies.set_fingerprint(s) & (1 << 64) - 1 for s in sets)
+    assert a == simhash.fingerprint(" ".join(words).encode(), 5)
+    assert a != b
+    monkeypatch.setattr(near_copies, "REACH", (a ^ b).bit_count())
+    seen, links = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda d, reach: seen.append(reach) or links(d, reach))
+    docs = frame(spark, [(1, " ".join(words)), (2, " ".join(changed)), (3, "a text of its own with some more words")])
+    assert sorted(r[0] for r in corpus_pipeline.drop_copies(spark, docs, "").select(docs.columns[0]).collect()) == [1, 3]
+    assert seen == [(a ^ b).bit_count()]
