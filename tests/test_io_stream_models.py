@@ -301,3 +301,12 @@ def test_rows_behind_the_watermark_are_counted(spark):
     assert 1 <= live.advance() <= 3  # one for each group that a task has summed up before
     whole = replay(spark.createDataFrame(pdf, schema), "ts", build, "1 hour")
     assert whole.agg(F.sum("n")).first()[0] == 60
+
+
+def test_regression_folds_are_fitted_side_by_side(spark, monkeypatch):
+    calls, whole = [], models.concurrently
+    monkeypatch.setattr(models, "concurrently", lambda s, c: calls.append(len(c)) or whole(s, c))
+    df = spark.createDataFrame([(i, i % 3, float(i % 7), float(i % 5), float(i)) for i in range(60)], "window_id int, fold int, a double, b double, y double")
+    got = models.oof_regress(df, ["y"], ["a", "b"], "forest", trees=3).toPandas()
+    assert calls == [3]
+    assert len(got) == 60 and got["pred_y"].notna().all() and set(got["a"]) == set(map(float, range(7)))
