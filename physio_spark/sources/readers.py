@@ -68,6 +68,20 @@ def resolve(
     return found
 
 
+def _header(spark: SparkSession, path: str) -> list[str]:
+    """Column names from the first line that a file of the folder has.
+
+    The folder is listed as one path: Spark's own look for a header checks and lists each file as a path of its own.
+    """
+    lines = spark.read.text(path)
+    first = lines.where(F.length(F.trim("value")) > 0).select("value").first()
+    if first is None:
+        return spark.read.option("header", True).csv(path).columns
+    names = spark.read.option("header", True).csv(spark.sparkContext.parallelize([first["value"]], 1)).columns
+    folders = [c for c in lines.columns[1:] if c.lower() not in {n.lower() for n in names}]  # of folders named key=value
+    return [*names, *folders]
+
+
 def _csv(spark: SparkSession, path: str, bad_lines: str) -> DataFrame:
     """All columns as text, so no pass over the data is spent on guessing types.
 
@@ -77,7 +91,7 @@ def _csv(spark: SparkSession, path: str, bad_lines: str) -> DataFrame:
     """
     if bad_lines not in ("skip", "keep", "fail"):
         raise ValueError(f"bad_lines is skip, keep or fail, not {bad_lines}")
-    names = spark.read.option("header", True).csv(path).columns
+    names = _header(spark, path)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, CORRUPT]])
     # A parser that splits off only the columns a query asks for would not see that a line is too long.
     reader = spark.read.option("header", True).option("enforceSchema", False).option("columnPruning", False)

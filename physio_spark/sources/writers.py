@@ -82,7 +82,7 @@ def write_lines(df: DataFrame, folder: str, name: str, line: str, header: str =
                         stream.close()
                     now = (key, part)
                     done.append(f"{root}/part-{attempt}-{part}-{key}.csv")
-                    stream = system.open_output_stream(done[-1], compression=None)
+                    stream = system.open_output_stream(done[-1], compression=None, buffer_size=1 << 16)
                     stream.write(f"{header}\n".encode() if header else b"")
                 stream.write(f"{text}\n".encode())
         if stream is not None:

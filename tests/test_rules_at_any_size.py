@@ -143,3 +143,21 @@ def test_tallest_first_streams_its_chunks(spark, monkeypatch):
         want += [(-1 if subject is None else subject, i) for i in kept]
     assert got == sorted(want)
     assert plans and not any("FlatMapGroupsInPandas" in p for p in plans)
+
+
+def test_a_folder_of_recordings_is_listed_once(spark, tmp_path):
+    """The header is the first line that is not blank; no job visits the files as paths of their own."""
+    for k in range(40):
+        (tmp_path / f"sub_{k}.csv").write_text('\n"daqtime",ECG,video\n' + f"{k}.5,{k},3\n")
+    (tmp_path / "sub_99.csv").write_text("")
+    sc = spark.sparkContext
+    sc.setJobGroup("one-listing", "")
+    try:
+        read = readers.read_samples(spark, str(tmp_path))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    track = sc.statusTracker()
+    stages = [s for j in track.getJobIdsForGroup("one-listing") for s in track.getJobInfo(j).stageIds]
+    tasks = [i.numTasks for s in stages if (i := track.getStageInfo(s))]
+    assert tasks and max(tasks) < 40
+    assert sorted(tuple(r) for r in read.select("subject", "t", "video", "ecg").collect()) == [(k, k * 1000 + 500, 3, float(k)) for k in range(40)]
