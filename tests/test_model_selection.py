@@ -1,5 +1,6 @@
 """Prepared folds, search, selection and permutation importance against plain computations."""
 
+import threading
 from collections import Counter
 
 import numpy as np
@@ -146,3 +147,22 @@ def test_concurrent_calls_answer_in_order_and_raise(spark):
 
     with pytest.raises(KeyError):
         concurrently(spark, [bad, lambda: 1])
+
+
+def test_outer_folds_are_searched_side_by_side(folded, monkeypatch):
+    met = threading.Barrier(3)  # one outer fold after the other would wait here in vain
+    plain = models.group_kfold
+    monkeypatch.setattr(models, "group_kfold", lambda *args, **options: (met.wait(60), plain(*args, **options))[1])
+    out, chosen, _ = models.nested_cv(folded, models.forest(3, 2), COLS, {"maxDepth": [1, 3]}, 2, 2, keep=["window_id"])
+    assert out.count() == 240
+    assert [c["fold"] for c in chosen] == [1, 2, 3]
+
+
+def test_fits_read_files_of_bounded_size(folded, monkeypatch):
+    monkeypatch.setattr(models, "FILE_VALUES", 4 * 30)
+    for options in ({}, {"normalize": True}):
+        ready = models.prepare_folds(folded, COLS, keep=["window_id"], **options)
+        for train, _ in ready.parts.values():
+            n = train.count()
+            assert len(train.inputFiles()) >= n / 30
+            assert train.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] <= 30
