@@ -20,7 +20,7 @@ SPACE = b" \t\n\x0b\x0c\r"
 
 def session(spark: SparkSession) -> SparkSession:
     """The session with the options that operators on long texts rely on: batches to Python are bounded in bytes."""
-    prepare(spark).conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    prepare(spark, "64m").conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     return spark
 
 

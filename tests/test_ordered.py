@@ -9,6 +9,7 @@ from physio_spark.operators.align import asof_join, interp_join, interval_agg, s
 from physio_spark.operators.ordered import attach, chunk_width, ranked, scan
 from physio_spark.operators.quantiles import bracketed_quantiles, mode_of
 from physio_spark.operators.signal import fill_linear, peaks, rolling_mean
+from physio_spark.runtime import prepare
 
 
 def series(n=400, groups=3, seed=0):
@@ -212,3 +213,17 @@ def test_blocks_do_not_depend_on_chunks(spark, width):
     np.testing.assert_array_equal(got["block"], pdf["block"])
     np.testing.assert_array_equal(got["block_start"], run.transform("min"))
     np.testing.assert_array_equal(got["block_end"], run.transform("max"))
+
+
+def test_tasks_of_a_scan_read_little(spark):
+    """200 MB over 8 cores: a task reads 8 MB of them, not an eighth of whatever there is."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    prepare(spark).conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        noise = F.concat(*[F.sha2(F.concat_ws("-", "id", F.lit(i)), 256) for i in range(4)])
+        df = spark.range(800_000).select(F.col("id").alias("t"), (F.col("id") % 500).alias("s"), noise.alias("noise"))
+        rows = scan(df, ["s"], ["t"], 100_000, last={"before": F.col("noise")})
+        tasks = rows.where("length(before) = 256").groupBy(F.spark_partition_id()).count()
+        assert tasks.agg(F.max("count")).first()[0] <= 50_000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
