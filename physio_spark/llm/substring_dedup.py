@@ -203,6 +203,42 @@ def _blocks(batches: Iterator[pa.RecordBatch], window: int, judge: bool = True)
         yield Block(runs, window, judge)
 
 
+class Buckets:
+    """Rows (bucket, document, mark, first word, words) that come bucket by bucket, settled in blocks of ``most`` bytes.
+
+    Small buckets share a block.  One that is larger than a block is settled in parts: of what came before, its own
+    surviving windows stay, and those of no other bucket.
+    """
+
+    def __init__(self, window: int, most: int) -> None:
+        self.window, self.most = window, most
+        self.waiting: list[tuple] = []
+        self.size, self.bucket, self.opened, self.limit = 0, None, 0, most  # the bucket's rows stand from ``opened`` on
+
+    def take(self, rows: Iterator[tuple]) -> Iterator[list[tuple]]:
+        """What ``Block.removed`` tells of the blocks that more rows fill."""
+        for key, doc, mark, first, words in rows:
+            if key != self.bucket:
+                if self.size > self.most:
+                    yield self.rest()
+                    self.waiting, self.size = [], 0
+                self.bucket, self.opened, self.limit = key, len(self.waiting), self.most
+            elif self.size > self.limit:
+                block = Block(self.waiting[: self.opened] or self.waiting, self.window)
+                yield list(block.removed())
+                self.waiting = self.waiting[self.opened :] if self.opened else block.survivors()
+                self.size = sum(len(r[3]) for r in self.waiting)
+                if not self.opened:
+                    self.limit = max(self.most, 2 * self.size)  # what survives is looked at again only once it has doubled
+                self.opened = 0
+            self.waiting.append((doc, mark, first, words))
+            self.size += len(words)
+
+    def rest(self) -> list[tuple]:
+        """What it tells of the rows that wait."""
+        return list(Block(self.waiting, self.window).removed())
+
+
 def survey(rows: DataFrame, window: int, segments: int) -> tuple[np.ndarray, bytes]:
     """Triples that are the minimiser of more than one in ``FREQUENT`` strings (fewer than FREQUENT exist), and
     the filter of minimisers that two documents have.
@@ -255,6 +291,7 @@ def repeated_ranges(docs: DataFrame, key: str, text: str, window: int = 50, segm
     kind = rows.schema["doc"].dataType.simpleString()
     shared = Shared(docs.sparkSession, survey(rows, window, segments))
     names = ["bucket", "doc", "mark", "first", "end", "words"]
+    most = 6 * BLOCK_WORDS
 
     def batch(table: list[list], like: pa.DataType) -> pa.RecordBatch:
         types = [pa.int64(), like, pa.int64(), pa.int64(), pa.int64(), pa.binary()]
@@ -282,8 +319,7 @@ def repeated_ranges(docs: DataFrame, key: str, text: str, window: int = 50, segm
                 yield batch([c[lo : lo + 20_000] for c in out], kinds[0])
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[tuple] = []
-        size, bucket, kind_of, limit = 0, None, None, 6 * BLOCK_WORDS
+        buckets, kind_of = Buckets(window, most), None
 
         def answer(ranges: list[tuple]) -> pa.RecordBatch:
             docs_, marks, a, b = zip(*ranges, strict=True) if ranges else ((), (), (), ())
@@ -294,18 +330,9 @@ def repeated_ranges(docs: DataFrame, key: str, text: str, window: int = 50, segm
             home = b.filter(b.column(4).is_valid())
             yield home.select(["doc", "mark", "first", "end"])
             rest = b.filter(b.column(5).is_valid())
-            for key_, doc, mark, first, words in zip(*(rest.column(k).to_pylist() for k in (0, 1, 2, 3, 5)), strict=True):
-                if size > limit:
-                    block = Block(waiting, window)
-                    yield answer(list(block.removed()))
-                    waiting = block.survivors() if key_ == bucket else []  # a bucket may be larger than a block
-                    size = sum(len(r[3]) for r in waiting)
-                    limit = max(6 * BLOCK_WORDS, 2 * size)  # what survives is looked at again only once it has doubled
-                waiting.append((doc, mark, first, words))
-                size += len(words)
-                bucket = key_
-        if waiting:
-            yield answer(list(Block(waiting, window).removed()))
+            yield from map(answer, buckets.take(zip(*(rest.column(k).to_pylist() for k in (0, 1, 2, 3, 5)), strict=True)))
+        if buckets.waiting:
+            yield answer(buckets.rest())
 
     packed = rows.mapInArrow(pack, f"bucket long, doc {kind}, mark long, first long, end long, words binary")
     met = packed.repartition("bucket").sortWithinPartitions("bucket", "doc")

@@ -109,6 +109,28 @@ def test_windows_match_brute_force(spark, window, monkeypatch):
     assert got(kept, "doc_id", "text", "n_words", "n_removed") == windows_by_hand(rows, window)
 
 
+def test_blocks_hold_what_is_left_of_one_bucket_only(monkeypatch):
+    sizes = []
+
+    class Noted(substring_dedup.Block):
+        def __init__(self, runs, *args):
+            sizes.append(sum(len(r[3]) for r in runs))
+            super().__init__(runs, *args)
+
+    monkeypatch.setattr(substring_dedup, "Block", Noted)
+    passage = [" ".join(f"b{k}w{j}" for j in range(6)).encode() for k in range(300)]
+    rows = [(k, d, 0, 10 * k, passage[k] if d % 2 else f"{d} of {d} {k} {d}".encode()) for k in range(300) for d in range(8)]
+    rows += [(300, d, 0, 0, passage[d % 3] if d % 3 else f"{d} only {d} here {d}".encode()) for d in range(400)]  # larger than a block
+    buckets, found = substring_dedup.Buckets(5, 900), []
+    for lo in range(0, len(rows), 100):
+        found += [r for ranges in buckets.take(iter(rows[lo : lo + 100])) for r in ranges]
+        assert max(sizes, default=0) < 1000 or rows[lo][0] == 300
+    found += buckets.rest()
+    wanted = [(d, 0, 10 * k, 10 * k + 6) for k in range(300) for d in (3, 5, 7)] + [(d, 0, 0, 6) for d in range(4, 400) if d % 3]
+    assert sorted(found) == sorted(wanted)
+    assert max(sizes) < 1000 + 2 * sum(len(r[4]) for r in rows if r[0] == 300 and not r[1] % 3)
+
+
 def test_window_hash_collisions_are_settled_by_words(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup.xxhash, "xxh3_64_intdigest", lambda w: 7)
     runs = [(1, 0, 0, b"a b c d e"), (2, 0, 0, b"x b c d f"), (3, 0, 0, b"q a b c z")]
