@@ -36,12 +36,13 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import materialize
-from .common import Shared, refuse, slices, split_words
+from .common import Shared, refuse, slices, split_words, texts
 
 LEAST_WORDS = 8
 BLOCK_BYTES = 4 << 20
@@ -55,6 +56,7 @@ PASSAGE = 32
 RANK, BEYOND = 48, 16
 COSINE = 0.7
 STRETCH = 1 << 14
+SUMMED = 1 << 12  # rows that are gathered at once
 PART_ROWS = 1024
 SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\n+")
 # Thai, Lao, Tibetan, Burmese, Khmer, kana, Bopomofo and Han, which are written without blanks.
@@ -100,13 +102,34 @@ class Codes(dict):
         self[raw] = out = tuple(known[w] if w in known else size + zlib.crc32(w.encode()) % FOREIGN for w in words)
         return out
 
+    @cached_property
+    def known(self) -> pa.Array:
+        """The words that have a number, in its order."""
+        return pa.array(sorted(self.vocabulary, key=self.vocabulary.__getitem__), pa.string())
+
     def lay(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of all words of a string column end to end, and where each text ends."""
+        """Codes of all words of a string column end to end, and where each text ends.
+
+        Raw words of printable ASCII are looked up together, others one by one.
+        """
         distinct, number, ends = split_words(column)
-        parts = list(map(self.__getitem__, distinct.cast(pa.binary()).to_pylist()))
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        flat = np.fromiter(chain.from_iterable(parts), np.int64, int(sizes.sum()))
+        distinct = distinct.cast(pa.string())
+        word = pc.ascii_trim(pc.ascii_lower(distinct), string.punctuation)  # as ``plain``: a letter or digit at both ends, or empty
+        usual = pc.ascii_is_printable(distinct).to_numpy(zero_copy_only=False).astype(bool)
+        sizes = (pc.binary_length(word).to_numpy(zero_copy_only=False) > 0).astype(np.int64)
+        code = pc.index_in(word, self.known).fill_null(-1).to_numpy().astype(np.int64)
+        foreign = np.flatnonzero(usual & (code < 0))
+        crc = np.fromiter(map(zlib.crc32, texts(word.take(pa.array(foreign)))), np.int64, len(foreign))
+        code[foreign] = len(self.vocabulary) + crc % FOREIGN
+        odd = np.flatnonzero(~usual)
+        parts = list(map(self.__getitem__, texts(distinct.take(pa.array(odd)))))
+        sizes[odd] = np.fromiter(map(len, parts), np.int64, len(parts))
         first = np.cumsum(sizes) - sizes
+        flat = np.empty(int(sizes.sum()), np.int64)
+        usual &= sizes > 0
+        flat[first[usual]] = code[usual]
+        at = np.repeat(first[odd] - (np.cumsum(sizes[odd]) - sizes[odd]), sizes[odd])
+        flat[at + np.arange(len(at))] = np.fromiter(chain.from_iterable(parts), np.int64, len(at))
         count = sizes[number]
         ends = np.concatenate([[0], np.cumsum(count)])[ends]
         if sizes.max(initial=0) <= 1:
@@ -195,7 +218,8 @@ def document_frequencies(laid: DataFrame, size: int) -> tuple[np.ndarray, int]:
         total, n = np.zeros(size, np.int64), 0
         for _, _, codes, ends in _laid(batches, 0, kind, 1 << 18):
             owner = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
-            total += np.bincount(np.unique(owner * size + codes) % size, minlength=size)
+            key = np.sort(_short(owner * size + codes, len(ends) * size))
+            total += np.bincount(key[np.append(True, key[1:] != key[:-1])[: len(key)]] % size, minlength=size)
             n += len(ends)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1)), pa.array(np.append(total[seen], n))], ["code", "n"])
@@ -207,18 +231,43 @@ def document_frequencies(laid: DataFrame, size: int) -> tuple[np.ndarray, int]:
     return out, int(n[codes < 0].sum())
 
 
+def _short(key: np.ndarray, size: int) -> np.ndarray:
+    """Numbers below ``size`` in 32 bits where they fit, which sort faster."""
+    return key.astype(np.uint32) if size <= 1 << 32 else key
+
+
 def _passages(codes: np.ndarray, ends: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """TF-IDF of the passages of some texts as (passage, word, value), each passage of unit length, in order of passage."""
     sizes = np.diff(ends, prepend=0)
     within = np.arange(len(codes)) - np.repeat(ends - sizes, sizes)
     passage = np.cumsum(within % PASSAGE == 0) - 1
-    key, times = np.unique(passage * len(idf) + codes, return_counts=True)
-    row, word = np.divmod(key, len(idf))
+    key, times = np.unique(_short(passage * len(idf) + codes, (len(codes) + 1) * len(idf)), return_counts=True)
+    row, word = (x.astype(np.int64) for x in np.divmod(key, key.dtype.type(len(idf))))
     value = (1 + np.log(times)) * idf[word]
     first = np.flatnonzero(np.diff(row, prepend=-1))
     return row, word, value / np.sqrt(np.add.reduceat(value * value, first))[row]
 
 
+def _summed(rows: np.ndarray, at: np.ndarray, values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The sum of ``values[k] * rows[at[k]]`` over each stretch that starts at ``first``: a product for stretches of up to 1, 2, 4, ... rows."""
+    sizes = np.diff(first, append=len(at))
+    wide = np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64)
+    out = np.empty((len(first), rows.shape[1]), rows.dtype)
+    for w in np.unique(wide).tolist():
+        of = np.flatnonzero(wide == w)
+        if not w:
+            out[of] = rows.take(at[first[of]], axis=0) * values[first[of], None]
+            continue
+        most = max(1, SUMMED >> w)
+        for lo in range(0, len(of), most):
+            part = of[lo : lo + most]
+            column = first[part, None] + np.arange(1 << w)
+            inside = column < (first[part] + sizes[part])[:, None]
+            column[~inside] = 0
+            out[part] = np.matmul((values.take(column) * inside)[:, None, :], rows.take(at.take(column), axis=0))[:, 0]
+    return out
+
+
 def gram_product(laid: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
     """``A' (A B)`` of the TF-IDF passages A of all texts and a basis B of words x rank.
 
@@ -236,11 +285,11 @@ def gram_product(laid: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndar
             for lo in range(0, len(codes), 8 * STRETCH):  # a long text in parts, a whole number of passages each
                 part, stop = codes[lo : lo + 8 * STRETCH], np.minimum(ends[ends > lo] - lo, 8 * STRETCH)
                 row, word, value = _passages(part, np.unique(stop), own)
-                value = value.astype(np.float32)[:, None]
-                inside = np.add.reduceat(given[word] * value, np.flatnonzero(np.diff(row, prepend=-1)))
+                value = value.astype(np.float32)
+                inside = _summed(given, word, value, np.flatnonzero(np.diff(row, prepend=-1)))
                 order = np.argsort(word.astype(kind), kind="stable")
                 first = np.flatnonzero(np.diff(word[order], prepend=-1))
-                total[word[order[first]]] += np.add.reduceat(inside[row[order]] * value[order], first)
+                total[word[order[first]]] += _summed(inside, row[order], value[order], first)
         stripes = [(k, total[k : k + PART_ROWS]) for k in range(0, size, PART_ROWS)]
         stripes = [(k, x.astype("<f8").tobytes()) for k, x in stripes if x.any()]
         columns = [pa.array([k for k, _ in stripes], pa.int64()), pa.array([task] * len(stripes), pa.int64()), pa.array([x for _, x in stripes], pa.binary())]
@@ -547,10 +596,10 @@ def leaks(docs: DataFrame, indexes: list[Index], key: str = "doc_id", text: str
         def run(batches: Iterator[pa.RecordBatch], shared: Shared = shared, form: np.dtype = form) -> Iterator[pa.RecordBatch]:
             searcher = shared.get()
             if fitted:
-                texts = _laid(batches, 1, form, SEARCH_WORDS)
+                laid = _laid(batches, 1, form, SEARCH_WORDS)
             else:
-                texts = ((batch, first, *searcher.codes.lay(bodies)) for batch, first, bodies in _groups(batches, 1, SEARCH_BYTES))
-            for batch, first, codes, ends in texts:
+                laid = ((batch, first, *searcher.codes.lay(bodies)) for batch, first, bodies in _groups(batches, 1, SEARCH_BYTES))
+            for batch, first, codes, ends in laid:
                 found = sorted(searcher.search(codes, ends, terms).items())
                 place = pa.array([first + row for (row, _), _ in found], pa.int64())
                 columns = [pa.array([i for (_, i), _ in found], pa.int64()), pa.array([s for _, (s, _) in found], pa.float64()), pa.array([a for _, (_, a) in found], pa.bool_())]

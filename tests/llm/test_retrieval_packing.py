@@ -350,6 +350,35 @@ def test_short_items_and_scripts_without_blanks(spark):
     assert {r["doc_id"] for r in decontaminate.keep_clean(docs, indexes).collect()} == {2, 6, 7, 9, 10}
 
 
+def test_words_are_coded_together_as_one_by_one():
+    """A dictionary lookup for each of half a million distinct words was most of the layout's time."""
+    odd = ["", " \t ", "Ab-c. 'x' don't \x1c\x1dq a\x1cb ÄÖ ß", "日本語 word한국어 ก็", "--- ... a_b _a_ 1,000 ½ x²", "İstanbul K ſ \x00a\x7f a\x80 ~\x7f~", None]
+    many = [" ".join(f"W{k * 7 + j}," for j in range(7)) for k in range(20_000)]
+    vocabulary = {w: k for k, w in enumerate(["a", "don't", "x", "k", "日", "w5"])}
+    size = len(vocabulary)
+    asked = []
+
+    class Counted(decontaminate.Codes):
+        def __missing__(self, raw):
+            asked.append(raw)
+            return super().__missing__(raw)
+
+    codes, ends = Counted(vocabulary).lay(pa.array(odd + many, pa.string()))
+    wanted = [[w for w in decontaminate.words_of(t or "")] for t in odd + many]
+    assert ends.tolist() == np.cumsum([len(w) for w in wanted]).tolist()
+    assert codes.tolist() == [vocabulary.get(w, size + zlib.crc32(w.encode()) % decontaminate.FOREIGN) for t in wanted for w in t]
+    assert len(asked) < 20
+
+
+def test_stretches_of_any_length_are_summed():
+    rng = np.random.default_rng(3)
+    rows, sizes = rng.standard_normal((50, 8)), np.array([1, 1, 2, 3, 1, 4, 5, 40, 64, 65, 1, 700])
+    at, values = rng.integers(0, 50, sizes.sum()), rng.standard_normal(sizes.sum())
+    first = np.cumsum(sizes) - sizes
+    assert np.allclose(decontaminate._summed(rows, at, values, first), np.add.reduceat(rows[at] * values[:, None], first))
+    assert decontaminate._summed(rows, at[:0], values[:0], first[:0]).shape == (0, 8)
+
+
 def test_latent_basis_is_that_of_all_passages(spark):
     """Against the singular vectors of the whole matrix; the layout in many parts gives the same."""
     rng = random.Random(12)
