@@ -17,10 +17,13 @@ from ..runtime import prepare
 # Bytes that separate words and that line keys are stripped of: [\x20\x09-\x0D].
 SPACE = b" \t\n\x0b\x0c\r"
 
+# Compressed bytes of a shuffle that a task is given: with 64 MB, sorts of whole texts filled an executor's heap.
+TASK_BYTES = "16m"
+
 
 def session(spark: SparkSession) -> SparkSession:
     """The session with the options that operators on long texts rely on: batches to Python are bounded in bytes."""
-    prepare(spark, "64m").conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    prepare(spark, TASK_BYTES).conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     return spark
 
 

@@ -109,6 +109,13 @@ def test_windows_match_brute_force(spark, window, monkeypatch):
     assert got(kept, "doc_id", "text", "n_words", "n_removed") == windows_by_hand(rows, window)
 
 
+def test_tasks_of_a_shuffle_are_small(spark):
+    from physio_spark.llm import common
+
+    common.session(spark)
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == common.TASK_BYTES == "16m"
+
+
 def test_blocks_hold_what_is_left_of_one_bucket_only(monkeypatch):
     sizes = []
 
