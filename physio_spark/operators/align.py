@@ -12,6 +12,10 @@ from physio_spark.operators.ordered import scan
 from physio_spark.operators.quantiles import mode_of
 
 
+# Points of a bucket that are joined without being spread.
+CROWDED = 10_000
+
+
 def _knots(
     left: DataFrame,
     right: DataFrame,
@@ -139,17 +143,21 @@ def interval_agg(
     mode: str | None = None,
     *,
     width: int,
-    salts: int = 8,
+    salts: int | None = 8,
 ) -> DataFrame:
     """Mean of the points inside each closed interval [start, end]; intervals without points keep nulls.
 
     Both sides are cut into time buckets of ``width`` and joined on (series, bucket, salt); the salt
     spreads the points of a crowded bucket.  Points of one bucket are reduced before the buckets of a
-    window are put together.
+    window are put together.  Every interval is copied for each salt; ``salts=None`` measures the fullest bucket
+    and takes one for each CROWDED points, at most 8.
     """
     by = list(by)
     key = [*by, start, end]
     bucket = lambda c: F.floor(F.col(c) / F.lit(width))
+    if salts is None:
+        fullest = points.groupBy(*by, bucket(t).alias("_bucket")).count().agg(F.max("count")).first()[0] or 0
+        salts = min(8, 1 + fullest // CROWDED)
     probes = (
         windows.select(*key)
         .distinct()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from physio_spark.functions.columns import first_valid
 from physio_spark.operators.align import interp_join, interval_agg, shift_labels
 from physio_spark.operators.ordered import scan
-from physio_spark.operators.panes import window_band_peaks, window_stats
+from physio_spark.operators.panes import window_band_peaks, window_stats, windows_per_stretch
 from physio_spark.operators.quantiles import mode_of
 from physio_spark.operators.segment import blocks
 from physio_spark.operators.signal import derive_tracks, hrv_time, ibi, peaks
@@ -152,16 +152,22 @@ def pulse_window_features(
     between = between.withColumn("_p1", F.col("_p0") - beats_before(F.col("ibi") - F.col("ibi_diff")))
     first = F.greatest(F.lit(0), F.floor((F.col("idx") - F.lit(size)) / F.lit(hop)) + 1).cast("bigint")
     last = F.floor(F.col("_p0") / F.lit(hop)).cast("bigint")
-    held = materialize(between.withColumn("win", F.explode(F.when(first <= last, F.sequence(first, last)))))
+    # the intervals travel to the stretch of their windows and are copied to each window only there
+    stretch = windows_per_stretch(size, hop)
+    reach = F.sequence(F.floor(first / stretch), F.floor(last / stretch))
+    dealt = between.where(first <= last).withColumn("_stretch", F.explode(reach)).repartition(subject, "_stretch")
+    own = F.sequence(F.greatest(first, F.col("_stretch") * stretch), F.least(last, F.col("_stretch") * stretch + stretch - 1))
+    held = dealt.withColumn("win", F.explode(own))
     held = held.withColumn("ibi_diff", F.when(F.col("_p1") >= F.col("win") * F.lit(hop), F.col("ibi_diff")))
-    rates = held.groupBy(subject, "win").agg(F.avg("rate").alias("_rate"))
-    spread = hrv_time(held, [subject, "win"], ddof=1, as_percent=False, unit_ms=config.interval_unit_ms).where("n_ibi >= 2").join(rates, [subject, "win"])
+    spread = hrv_time(
+        held, [subject, "_stretch", "win"], ddof=1, as_percent=False, unit_ms=config.interval_unit_ms, max_rows=None, also=[F.avg("rate").alias("_rate")]
+    ).where("n_ibi >= 2").drop("_stretch")
 
     bands = {"_fft": config.rate_band, "bvp_breathingrate": config.breath_band}
     spectra = window_band_peaks(rows, config.pulse, [subject], size, hop, config.fs, bands)
     out = slow.join(shown, [subject, "win"], "left").join(spread, [subject, "win"], "left").join(spectra, [subject, "win"], "left")
     if annotations is not None:
-        out = interval_agg(out, annotations, [subject], "window_start", "window_end", t, ["valence", "arousal"], width=width)
+        out = interval_agg(out, annotations, [subject], "window_start", "window_end", t, ["valence", "arousal"], width=width, salts=None)
     else:
         out = out.withColumns({c: F.lit(None).cast("double") for c in ("valence", "arousal")})
     named = {

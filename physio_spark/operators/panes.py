@@ -14,20 +14,27 @@ statistics stay exact: panes then hold their values, windows order them.  Where
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from physio_spark.functions.columns import finite
 from physio_spark.operators.quantiles import GATHER_ROWS
-from physio_spark.operators.signal import frequency_grid
+from physio_spark.operators.signal import _starts, frequency_grid
 from physio_spark.operators.stats import NEEDS_NEIGHBOURS, QUANTILE_NAMES, ZERO_WHEN_EMPTY, stats
 from physio_spark.operators.windows import time_windows
 from physio_spark.runtime import materialize
 
 # Windows of a stretch, as a multiple of the windows that cover one row: 1/8 of the panes are in two stretches.
 STRETCH = 8
+
+# Numbers that a spectrum's task works on at a time.
+VALUES = 1 << 18
+
 MOMENTS = {"std0": 2, "std1": 2, "skew": 3, "kurtosis": 4}
 SLOPES = {"slope", "slope_fs", "slope_fit"}
 DIFFERENCES = {"diff_mean", "diff_std0", "diff_std1", "diff_positive"}
@@ -102,16 +109,26 @@ def _in_windows(rows: DataFrame, length: int, step: int, pane: int, t: str, anch
     return numbered.withColumn("_from", F.col(anchor) + F.col("_pane") * F.lit(pane)).withColumn("_to", F.col("_from") + F.lit(pane))
 
 
-def _dealt(panes: DataFrame, by: list[str], length: int, step: int, pane: int, anchor: str, end: str) -> DataFrame:
-    """One row for each pane and window, on the task of the window's stretch."""
+def windows_per_stretch(length: int, step: int) -> int:
+    return STRETCH * -(-length // step)
+
+
+def _stretched(panes: DataFrame, by: list[str], length: int, step: int, pane: int, anchor: str, end: str) -> DataFrame:
+    """Each pane, with its first and last window, on the task of every stretch that it reaches."""
     span, hop = length // pane, step // pane
-    per_stretch = STRETCH * -(-span // hop)
+    per_stretch = windows_per_stretch(length, step)
     first = F.greatest(F.lit(0), F.floor((F.col("_pane") - span) / F.lit(hop)) + 1).cast("bigint")
     last = F.least(F.floor(F.col("_pane") / F.lit(hop)), F.floor((F.col(end) - F.col(anchor) - F.lit(length)) / F.lit(step))).cast("bigint")
     halo = panes.withColumns({"_first": first, "_last": last}).where("_first <= _last")
     stretch = lambda c: F.floor(F.col(c) / F.lit(per_stretch)).cast("bigint")
     halo = halo.withColumn("_stretch", F.explode(F.sequence(stretch("_first"), stretch("_last"))))
-    dealt = halo.repartition(*by, "_stretch")
+    return halo.repartition(*by, "_stretch")
+
+
+def _dealt(panes: DataFrame, by: list[str], length: int, step: int, pane: int, anchor: str, end: str) -> DataFrame:
+    """One row for each pane and window, on the task of the window's stretch."""
+    per_stretch = windows_per_stretch(length, step)
+    dealt = _stretched(panes, by, length, step, pane, anchor, end)
     own = F.sequence(F.greatest(F.col("_first"), F.col("_stretch") * per_stretch), F.least(F.col("_last"), F.col("_stretch") * per_stretch + per_stretch - 1))
     return dealt.withColumn("win", F.explode(own)).withColumn("_win_start", F.col(anchor) + F.col("win") * F.lit(step)).withColumn("_win_end", F.col("_win_start") + F.lit(length))
 
@@ -359,42 +376,74 @@ def window_band_peaks(
 ) -> DataFrame:
     """Strongest frequency (per minute) of each band ``{name: (low, high, step)}`` in every window of samples.
 
-    The spectrum is that of :func:`periodogram` with a Hann taper over the window.  The taper is a sum of three
-    waves, so a tapered sum is one of plain Fourier sums at the frequency and its two neighbours one cycle per
-    window away; those are summed in panes, once for each sample, and turned to each window's start.
+    The spectrum is that of :func:`periodogram` with a Hann taper over the window.  The samples themselves travel to
+    the stretch of their windows (the Fourier sums of a pane are many times as large), where a task multiplies the
+    tapered, mean-free windows of many stretches with the waves of all frequencies.
     """
     by = list(by)
     grid = sorted({f for low, high, width in bands.values() for f in frequency_grid(low, high, width)})
-    pane = math.gcd(length, step)
-    y = finite(column)
-    inside = _in_windows(rows.select(*by, idx, anchor, end, column), length, step, pane, idx, anchor, end).where(y.isNotNull())
-    shifts = F.array(*[F.struct(F.lit(f).alias("freq"), F.lit(k).alias("side"), F.lit(f / fs + k / length).alias("turns")) for f in grid for k in (-1, 0, 1)])
-    waves = inside.withColumn("_y", y).withColumn("_w", F.explode(shifts)).select("*", "_w.*")
-    angle = F.col("turns") * F.col(idx) * F.lit(2 * math.pi)
-    c, s, v = F.cos(angle), F.sin(angle), F.col("_y")
-    panes = waves.groupBy(*by, anchor, end, "_pane", "freq").pivot("side", [-1, 0, 1]).agg(
-        F.count(v).alias("n"), F.sum(v).alias("v"), F.sum(v * c).alias("vc"), F.sum(v * s).alias("vs"), F.sum(c).alias("c"), F.sum(s).alias("s")
-    )
-    sums = [F.sum(f"`{k}_{x}`").alias(f"{x}{k}") for k in (-1, 0, 1) for x in ("n", "v", "vc", "vs", "c", "s")]
-    placed = _dealt(panes, by, length, step, pane, anchor, end)
-    whole = placed.groupBy(*by, "_stretch", "win", "freq").agg(*sums)
-    turn = F.pmod(F.col("win") * F.lit(step), F.lit(length)) * F.lit(2 * math.pi / length)
-    mean = F.col("v0") / F.col("n0")
-
-    def side(k: int, sign: int) -> tuple[Column, Column]:
-        """The mean-free sum one cycle away, turned by the window's start (real and minus imaginary part)."""
-        re, im = _col(f"vc{k}") - mean * _col(f"c{k}"), _col(f"vs{k}") - mean * _col(f"s{k}")
-        return re * F.cos(turn) - F.lit(sign) * im * F.sin(turn), im * F.cos(turn) + F.lit(sign) * re * F.sin(turn)
-
-    (a, b), (d, e) = side(-1, 1), side(1, -1)
-    re = 0.5 * (F.col("vc0") - mean * F.col("c0")) - 0.25 * (a + d)
-    im = 0.5 * (F.col("vs0") - mean * F.col("s0")) - 0.25 * (b + e)
-    power = whole.select(*by, "win", "freq", F.col("n0").alias("n"), ((re * re + im * im) / F.col("n0")).alias("power"))
-    best = []
-    for name, (low, high, width) in bands.items():
-        own = F.col("freq").isin(frequency_grid(low, high, width)) & (F.col("power") > 0) & (F.col("n") >= min_rows)
-        best.append((F.max_by("freq", F.when(own, F.struct("power", -F.col("freq")))) * 60.0).alias(name))
-    return power.groupBy(*by, "win").agg(*best)
-
-
-__all__ = ["window_band_peaks", "window_stats"]
+    y, at = finite(column), (F.col(idx) - F.col(anchor)).cast("bigint")
+    inside = _in_windows(rows.select(*by, idx, anchor, end, column), length, step, 1, idx, anchor, end).where(y.isNotNull())
+    windows = (F.floor((F.col(end) - F.col(anchor) - F.lit(length)) / F.lit(step)) + 1).cast("bigint")
+    sampled = inside.select(*by, anchor, end, at.alias("_pane"), y.alias("_y"), windows.alias("_windows"))
+    keys = [*by, "_stretch"]
+    placed = _stretched(sampled, by, length, step, 1, anchor, end).select(*keys, "_pane", "_y", "_windows").sortWithinPartitions(*keys, "_pane")
+    per_stretch = windows_per_stretch(length, step)
+    room = (per_stretch - 1) * step + length
+    angle = 2 * math.pi / fs * np.arange(length)[:, None] * np.array(grid)[None, :]
+    cosines, sines, taper = np.cos(angle), np.sin(angle), 0.5 - 0.5 * np.cos(2 * math.pi * np.arange(length) / length)
+    columns = {name: [grid.index(f) for f in frequency_grid(*band)] for name, band in bands.items()}
+
+    def strongest(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        """Of all windows of some whole stretches, whose first rows are ``starts``."""
+        first = table["_stretch"].to_numpy()[starts] * per_stretch
+        held = np.minimum(table["_windows"].to_numpy()[starts] - first, per_stretch)
+        own = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(table))))
+        cell, value = table["_pane"].to_numpy() - first[own] * step, table["_y"].to_numpy()
+        wins, series, found = [], [], {name: [] for name in bands}
+        some = max(1, VALUES // room)
+        for a in range(0, len(starts), some):
+            z = min(a + some, len(starts))
+            mine = slice(*np.searchsorted(own, [a, z]))
+            here = (own[mine] - a) * room + cell[mine]
+            total, count = np.bincount(here, value[mine], (z - a) * room), np.bincount(here, minlength=(z - a) * room)
+            group = np.repeat(np.arange(a, z), held[a:z])
+            win = np.arange(len(group)) - np.repeat(np.cumsum(held[a:z]) - held[a:z], held[a:z])
+            begin = (group - a) * room + win * step
+            for i in range(0, len(begin), max(1, VALUES // length)):
+                part = slice(i, i + max(1, VALUES // length))
+                cells = begin[part, None] + np.arange(length)
+                v, c = total[cells], count[cells]
+                n = c.sum(axis=1)
+                v, c, kept, n = v[n > 0], c[n > 0], np.flatnonzero(n > 0) + i, n[n > 0]
+                tapered = (v - c * (v.sum(axis=1) / n)[:, None]) * taper
+                power = ((tapered @ cosines) ** 2 + (tapered @ sines) ** 2) / n[:, None]
+                series.append(starts[group[kept]])
+                wins.append(first[group[kept]] + win[kept])
+                for name, band in columns.items():
+                    best = power[:, band].argmax(axis=1) if len(n) else np.zeros(0, int)
+                    known = (n >= min_rows) & (power[np.arange(len(n)), np.array(band)[best]] > 0)
+                    found[name].append(pa.array(np.array(grid)[np.array(band)[best]] * 60.0, mask=~known))
+        whole = table.select(by).take(pa.array(np.concatenate(series))).combine_chunks()
+        columns_out = [*(x.combine_chunks() for x in whole.columns), pa.array(np.concatenate(wins)), *(pa.concat_arrays(found[name]) for name in bands)]
+        return pa.RecordBatch.from_arrays(columns_out, [*by, "win", *bands])
+
+    def spectra(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([rest, table]) if rest is not None else table
+            if not len(table):
+                continue
+            starts = _starts(table, keys)
+            rest = table.slice(starts[-1])  # the last stretch may go on in the next batch
+            if len(starts) > 1:
+                yield strongest(table.slice(0, starts[-1]).combine_chunks(), starts[:-1])
+        if rest is not None:
+            yield strongest(rest.combine_chunks(), np.zeros(1, np.int64))
+
+    schema = T.StructType([*(placed.schema[c] for c in by), T.StructField("win", T.LongType()), *(T.StructField(name, T.DoubleType()) for name in bands)])
+    return placed.mapInArrow(spectra, schema)
+
+
+__all__ = ["window_band_peaks", "window_stats", "windows_per_stretch"]
