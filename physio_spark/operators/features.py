@@ -123,7 +123,8 @@ def pulse_window_features(
     Beats are found once per recording; an interval belongs to the windows that hold both its beats, which is
     arithmetic on their indices, and a change of intervals to those that hold all three.  A window needs two
     intervals.  The rate is the first valid one of: from the mean interval, the mean of the rates, the strongest
-    frequency of the rate band.  Means, slopes, spectra and the votes for the stimulus come from panes.
+    frequency of the rate band.  Means, slopes and the votes for the stimulus come from panes, spectra
+    from the samples of a stretch of windows.
     Output: ``subject, win, window_start, window_end`` (times of the first and last sample), ``video_id`` (most
     frequent, smallest on a tie), ``arousal, valence`` (mean of the annotations inside) and the features.
     """
